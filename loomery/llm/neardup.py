@@ -84,7 +84,7 @@ def _sets(width: int):
         hashes = WordHashes()
         for f in frames:
             sets = [shingle_set(t, width, hashes) for t in f["text"]]
-            yield pd.DataFrame({"doc": f["doc_id"], "sig": [signature(s).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"doc": f["doc_id"], "n": [len(s) for s in sets], "sig": [signature(s).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     return run
 
@@ -94,24 +94,38 @@ def _linked(sx: np.ndarray, sy: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(sx) + len(sy) - both)
 
 
+def _collided(percent: int):
+    """Pairs that collide in T coordinates and whose sizes allow the threshold, with the number of collisions."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            sa, sb = (np.frombuffer(b"".join(f[c]), np.uint32).reshape(-1, K) for c in ("sig_a", "sig_b"))
+            hits = (sa == sb).sum(axis=1)
+            keep = (hits >= T) & (100 * f[["n_a", "n_b"]].min(axis=1) >= percent * f[["n_a", "n_b"]].max(axis=1)).to_numpy()
+            yield pd.DataFrame({"a": f["a"][keep], "b": f["b"][keep], "hits": hits[keep]})
+
+    return run
+
+
 def _verified(percent: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keep = []
-            for sa, sb, xa, xb in zip(f["sig_a"], f["sig_b"], f["set_a"], f["set_b"], strict=True):
-                hits = int((np.frombuffer(sa, np.uint32) == np.frombuffer(sb, np.uint32)).sum())
-                keep.append(hits >= T and _linked(np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64), percent))
+            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(f["set_a"], f["set_b"], strict=True)]
             yield f.loc[np.array(keep, bool), ["a", "b"]]
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that collide in T coordinates and reach the threshold on their full sets."""
-    left = sets.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b"), F.col("shingles").alias("set_b"))
-    rows = pairs.join(left, "a").join(right, "b")
-    return rows.mapInPandas(_verified(percent), "a long, b long")
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) that collide in T coordinates and reach the threshold on their full sets; ``nearest``: only the
+    a of most collisions is tried for each b. Collisions are counted on signatures, so few sets travel."""
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_collided(percent), "a long, b long, hits long")
+    if nearest:
+        near = near.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
+    near = materialize(near.select("a", "b"), "near")
+    whole = lambda x: sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"set_{x}"))
+    return materialize(near.join(whole("a"), "a").join(whole("b"), "b").mapInPandas(_verified(percent), "a long, b long"), "links")
 
 
 def _against(block: list[tuple[int, bytes, bytes]], percent: int):
@@ -159,12 +173,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     members = posted.select("doc").distinct()
     sets = docs.join(members, docs["doc_id"] == members["doc"], "left_semi").where("text is not null")
-    sets = sets.mapInPandas(_sets(width), "doc long, sig binary, shingles binary")
+    sets = sets.mapInPandas(_sets(width), "doc long, n long, sig binary, shingles binary")
     sets = materialize(sets.dropDuplicates(["doc", "shingles"]), "sets")
 
     hubs = posted.groupBy("token").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("a"), F.count("*").alias("n"))
     pairs = posted.join(materialize(hubs.where("n > 1"), "hubs"), "token").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
-    links = materialize(_links(pairs, sets, percent), "links")
+    links = _links(pairs, sets, percent, nearest=True)
 
     def labelled() -> tuple[DataFrame, DataFrame]:
         """The components so far, and the posting lists that hold more than one of them."""
@@ -180,12 +194,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = rest.join(materialize(hubs, "hubs"), "token").where("label <> hub.label")
     pairs = materialize(pairs.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
-        links = links.union(materialize(_links(pairs, sets, percent), "links"))
+        links = links.union(_links(pairs, sets, percent, nearest=True))
         found, rest = labelled()
         short = rest.where(f"n <= {SHORT_LIST}")
         x, y = short.select("token", F.col("doc").alias("a"), F.col("label").alias("la")), short.select("token", F.col("doc").alias("b"), F.col("label").alias("lb"))
         pairs = x.join(y, "token").where("a < b and la <> lb").select("a", "b").distinct()
-        links = links.union(materialize(_links(pairs, sets, percent), "links"))
+        links = links.union(_links(pairs, sets, percent))
         size = rest.where(f"n > {SHORT_LIST}").groupBy("token", "label").agg(F.count("*").alias("m"))
         main = size.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
         odd = rest.where(f"n > {SHORT_LIST}").join(main, "token").where("label <> main").select("doc").distinct()
