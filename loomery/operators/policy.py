@@ -1,0 +1,38 @@
+"""Comment policy: who counts as a machine, and which comments stay visible."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .ingest import thread_roots
+
+
+@dataclass
+class Policy:
+    include_authors: list[str] = field(default_factory=list)
+    exclude_authors: list[str] = field(default_factory=list)
+    exclude_ai: bool = True
+    exclude_bots: bool = False
+    known_ai: list[str] = field(default_factory=lambda: ["assistant"])
+
+
+def decided(comments: DataFrame, pulls: DataFrame, policy: Policy) -> DataFrame:
+    """Adds ``visible``. Included authors always stay; then excluded authors, known machines, all bots go. A review
+    comment goes with its thread's root. Only comments of pull requests are filtered."""
+    who = F.col("author")
+    hidden = (
+        F.when(who.isin(policy.include_authors or [""]), False)
+        .when(who.isin(policy.exclude_authors or [""]), True)
+        .when(F.lit(policy.exclude_ai) & who.isin(policy.known_ai or [""]), True)
+        .when(F.lit(policy.exclude_bots) & (F.col("author_type") == "Bot"), True)
+        .otherwise(False)
+    )
+    own = comments.withColumn("hidden", hidden)
+    roots = thread_roots(comments).join(own.select(F.col("id").alias("root"), F.col("hidden").alias("root_hidden")), "root")
+    rows = own.join(roots.select("id", "root_hidden"), "id")
+    rows = rows.join(pulls.select("repo", "number", F.lit(True).alias("pull")), ["repo", "number"], "left")
+    gone = F.coalesce("pull", F.lit(False)) & ~who.isin(policy.include_authors or [""]) & (F.col("hidden") | F.col("root_hidden"))
+    return rows.withColumn("visible", ~gone).drop("hidden", "root_hidden", "pull")

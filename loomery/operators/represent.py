@@ -1,0 +1,168 @@
+"""Derived text: label attributes, Markdown sections, references, attribution, chunks, snippets."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType
+
+
+
+def _rows(**kinds: DataType) -> ArrayType:
+    """Types as objects: parsing their names would need a session where workers import this module."""
+    return ArrayType(StructType([StructField(k, v) for k, v in kinds.items()]))
+
+
+#: Label prefixes that name another role.
+ROLE_ALIASES = {"comp": "component", "eff": "effort", "imp": "importance", "importance": "importance", "priority": "importance"}
+
+
+def attributes(labels: Column) -> Column:
+    """``prefix:value`` labels as (label, role, value)."""
+    alias = F.create_map(*(F.lit(x) for kv in ROLE_ALIASES.items() for x in kv))
+    have = F.filter(labels, lambda x: F.instr(x, ":") > 1)
+    role = lambda x: F.substring_index(x, ":", 1)
+    return F.transform(have, lambda x: F.struct(x.alias("label"), F.coalesce(F.element_at(alias, role(x)), role(x)).alias("role"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
+
+
+def project_name(url: Column) -> Column:
+    """owner/number of an organisation's or user's project URL."""
+    owner, number = (F.regexp_extract(url, r"^https?://[^/]+/(?:orgs|users)/([^/]+)/projects/(\d+)$", i) for i in (1, 2))
+    return F.when(owner != "", F.concat_ws("/", owner, number))
+
+
+class Fence:
+    """Whether a line is part of a fenced code block. A backtick fence's info string can't hold a backtick."""
+
+    def __init__(self):
+        self.open: str | None = None
+
+    def line(self, text: str) -> bool:
+        m = re.match(r" {0,3}(`{3,}|~{3,})(.*)$", text)
+        if self.open is None:
+            if m and not (m[1][0] == "`" and "`" in m[2]):
+                self.open = m[1]
+                return True
+            return False
+        if m and m[1][0] == self.open[0] and len(m[1]) >= len(self.open) and not m[2].strip():
+            self.open = None
+        return True
+
+
+BOILERPLATE = {"", "_no response_", "n/a", "none"}
+
+
+def split_sections(body: str) -> list[dict]:
+    """Headings outside fences: title, byte range of the content, whether it is empty or boilerplate."""
+    out, fence, at = [], Fence(), 0
+    now = {"heading": "", "start": 0}
+    data = body.replace("\r\n", "\n")
+    for line in data.splitlines(keepends=True):
+        inside = fence.line(line.rstrip("\n"))
+        m = None if inside else re.match(r" {0,3}#{1,6}\s+(.*?)\s*#*\s*$", line)
+        if m:
+            out.append(now | {"end": at})
+            now = {"heading": m[1], "start": at + len(line.encode())}
+        at += len(line.encode())
+    out.append(now | {"end": at})
+    raw = data.encode()
+    for s in out:
+        text = raw[s["start"] : s["end"]].decode().strip()
+        s["empty"] = text.lower() in BOILERPLATE or all(re.fullmatch(r"\s*[-*] \[ \].*", x) for x in text.splitlines())
+    return [s for s in out if s["heading"] or s["end"] > s["start"]]
+
+
+@F.pandas_udf(_rows(heading=StringType(), start=IntegerType(), end=IntegerType(), empty=BooleanType()))
+def sections(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: [(s["heading"], s["start"], s["end"], s["empty"]) for s in split_sections(b or "")])
+
+
+_REFERENCE = re.compile(
+    rb"(?<![\w/:.\-])(?:(?P<repo>[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+))?#(?P<n>[1-9][0-9]{0,9})\b"
+    rb"|https://(?P<host>[A-Za-z0-9.-]+)/(?P<r>[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)/(?:issues|pull)/(?P<m>[1-9][0-9]{0,9})\b"
+)
+_DUPLICATE, _FIX = re.compile(rb"\b(?:duplicates?|dup) (?:of )?$", re.I), re.compile(rb"\b(?:fix(?:e[sd])?|close[sd]?|resolve[sd]?):? $", re.I)
+LOOK_BEHIND = 64
+
+
+def find_references(repo: str, body: str, hosts: tuple[str, ...] = ("github.com",)) -> list[tuple[str, int, str, int]]:
+    """(repo, number, kind, byte offset) of each mention outside fences."""
+    out, fence, at = [], Fence(), 0
+    for line in body.splitlines(keepends=True):
+        raw = line.encode()
+        if not fence.line(line.rstrip("\r\n")):
+            for m in _REFERENCE.finditer(raw):
+                if m["host"] and m["host"].decode() not in hosts:
+                    continue
+                before = raw[max(0, m.start() - LOOK_BEHIND) : m.start()]
+                kind = "duplicate_reference" if _DUPLICATE.search(before) else "fix_reference" if _FIX.search(before) else "mention"
+                out.append(((m["r"] or m["repo"] or repo.encode()).decode(), int(m["m"] or m["n"]), kind, at + m.start()))
+        at += len(raw)
+    return out
+
+
+@F.pandas_udf(_rows(repo=StringType(), number=LongType(), kind=StringType(), start=IntegerType()))
+def references(repos: pd.Series, bodies: pd.Series) -> pd.Series:
+    return pd.Series([find_references(r, b or "") for r, b in zip(repos, bodies, strict=True)])
+
+
+_ATTRIBUTION = re.compile(r"^\W*(?:generated|written|drafted|posted) (?:by|with) (?:an? )?(?:ai|bot|assistant|llm)\b", re.I)
+
+
+def declares_ai(body: str) -> bool:
+    """Whether the last line outside fences and indented code says that a machine wrote the comment."""
+    fence, last = Fence(), ""
+    for line in body.splitlines():
+        if not fence.line(line) and line.strip() and not line.startswith(("    ", "\t")):
+            last = line
+    return bool(_ATTRIBUTION.match(last.strip()))
+
+
+@F.pandas_udf(BooleanType())
+def detected_ai(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: declares_ai(b or ""))
+
+
+CHUNK_RUNES, CHUNK_TOKENS, OVERLAP = 2048, 256, 32
+
+
+def split_chunks(text: str) -> list[tuple[int, int, str]]:
+    """(first byte, end byte, text) of overlapping pieces; a cut goes to the last white space of the final quarter."""
+    out, start, n = [], 0, len(text)
+    while start < n:
+        end = min(n, start + CHUNK_RUNES)
+        marks = list(re.finditer(r"\w+|[^\w\s]", text[start:end]))
+        if len(marks) > CHUNK_TOKENS:
+            end = start + marks[CHUNK_TOKENS - 1].end()
+        if end < n:
+            spaces = [m.start() for m in re.finditer(r"\s", text[start:end])]
+            if spaces and spaces[-1] >= (end - start) * 3 // 4:
+                end = start + spaces[-1]
+        piece = text[start:end]
+        if piece.strip():
+            a = len(text[:start].encode())
+            out.append((a, a + len(piece.encode()), piece))
+        if end >= n:
+            break
+        start = max(end - OVERLAP, start + 1)
+    return out
+
+
+@F.pandas_udf(_rows(start=IntegerType(), end=IntegerType(), text=StringType()))
+def chunks(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: split_chunks(t or ""))
+
+
+def snippet(text: Column, words: list[str], runes: int = 160) -> Column:
+    """A piece around the first match with matches in brackets; only for the rows of a page."""
+    any_ = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{N}])"
+    at = F.greatest(F.lit(1), F.regexp_instr(text, F.lit(any_)) - runes // 4)
+    return F.regexp_replace(F.substring(text, at, F.lit(runes)), any_, "[$1]")
+
+
+def page_references(documents: DataFrame) -> DataFrame:
+    rows = documents.where(F.col("body").contains("#")).select("id", F.explode_outer(references("repo", "body")).alias("r"))
+    return rows.where("r is not null").select("id", "r.repo", "r.number", "r.kind", "r.start")
