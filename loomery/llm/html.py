@@ -165,7 +165,7 @@ def _differenced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return here["page_id"], here["url"], text, len(text)
 
     for f in frames:
-        out, late, lead = [], None, None
+        out = []
         for r in f.to_dict("records"):
             r["blocks"] = list(zip(r["lines"], r["levels"], strict=True))
             if here is not None and here["side"] == 0:
@@ -185,6 +185,6 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     host, path = host_and_path()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
-    rows = rows.mapInPandas(_parsed, "page_id long, url string, host string, path string, lines array<string>, levels array<int>")
     rows = rows.withColumn("order_key", F.concat_ws("\n", "host", "path", F.lpad(F.coalesce("page_id", F.lit(0)).cast("string"), 20, "0"))).withColumn("h", F.xxhash64("url"))
-    return in_order(rows, "order_key", "h").mapInPandas(_differenced, "page_id long, url string, text string, n_chars long")
+    parsed = "page_id long, url string, host string, path string, order_key string, h long, bucket int, side int, lines array<string>, levels array<int>"
+    return in_order(rows, "order_key", "h", prepare=lambda df: df.mapInPandas(_parsed, parsed)).mapInPandas(_differenced, "page_id long, url string, text string, n_chars long")

@@ -6,7 +6,7 @@ So a task sees every row together with its neighbours in the order of all rows,
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,12 +18,12 @@ from .common import materialize, partitions
 SAMPLE = 40
 
 
-def in_order(rows: DataFrame, key: str, rank: str, wrap: bool = False, buckets: int | None = None) -> DataFrame:
+def in_order(rows: DataFrame, key: str, rank: str, wrap: bool = False, buckets: int | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``rows`` by ``key`` (not null), ties by ``rank``, with columns bucket and side.
 
     side is 0, or -1 and 1 for copies of the rows just before and after the bucket; ``wrap``: the first row of all
     comes after the last. Each partition holds whole buckets, sorted. Ranges come from a bounded sample of keys, and
-    the order doesn't depend on them. Copies are repeated if rows are alike in key and rank; take the nearest.
+    the order doesn't depend on them. ``prepare`` maps the rows once they are dealt, before they travel. Copies are repeated if rows are alike in key and rank; take the nearest.
     """
     n = buckets or partitions(rows.sparkSession)
     sample = rows.select(key).orderBy(F.xxhash64(key, F.lit(5)), key).limit(SAMPLE * n).collect() if n > 1 else []
@@ -52,4 +52,5 @@ def in_order(rows: DataFrame, key: str, rank: str, wrap: bool = False, buckets:
     )
     both = both.withColumn("at", F.explode(F.filter(sides, lambda x: x.isNotNull())))
     both = both.select(*rows.columns, F.col("at.bucket").alias("bucket"), F.col("at.side").alias("side"))
+    both = prepare(both) if prepare else both
     return both.repartition(n, "bucket").sortWithinPartitions("bucket", "side", key, rank)
