@@ -1,0 +1,105 @@
+"""Registered queries against DuckDB on the smallest tables, and properties of the building blocks."""
+
+from datetime import datetime, timezone
+
+import duckdb
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from loomery.operators import ingest, paging, represent
+from loomery.operators.filters import Filters, date_bound
+from loomery.plans import catalogue
+from loomery.sources.store import Store
+from loomery.streaming.upsert import stream_upsert
+
+DATA = "/root/testdata/sf0.001"
+TABLES = "orders events documents embeddings labels conversations".split()
+
+
+@pytest.mark.parametrize("name", ["lex_any", "lex_phrase", "lex_exclude", "list_filtered", "facet_labels", "sem_top200", "rrf_query", "policy_visible", "upsert_latest", "seed_term_select"])
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    df = catalogue.Q[name](spark, DATA)
+    cols = sorted(df.columns)
+    got = con.execute(catalogue.SQL[name])
+    at = [[d[0] for d in got.description].index(c) for c in cols]
+    assert sorted((tuple(r) for r in df.select(*cols).collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in got.fetchall()), key=repr)
+
+
+def test_pages_partition_the_list(spark):
+    rows = spark.createDataFrame([("a/b", n, n % 3) for n in range(25)], "repo string, number long, updated_s long")
+    seen, cursor = [], None
+    while page := paging.page(rows, "updated", limit=7, cursor=cursor).collect():
+        seen += [r["number"] for r in page]
+        cursor = {"key": page[-1]["updated_s"], "repo": page[-1]["repo"], "number": page[-1]["number"]}
+    assert sorted(seen) == list(range(25)) and len(seen) == 25
+
+
+def test_cursor_errors():
+    text = paging.encode({"kind": "search", "signature": "s", "generation": "g"})
+    assert paging.decode(text, "search", "s", "g")["kind"] == "search"
+    for args, status in ((("list", "s", "g"), 400), (("search", "t", "g"), 400), (("search", "s", "h"), 409)):
+        with pytest.raises(paging.CursorError) as e:
+            paging.decode(text, *args)
+        assert e.value.status == status
+
+
+def test_date_bounds():
+    now = datetime(2024, 3, 1, tzinfo=timezone.utc)
+    assert date_bound("2024-01-02", True, now) == (1704240000, False)
+    assert date_bound("2024-01-02", False, now) == (1704153600, True)
+    assert date_bound("2d", False, now)[0] == int(now.timestamp()) - 172800
+    with pytest.raises(ValueError):
+        Filters(created_after="2024-02-01", created_before="2024-01-01").column()
+    with pytest.raises(ValueError):
+        Filters(repo="a/..").column()
+
+
+def test_fences_sections_references():
+    body = "intro\n## Steps\n```\n# not a heading #5\n```\n## Expected\n_No response_\n"
+    found = represent.split_sections(body)
+    assert [(s["heading"], s["empty"]) for s in found] == [("", False), ("Steps", False), ("Expected", True)]
+    refs = represent.find_references("a/b", "duplicate of #12, fixes c/d#3; v1/#9 ```\nhttps://github.com/x/y/issues/7\n")
+    assert [r[:3] for r in refs] == [("a/b", 12, "duplicate_reference"), ("c/d", 3, "fix_reference"), ("x/y", 7, "mention")]
+    assert represent.declares_ai("hello\nGenerated by AI") and not represent.declares_ai("```\nGenerated by AI\n```")
+
+
+@given(st.text(max_size=6000))
+def test_chunks_cover_the_text(text):
+    parts = represent.split_chunks(text)
+    assert all(text.encode()[a:b].decode() == t for a, b, t in parts)
+    assert bool(parts) == bool(text.strip())
+
+
+def test_upsert_is_idempotent_and_ties_take_the_incoming(spark):
+    a = spark.createDataFrame([(1, 5, "x"), (2, 9, "y")], "k long, version long, payload string")
+    b = spark.createDataFrame([(1, 5, "z"), (2, 8, "old"), (3, 1, "new")], "k long, version long, payload string")
+    once = ingest.upsert(a, b, ["k"])
+    assert sorted(tuple(r) for r in once.collect()) == [(1, 5, "z"), (2, 9, "y"), (3, 1, "new")]
+    assert sorted(map(tuple, ingest.upsert(once, b, ["k"]).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_reply_cycles_are_an_error(spark):
+    rows = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, in_reply_to string")
+    with pytest.raises(Exception, match="cycle"):
+        ingest.thread_roots(rows).collect()
+
+
+def test_generations_and_streamed_changes(spark, tmp_path):
+    store, copy = Store(spark, f"file://{tmp_path}/s"), Store(spark, f"file://{tmp_path}/c")
+    src = f"{tmp_path}/in"
+    spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k long, version long, payload string").write.parquet(src)
+    read = lambda: spark.readStream.schema("k long, version long, payload string").parquet(src)
+    stream_upsert(read(), store, "t", ["k"], f"{tmp_path}/cp").awaitTermination()
+    first = store.manifest()["generation"]
+    spark.createDataFrame([(1, 2, "c")], "k long, version long, payload string").write.mode("append").parquet(src)
+    stream_upsert(read(), store, "t", ["k"], f"{tmp_path}/cp").awaitTermination()
+    assert store.manifest()["generation"] != first
+    assert sorted(map(tuple, store.read("t").collect())) == [(1, 2, "c"), (2, 1, "b")]
+    store.publish(copy)
+    back = Store(spark, f"file://{tmp_path}/b")
+    back.acquire(copy)
+    assert back.read("t").count() == 2
