@@ -26,6 +26,8 @@ K, T = 64, 36
 SHORT_LIST = 24
 #: Left-over documents of long lists that are compared with all posted documents at a time.
 BLOCK = 1500
+#: Ids of documents whose sets are needed that are broadcast at most; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20240131)
 _A = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, K, dtype=np.uint64)
@@ -79,16 +81,38 @@ def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc": np.repeat(f["doc_id"].to_numpy(), K), "token": (sig.astype(np.int64) + at).ravel()})
 
 
-def _sets(width: int):
+def _short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A byte of each coordinate: chance agreement of bytes only adds collisions, so none is lost by it."""
+    for f in frames:
+        sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, K).astype(np.uint8)
+        yield pd.DataFrame({"doc": f["doc_id"], "n": f["n_shingles"], "sig": [x.tobytes() for x in sig]})
+
+
+def _hashed(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for f in frames:
-            sets = [shingle_set(t, width, hashes) for t in f["text"]]
-            yield pd.DataFrame({"doc": f["doc_id"], "n": [len(s) for s in sets], "sig": [signature(s).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"doc": f["doc_id"], "shingles": [shingle_set(t, width, hashes).tobytes() for t in f["text"]]})
 
     return run
 
 
+class Sets:
+    """Full shingle sets of the documents asked for, each made once. Ids are broadcast up to BROADCAST_IDS."""
+
+    def __init__(self, docs: DataFrame, width: int):
+        self.docs, self.width, self.known = docs.where("text is not null"), width, None
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        new = ids.distinct() if self.known is None else ids.distinct().join(self.known.select("doc"), "doc", "left_anti")
+        new = materialize(new, "new")
+        side = F.broadcast(new) if new.count() <= BROADCAST_IDS else new
+        rows = self.docs.join(side, self.docs["doc_id"] == side["doc"], "left_semi").mapInPandas(_hashed(self.width), "doc long, shingles binary")
+        rows = materialize(rows, "sets")
+        self.known = rows if self.known is None else self.known.union(rows)
+        return self.known
+
+
 def _linked(sx: np.ndarray, sy: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(sx, sy, assume_unique=True))
     return 100 * both >= percent * (len(sx) + len(sy) - both)
@@ -99,7 +123,7 @@ def _collided(percent: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            sa, sb = (np.frombuffer(b"".join(f[c]), np.uint32).reshape(-1, K) for c in ("sig_a", "sig_b"))
+            sa, sb = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(-1, K) for c in ("sig_a", "sig_b"))
             hits = (sa == sb).sum(axis=1)
             keep = (hits >= T) & (100 * f[["n_a", "n_b"]].min(axis=1) >= percent * f[["n_a", "n_b"]].max(axis=1)).to_numpy()
             yield pd.DataFrame({"a": f["a"][keep], "b": f["b"][keep], "hits": hits[keep]})
@@ -116,27 +140,46 @@ def _verified(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+def _links(pairs: DataFrame, sigs: DataFrame, sets: Sets, percent: int, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) that collide in T coordinates and reach the threshold on their full sets; ``nearest``: only the
     a of most collisions is tried for each b. Collisions are counted on signatures, so few sets travel."""
-    side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    side = lambda x: sigs.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_collided(percent), "a long, b long, hits long")
     if nearest:
         near = near.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
     near = materialize(near.select("a", "b"), "near")
-    whole = lambda x: sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"set_{x}"))
+    made = sets.of(near.select(F.col("a").alias("doc")).union(near.select("b")))
+    whole = lambda x: made.select(F.col("doc").alias(x), F.col("shingles").alias(f"set_{x}"))
     return materialize(near.join(whole("a"), "a").join(whole("b"), "b").mapInPandas(_verified(percent), "a long, b long"), "links")
 
 
-def _against(block: list[tuple[int, bytes, bytes]], percent: int):
+def _near_block(block: list[tuple[int, int, bytes]], percent: int):
+    """Documents (of ``block`` and of the rows) that have a partner by collisions and sizes."""
+    ids, sizes = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.int64)
+    sigs = np.frombuffer(b"".join(bytes(x[2]) for x in block), np.uint8).reshape(-1, K)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out: set[int] = set()
+            for doc, n, sig in zip(f["doc"], f["n"], f["sig"], strict=True):
+                fits = (sigs == np.frombuffer(sig, np.uint8)).sum(axis=1) >= T
+                fits &= (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (ids != doc)
+                if fits.any():
+                    out |= {doc, *ids[fits].tolist()}
+            yield pd.DataFrame({"doc": sorted(out)}, dtype="int64")
+
+    return run
+
+
+def _against(block: list[tuple[int, bytes]], percent: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sigs = np.frombuffer(b"".join(bytes(x[1]) for x in block), np.uint32).reshape(-1, K)
-        ids, sets = [x[0] for x in block], [np.frombuffer(bytes(x[2]), np.uint64) for x in block]
+        ids, sets = [x[0] for x in block], [np.frombuffer(bytes(x[1]), np.uint64) for x in block]
+        sizes = np.array([len(s) for s in sets])
         for f in frames:
             out = []
-            for doc, sig, s in zip(f["doc"], f["sig"], f["shingles"], strict=True):
+            for doc, s in zip(f["doc"], f["shingles"], strict=True):
                 s = np.frombuffer(s, np.uint64)
-                near = np.flatnonzero((sigs == np.frombuffer(sig, np.uint32)).sum(axis=1) >= T)
+                near = np.flatnonzero(100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s)))
                 out += [(ids[i], doc) for i in near if ids[i] != doc and _linked(sets[i], s, percent)]
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -172,13 +215,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     posted = materialize(posted, "posted")
 
     members = posted.select("doc").distinct()
-    sets = docs.join(members, docs["doc_id"] == members["doc"], "left_semi").where("text is not null")
-    sets = sets.mapInPandas(_sets(width), "doc long, n long, sig binary, shingles binary")
-    sets = materialize(sets.dropDuplicates(["doc", "shingles"]), "sets")
+    sigs = signed.where("sig is not null").join(members, signed["doc_id"] == members["doc"], "left_semi").dropDuplicates(["doc_id", "set_key"])
+    sigs = materialize(sigs.mapInPandas(_short, "doc long, n long, sig binary"), "sigs")
+    sets = Sets(docs, width)
 
     hubs = posted.groupBy("token").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("a"), F.count("*").alias("n"))
     pairs = posted.join(materialize(hubs.where("n > 1"), "hubs"), "token").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
-    links = _links(pairs, sets, percent, nearest=True)
+    links = _links(pairs, sigs, sets, percent, nearest=True)
 
     def labelled() -> tuple[DataFrame, DataFrame]:
         """The components so far, and the posting lists that hold more than one of them."""
@@ -194,24 +237,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = rest.join(materialize(hubs, "hubs"), "token").where("label <> hub.label")
     pairs = materialize(pairs.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
-        links = links.union(_links(pairs, sets, percent, nearest=True))
+        links = links.union(_links(pairs, sigs, sets, percent, nearest=True))
         found, rest = labelled()
         short = rest.where(f"n <= {SHORT_LIST}")
         x, y = short.select("token", F.col("doc").alias("a"), F.col("label").alias("la")), short.select("token", F.col("doc").alias("b"), F.col("label").alias("lb"))
         pairs = x.join(y, "token").where("a < b and la <> lb").select("a", "b").distinct()
-        links = links.union(_links(pairs, sets, percent))
+        links = links.union(_links(pairs, sigs, sets, percent))
         size = rest.where(f"n > {SHORT_LIST}").groupBy("token", "label").agg(F.count("*").alias("m"))
         main = size.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+        long = materialize(rest.where(f"n > {SHORT_LIST}").select("doc").distinct(), "long")
         odd = rest.where(f"n > {SHORT_LIST}").join(main, "token").where("label <> main").select("doc").distinct()
-        odd = materialize(odd.withColumn("block", F.lit(0)), "odd")
-        n = odd.count()
-        if n:
-            blocks = -(-n // BLOCK)
-            odd = materialize(sets.join(odd.select("doc", F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block")), "doc"), "odd")
-            for i in range(blocks):
-                block = [(r["doc"], r["sig"], r["shingles"]) for r in odd.where(f"block = {i}").collect()]
-                if block:
-                    links = links.union(materialize(sets.mapInPandas(_against(block, percent), "a long, b long"), "links"))
+        odd = materialize(sigs.join(odd, "doc", "left_semi"), "odd")
+        long = materialize(sigs.join(long, "doc", "left_semi"), "long")
+        blocks = -(-odd.count() // BLOCK)
+        for i in range(blocks):
+            part = odd.where(F.pmod(F.xxhash64("doc"), F.lit(blocks)) == i)
+            block = [(r["doc"], r["n"], r["sig"]) for r in part.collect()]  # about BLOCK rows
+            if not block:
+                continue
+            near = materialize(long.mapInPandas(_near_block(block, percent), "doc long").distinct(), "near")
+            made = sets.of(near).join(near, "doc", "left_semi")
+            block = [(r["doc"], r["shingles"]) for r in made.join(part.select("doc"), "doc", "left_semi").collect()]
+            if block:
+                links = links.union(materialize(made.mapInPandas(_against(block, percent), "a long, b long"), "links"))
         found = connected_components(links)
 
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").withColumn("own", F.coalesce("rep", "doc_id"))
