@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html, language, mixing, neardup, pii, quality, urls, warc
+from . import decontaminate, fingerprint, html, language, mixing, neardup, oracles, pii, quality, urls, warc
 from .common import bounded_batches, table
 
 
@@ -78,4 +78,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hang on learned models, seeded samples or Python's text rules; tests hold them to brute force."""
+    return {
+        "op1_minhash_near_dedup": oracles.NEAR_DEDUP,
+        "op2_benchmark_decontamination": oracles.CONTAMINATION,
+        "op5_warc_chunked_records": oracles.ARCHIVED,
+        "op8_url_filter": oracles.url_filter(urls.RULES, urls.BLOCKLIST),
+    }
