@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import candidates, ingest, lexical, paging, policy, represent, semantic
+from ..operators import candidates, context, evaluate, ingest, lexical, paging, policy, represent, semantic
 from ..operators.filters import Filters
 from ..sources.model import Mirror
 
@@ -403,3 +403,47 @@ def attribution(spark, d):
 def vocabulary_top(spark, d):
     rows = Mirror(spark, d).documents.select(F.explode_outer(F.concat(tokens(F.col("title")), tokens(F.col("body")))).alias("term")).where("term is not null")
     return rows.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
+
+
+# ---- budgeted evidence, evaluation
+
+
+@query("with " + TICKETS + COMMENTS + """, newest as (
+    select *, row_number() over (partition by repo, number order by created_s desc, id desc) as r,
+      contains(lower(body), 'thing') as m, row_number() over (partition by repo, number, contains(lower(body), 'thing') order by created_s desc, id desc) as rm
+    from comments)
+  , picked as (
+    select *, row_number() over (partition by repo, number order by case when m and rm <= 3 then 0 else 1 end, created_s desc, id desc) as place
+    from newest)
+  , pieces as (
+    select repo, number, 0 as place, null as id, coalesce(body, '') as text, least(length(coalesce(body, '')), 1333) as wanted from tickets
+    union all select repo, number, place, id, coalesce(body, ''), least(length(coalesce(body, '')), 2048) from picked where place <= 6)
+  , budget as (
+    select *, greatest(2000 - coalesce(sum(wanted) over (partition by repo, number order by place rows between unbounded preceding and 1 preceding), 0), 0) as remains
+    from pieces)
+  select repo, number, place, id, left(text, cast(least(wanted, remains) as bigint)) as text, cast(least(wanted, remains) as bigint) as chars,
+    least(wanted, remains) < length(text) as truncated
+  from budget where place = 0 or remains > 0""")
+def context_budgeted(spark, d):
+    m = Mirror(spark, d)
+    return context.budgeted(m.tickets, m.comments, budget=2000, limit=6, terms=["thing"])
+
+
+@query("with " + TICKETS + """, ranked as (select *, row_number() over (partition by repo order by updated_s desc, number) as place from tickets)
+  select repo as "case", least(count(*), 30) as returned, count(*) filter (kind = 'pull_request' and place <= 10) / 10 as precision_10,
+    count(*) filter (kind = 'pull_request' and place <= 20) / count(*) filter (kind = 'pull_request') as recall_20,
+    coalesce(1 / min(place) filter (kind = 'pull_request' and place <= 20), 0) as reciprocal_20
+  from ranked group by repo having count(*) filter (kind = 'pull_request') > 0""")
+def eval_ranking(spark, d):
+    """How well recency finds pull requests: each repository is a case."""
+    t = Mirror(spark, d).tickets.select(F.col("repo").alias("case"), "repo", "number", "kind", "updated_s")
+    place = F.row_number().over(Window.partitionBy("case").orderBy(F.desc("updated_s"), "number"))
+    return evaluate.scores(t.withColumn("place", place).where("place <= 30"), t.where("kind = 'pull_request'"))
+
+
+@query("""with calls as (select event_type as "case", value as elapsed_ms from events where value is not null)
+  select quantile_disc(elapsed_ms, 0.5) as p50_ms, quantile_disc(elapsed_ms, 0.95) as p95_ms from calls""")
+def eval_latency(spark, d):
+    rows = Mirror(spark, d).table("events").where("value is not null").select(F.col("value").alias("elapsed_ms"))
+    none = F.lit(0.0)
+    return evaluate.summary(rows.select("elapsed_ms", none.alias("precision_10"), none.alias("recall_20"), none.alias("reciprocal_20"))).select("p50_ms", "p95_ms")

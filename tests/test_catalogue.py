@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from loomery.operators import ingest, paging, represent
+from loomery.operators import context, evaluate, ingest, paging, represent
 from loomery.operators.filters import Filters, date_bound
 from loomery.plans import catalogue
 from loomery.sources.store import Store
@@ -17,7 +17,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "orders events documents embeddings labels conversations".split()
 
 
-@pytest.mark.parametrize("name", ["lex_any", "lex_phrase", "lex_exclude", "list_filtered", "facet_labels", "sem_top200", "rrf_query", "policy_visible", "upsert_latest", "seed_term_select"])
+@pytest.mark.parametrize("name", ["lex_any", "lex_phrase", "lex_exclude", "list_filtered", "facet_labels", "sem_top200", "rrf_query", "policy_visible", "upsert_latest", "seed_term_select", "context_budgeted", "eval_ranking", "eval_latency"])
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -103,3 +103,22 @@ def test_generations_and_streamed_changes(spark, tmp_path):
     back = Store(spark, f"file://{tmp_path}/b")
     back.acquire(copy)
     assert back.read("t").count() == 2
+
+
+def test_scores_by_hand(spark):
+    ranked = spark.createDataFrame([("a", 1, "r", 7), ("a", 2, "r", 7), ("a", 3, "r", 8), ("a", 12, "r", 9), ("b", 1, "r", 1)], "case string, place int, repo string, number long")
+    judged = spark.createDataFrame([("a", "r", 8), ("a", "r", 9), ("a", "r", 10), ("a", "r", 7), ("c", "r", 1)], "case string, repo string, number long")
+    got = {r["case"]: tuple(r)[1:] for r in evaluate.scores(ranked, judged).collect()}
+    assert got == {"a": (4, 0.2, 0.75, 1.0), "c": (0, 0.0, 0.0, 0.0)}
+
+
+def test_evidence_keeps_to_its_budget(spark):
+    tickets = spark.createDataFrame([("r", 1, "x" * 5000), ("r", 2, None)], "repo string, number long, body string")
+    said = [("r", n, f"{n}-{i}", ("Key " if i == 0 else "") + "y" * 900, i) for n in (1, 2) for i in range(5)]
+    comments = spark.createDataFrame([*said, ("r", 9, "no ticket", "z", 1)], "repo string, number long, id string, body string, created_s long")
+    got = [r for r in context.budgeted(tickets, comments, 3000, 4, ["key"]).orderBy("number", "place").collect()]
+    assert [(r["number"], r["id"], r["chars"], r["truncated"]) for r in got] == [
+        (1, None, 2000, True), (1, "1-0", 904, False), (1, "1-4", 96, True),
+        (2, None, 0, False), (2, "2-0", 904, False), (2, "2-4", 900, False), (2, "2-3", 900, False), (2, "2-2", 296, True),
+    ]
+    assert all(len(r["text"]) == r["chars"] for r in got)
