@@ -23,7 +23,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while not e.isEmpty():
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
         hook = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
-        hook = materialize(hook, "hook")
         jump = hook.alias("x").join(hook.alias("y"), F.col("x.p") == F.col("y.a"), "left")
         jump = materialize(jump.select(F.col("x.a").alias("a"), F.coalesce("y.p", "x.p").alias("p")), "jump")
         labels = materialize(
@@ -34,3 +33,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         e = e.join(ja, "a").join(jb, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         e = materialize(e.where("a <> b").distinct(), "edges")
     return labels
+
+
+def merged_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of the components ``found`` once ``links`` (a, b) are added: only links between two of them
+    are contracted, so what is known already isn't worked through again."""
+    side = lambda x: found.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    e = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    e = e.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b")
+    e = materialize(e.distinct(), "edges")
+    if e.isEmpty():
+        return found
+    up = connected_components(e)
+    # Every label is a node of its own component, so the nodes of ``up`` are such rows of ``found`` or new.
+    nodes = found.union(up.select("node", F.col("node").alias("label"))).distinct()
+    higher = up.select(F.col("node").alias("low"), F.col("label").alias("least"))
+    nodes = nodes.join(higher, nodes["label"] == higher["low"], "left").select("node", F.coalesce("least", "label").alias("label"))
+    return materialize(nodes, "labels")

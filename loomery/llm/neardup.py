@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, materialize, mix64
-from .components import connected_components
+from .components import connected_components, merged_components
 
 K, T = 64, 36
 #: Lists up to this length are merged pair by pair where members are not yet connected; longer ones in blocks.
@@ -223,26 +223,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = posted.join(materialize(hubs.where("n > 1"), "hubs"), "token").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
     links = _links(pairs, sigs, sets, percent, nearest=True)
 
-    def labelled() -> tuple[DataFrame, DataFrame]:
-        """The components so far, and the posting lists that hold more than one of them."""
-        found = connected_components(links)
+    def listed(found: DataFrame) -> DataFrame:
+        """The posting lists that hold more than one of the components ``found``."""
         rows = posted.join(found, posted["doc"] == found["node"], "left").select("token", "doc", F.coalesce("label", "doc").alias("label"))
         rows = materialize(rows, "rows")
         mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
         mixed = materialize(mixed.where("low <> high").select("token", "n"), "mixed")
-        return found, rows.join(mixed, "token")
+        return rows.join(mixed, "token")
 
-    found, rest = labelled()
+    found = connected_components(links)
+    rest = listed(found)
     hubs = rest.groupBy("token").agg(F.min_by(F.struct("doc", "label"), F.xxhash64("token", "doc")).alias("hub"))
     pairs = rest.join(materialize(hubs, "hubs"), "token").where("label <> hub.label")
     pairs = materialize(pairs.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
-        links = links.union(_links(pairs, sigs, sets, percent, nearest=True))
-        found, rest = labelled()
+        found = merged_components(found, _links(pairs, sigs, sets, percent, nearest=True))
+        rest = listed(found)
         short = rest.where(f"n <= {SHORT_LIST}")
         x, y = short.select("token", F.col("doc").alias("a"), F.col("label").alias("la")), short.select("token", F.col("doc").alias("b"), F.col("label").alias("lb"))
         pairs = x.join(y, "token").where("a < b and la <> lb").select("a", "b").distinct()
-        links = links.union(_links(pairs, sigs, sets, percent))
+        links = _links(pairs, sigs, sets, percent)
         size = rest.where(f"n > {SHORT_LIST}").groupBy("token", "label").agg(F.count("*").alias("m"))
         main = size.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
         long = materialize(rest.where(f"n > {SHORT_LIST}").select("doc").distinct(), "long")
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             block = [(r["doc"], r["shingles"]) for r in made.join(part.select("doc"), "doc", "left_semi").collect()]
             if block:
                 links = links.union(materialize(made.mapInPandas(_against(block, percent), "a long, b long"), "links"))
-        found = connected_components(links)
+        found = merged_components(found, links)
 
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").withColumn("own", F.coalesce("rep", "doc_id"))
     out = out.join(found, out["own"] == found["node"], "left").withColumn("component_id", F.coalesce("label", "own"))

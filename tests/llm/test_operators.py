@@ -91,6 +91,15 @@ def test_components_of_a_chain(spark):
     assert {out[i] for i in range(1, 201)} == {1} and out[501] == 500 and out[700] == 700
 
 
+def test_merged_components_equal_those_of_all_links(spark):
+    first = spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "a long, b long")
+    more = spark.createDataFrame([(4, 6), (2, 9), (7, 8), (1, 2)], "a long, b long")
+    found = components.connected_components(first)
+    out = {(r["node"], r["label"]) for r in components.merged_components(found, more).collect()}
+    assert out == {(r["node"], r["label"]) for r in components.connected_components(first.union(more)).collect()}
+    assert components.merged_components(found, first) is found
+
+
 # ---- contamination
 
 
