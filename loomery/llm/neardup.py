@@ -78,7 +78,8 @@ def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     at = np.arange(K, dtype=np.int64) << 32
     for f in frames:
         sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, K)
-        yield pd.DataFrame({"doc": np.repeat(f["doc_id"].to_numpy(), K), "token": (sig.astype(np.int64) + at).ravel()})
+        ids, sizes = (np.repeat(f[c].to_numpy(), K) for c in ("doc_id", "n_shingles"))
+        yield pd.DataFrame({"doc": ids, "size": sizes, "token": (sig.astype(np.int64) + at).ravel()})
 
 
 def _short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,18 +201,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = materialize(docs.mapInPandas(_signed(width), "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
     classes = materialize(signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
 
-    heads = classes.where("rep is not null").join(signed.select("set_key", "doc_id", "sig"), "set_key").where("doc_id = rep")
-    heads = heads.dropDuplicates(["set_key", "rep"]).select("doc_id", "sig")
-    tokens = heads.mapInPandas(_tokens, "doc long, token long")
-    tokens = materialize(tokens, "tokens")
+    heads = classes.where("rep is not null").join(signed.select("set_key", "doc_id", "n_shingles", "sig"), "set_key").where("doc_id = rep")
+    heads = materialize(heads.dropDuplicates(["set_key", "rep"]).select("doc_id", "n_shingles", "sig"), "heads")
+    tokens = heads.mapInPandas(_tokens, "doc long, size long, token long")  # cheaper to make twice than to store
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    posted = tokens.join(shared, "token").groupBy("doc").agg(F.collect_list(F.struct("n", "token")).alias("own"))
+    posted = tokens.join(shared, "token").groupBy("doc").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.collect_list(F.struct("n", "token")).alias("own"))
     posted = posted.where(F.size("own") >= T).select(
         "doc",
+        F.expr("if(low = high, low, null) size"),  # rows that share a doc_id can have sets of two sizes
         F.expr("aggregate(own, 0L, (x, y) -> x + y.n)").alias("weight"),
         F.expr(f"slice(array_sort(own), 1, greatest(0, {K - T + 1} - ({K} - size(own))))").alias("prefix"),
     )
-    posted = posted.select("doc", "weight", F.explode("prefix.token").alias("token"))
+    posted = posted.select("doc", "size", "weight", F.explode("prefix.token").alias("token"))
     posted = materialize(posted, "posted")
 
     members = posted.select("doc").distinct()
@@ -219,13 +220,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sigs = materialize(sigs.mapInPandas(_short, "doc long, n long, sig binary"), "sigs")
     sets = Sets(docs, width)
 
-    hubs = posted.groupBy("token").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("a"), F.count("*").alias("n"))
-    pairs = posted.join(materialize(hubs.where("n > 1"), "hubs"), "token").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+    def fits(x: str, y: str) -> str:
+        """Sizes too far apart for the threshold: such a pair isn't worth a look at its signatures."""
+        return f"coalesce({x} * 100 >= {y} * {percent} and {y} * 100 >= {x} * {percent}, true)"
+
+    hubs = posted.groupBy("token").agg(F.max_by(F.struct("doc", "size"), F.struct("weight", -F.col("doc"))).alias("hub"), F.count("*").alias("n"))
+    pairs = posted.join(materialize(hubs.where("n > 1"), "hubs"), "token").where(f"doc <> hub.doc and {fits('size', 'hub.size')}")
+    pairs = pairs.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
     links = _links(pairs, sigs, sets, percent, nearest=True)
 
     def listed(found: DataFrame) -> DataFrame:
         """The posting lists that hold more than one of the components ``found``."""
-        rows = posted.join(found, posted["doc"] == found["node"], "left").select("token", "doc", F.coalesce("label", "doc").alias("label"))
+        rows = posted.join(found, posted["doc"] == found["node"], "left").select("token", "doc", "size", F.coalesce("label", "doc").alias("label"))
         rows = materialize(rows, "rows")
         mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
         mixed = materialize(mixed.where("low <> high").select("token", "n"), "mixed")
@@ -233,15 +239,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     found = connected_components(links)
     rest = listed(found)
-    hubs = rest.groupBy("token").agg(F.min_by(F.struct("doc", "label"), F.xxhash64("token", "doc")).alias("hub"))
-    pairs = rest.join(materialize(hubs, "hubs"), "token").where("label <> hub.label")
+    hubs = rest.groupBy("token").agg(F.min_by(F.struct("doc", "size", "label"), F.xxhash64("token", "doc")).alias("hub"))
+    pairs = rest.join(materialize(hubs, "hubs"), "token").where(f"label <> hub.label and {fits('size', 'hub.size')}")
     pairs = materialize(pairs.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
         found = merged_components(found, _links(pairs, sigs, sets, percent, nearest=True))
         rest = listed(found)
         short = rest.where(f"n <= {SHORT_LIST}")
-        x, y = short.select("token", F.col("doc").alias("a"), F.col("label").alias("la")), short.select("token", F.col("doc").alias("b"), F.col("label").alias("lb"))
-        pairs = x.join(y, "token").where("a < b and la <> lb").select("a", "b").distinct()
+        ends = lambda x: short.select("token", F.col("doc").alias(x), F.col("label").alias(f"label_{x}"), F.col("size").alias(f"size_{x}"))
+        pairs = ends("a").join(ends("b"), "token").where(f"a < b and label_a <> label_b and {fits('size_a', 'size_b')}").select("a", "b").distinct()
         links = _links(pairs, sigs, sets, percent)
         size = rest.where(f"n > {SHORT_LIST}").groupBy("token", "label").agg(F.count("*").alias("m"))
         main = size.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
