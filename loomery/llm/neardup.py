@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,34 +90,54 @@ def _short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc": f["doc_id"], "n": f["n_shingles"], "sig": [x.tobytes() for x in sig]})
 
 
-def _hashed(width: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for f in frames:
-            yield pd.DataFrame({"doc": f["doc_id"], "shingles": [shingle_set(t, width, hashes).tobytes() for t in f["text"]]})
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for f in frames:
+        yield pd.DataFrame({"doc": f["doc_id"], "packed": [pack(t) for t in f["text"]]})
 
-    return run
+
+class Unpacked:
+    """Shingle sets of packed texts. ``of`` remembers them, up to LIMIT shingles at a time; ``fresh`` doesn't."""
+
+    LIMIT = 4_000_000
+
+    def __init__(self, width: int):
+        self.width, self.hashes, self.known, self.held, self.unpack = width, WordHashes(), {}, 0, zstandard.ZstdDecompressor().decompress
+
+    def fresh(self, packed: bytes) -> np.ndarray:
+        return shingle_set(self.unpack(packed), self.width, self.hashes)
+
+    def of(self, packed: bytes) -> np.ndarray:
+        """By the packed bytes, which stand for one text, so rows that share a doc_id aren't confused."""
+        if (s := self.known.get(packed)) is None:
+            s = self.fresh(packed)
+            if self.held + len(s) > self.LIMIT:
+                self.known, self.held = {}, 0
+            self.known[packed] = s
+            self.held += len(s)
+        return s
 
 
 class Sets:
-    """Full shingle sets of the documents asked for, each made once. Ids are broadcast up to BROADCAST_IDS."""
+    """Packed texts of the documents whose full sets are needed, each taken once; a set is made again where it is
+    compared, since a packed text is a fraction of its set. Ids are broadcast up to BROADCAST_IDS."""
 
-    def __init__(self, docs: DataFrame, width: int):
-        self.docs, self.width, self.known = docs.where("text is not null"), width, None
+    def __init__(self, docs: DataFrame):
+        self.docs, self.known = docs.where("text is not null"), None
 
     def of(self, ids: DataFrame) -> DataFrame:
         new = ids.distinct() if self.known is None else ids.distinct().join(self.known.select("doc"), "doc", "left_anti")
         new = materialize(new, "new")
         side = F.broadcast(new) if new.count() <= BROADCAST_IDS else new
-        rows = self.docs.join(side, self.docs["doc_id"] == side["doc"], "left_semi").mapInPandas(_hashed(self.width), "doc long, shingles binary")
-        rows = materialize(rows, "sets")
+        rows = self.docs.join(side, self.docs["doc_id"] == side["doc"], "left_semi").mapInPandas(_packed, "doc long, packed binary")
+        rows = materialize(rows, "texts")
         self.known = rows if self.known is None else self.known.union(rows)
         return self.known
 
 
 def _linked(sx: np.ndarray, sy: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(sx, sy, assume_unique=True))
-    return 100 * both >= percent * (len(sx) + len(sy) - both)
+    return both > 0 and 100 * both >= percent * (len(sx) + len(sy) - both)
 
 
 def _collided(percent: int):
@@ -132,16 +153,17 @@ def _collided(percent: int):
     return run
 
 
-def _verified(percent: int):
+def _verified(width: int, percent: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = Unpacked(width)
         for f in frames:
-            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(f["set_a"], f["set_b"], strict=True)]
+            keep = [_linked(sets.of(x), sets.of(y), percent) for x, y in zip(f["packed_a"], f["packed_b"], strict=True)]
             yield f.loc[np.array(keep, bool), ["a", "b"]]
 
     return run
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, sets: Sets, percent: int, nearest: bool = False) -> DataFrame:
+def _links(pairs: DataFrame, sigs: DataFrame, sets: Sets, width: int, percent: int, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) that collide in T coordinates and reach the threshold on their full sets; ``nearest``: only the
     a of most collisions is tried for each b. Collisions are counted on signatures, so few sets travel."""
     side = lambda x: sigs.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
@@ -150,8 +172,8 @@ def _links(pairs: DataFrame, sigs: DataFrame, sets: Sets, percent: int, nearest:
         near = near.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
     near = materialize(near.select("a", "b"), "near")
     made = sets.of(near.select(F.col("a").alias("doc")).union(near.select("b")))
-    whole = lambda x: made.select(F.col("doc").alias(x), F.col("shingles").alias(f"set_{x}"))
-    return materialize(near.join(whole("a"), "a").join(whole("b"), "b").mapInPandas(_verified(percent), "a long, b long"), "links")
+    whole = lambda x: made.select(F.col("doc").alias(x), F.col("packed").alias(f"packed_{x}"))
+    return materialize(near.join(whole("a"), "a").join(whole("b"), "b").mapInPandas(_verified(width, percent), "a long, b long"), "links")
 
 
 def _near_block(block: list[tuple[int, int, bytes]], percent: int):
@@ -172,14 +194,16 @@ def _near_block(block: list[tuple[int, int, bytes]], percent: int):
     return run
 
 
-def _against(block: list[tuple[int, bytes]], percent: int):
+def _against(block: list[tuple[int, bytes]], width: int, percent: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, sets = [x[0] for x in block], [np.frombuffer(bytes(x[1]), np.uint64) for x in block]
-        sizes = np.array([len(s) for s in sets])
+        unpacked, sets = Unpacked(width), []
         for f in frames:
+            if not sets:  # only where there are rows
+                ids, sets = [x[0] for x in block], [unpacked.fresh(bytes(x[1])) for x in block]
+                sizes = np.array([len(s) for s in sets])
             out = []
-            for doc, s in zip(f["doc"], f["shingles"], strict=True):
-                s = np.frombuffer(s, np.uint64)
+            for doc, packed in zip(f["doc"], f["packed"], strict=True):
+                s = unpacked.fresh(packed)
                 near = np.flatnonzero(100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s)))
                 out += [(ids[i], doc) for i in near if ids[i] != doc and _linked(sets[i], s, percent)]
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -218,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = posted.select("doc").distinct()
     sigs = signed.where("sig is not null").join(members, signed["doc_id"] == members["doc"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     sigs = materialize(sigs.mapInPandas(_short, "doc long, n long, sig binary"), "sigs")
-    sets = Sets(docs, width)
+    sets = Sets(docs)
 
     def fits(x: str, y: str) -> str:
         """Sizes too far apart for the threshold: such a pair isn't worth a look at its signatures."""
@@ -227,7 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     hubs = posted.groupBy("token").agg(F.max_by(F.struct("doc", "size"), F.struct("weight", -F.col("doc"))).alias("hub"), F.count("*").alias("n"))
     pairs = posted.join(materialize(hubs.where("n > 1"), "hubs"), "token").where(f"doc <> hub.doc and {fits('size', 'hub.size')}")
     pairs = pairs.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
-    links = _links(pairs, sigs, sets, percent, nearest=True)
+    links = _links(pairs, sigs, sets, width, percent, nearest=True)
 
     def listed(found: DataFrame) -> DataFrame:
         """The posting lists that hold more than one of the components ``found``."""
@@ -243,12 +267,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = rest.join(materialize(hubs, "hubs"), "token").where(f"label <> hub.label and {fits('size', 'hub.size')}")
     pairs = materialize(pairs.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
-        found = merged_components(found, _links(pairs, sigs, sets, percent, nearest=True))
+        found = merged_components(found, _links(pairs, sigs, sets, width, percent, nearest=True))
         rest = listed(found)
         short = rest.where(f"n <= {SHORT_LIST}")
         ends = lambda x: short.select("token", F.col("doc").alias(x), F.col("label").alias(f"label_{x}"), F.col("size").alias(f"size_{x}"))
         pairs = ends("a").join(ends("b"), "token").where(f"a < b and label_a <> label_b and {fits('size_a', 'size_b')}").select("a", "b").distinct()
-        links = _links(pairs, sigs, sets, percent)
+        links = _links(pairs, sigs, sets, width, percent)
         size = rest.where(f"n > {SHORT_LIST}").groupBy("token", "label").agg(F.count("*").alias("m"))
         main = size.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
         long = materialize(rest.where(f"n > {SHORT_LIST}").select("doc").distinct(), "long")
@@ -263,9 +287,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 continue
             near = materialize(long.mapInPandas(_near_block(block, percent), "doc long").distinct(), "near")
             made = sets.of(near).join(near, "doc", "left_semi")
-            block = [(r["doc"], r["shingles"]) for r in made.join(part.select("doc"), "doc", "left_semi").collect()]
+            block = [(r["doc"], r["packed"]) for r in made.join(part.select("doc"), "doc", "left_semi").collect()]
             if block:
-                links = links.union(materialize(made.mapInPandas(_against(block, percent), "a long, b long"), "links"))
+                links = links.union(materialize(made.mapInPandas(_against(block, width, percent), "a long, b long"), "links"))
         found = merged_components(found, links)
 
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").withColumn("own", F.coalesce("rep", "doc_id"))
