@@ -1,9 +1,10 @@
 """Personal data: base patterns, and terms that disclose a protected entity by corpus co-occurrence.
 
 How much a term t tells of an entity c is its pointwise mutual information with c as a share of the information
-that c itself carries: ln(n_tc * N / (n_t * n_c)) / ln(N / n_c), at most 1, over the N documents of the corpus.
-Terms beside an entity in at least ``support`` documents that exceed ``threshold`` are spans of kind ``term`` in
-the documents that name the entity there. DataFrame functions only.
+that c itself carries: ln(p * N / n_c) / ln(N / n_c) over the N documents of the corpus. p, how likely c is where t
+stands, is smoothed by one document that has t and names c by chance: (n_tc + n_c / N) / (n_t + 1). So entities
+that a single document names are judged too, and few documents tell less than many. Terms whose share reaches
+``threshold`` are spans of kind ``term`` wherever they stand in documents that name the entity. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -63,30 +64,44 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return df.withColumn("base", every).drop(*(f"of_{k}" for k in PATTERNS))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, window: int, support: int, threshold: float) -> DataFrame:
-    """(doc_id, th, term): terms beside an entity of the document that disclose it."""
-    near = found.where(F.size("base") > 0).select("doc_id", "th", "text", F.explode("base").alias("s"))
-    beside = F.expr(f"concat(substring(text, greatest(1, s.start - {window} + 1), least(s.start, {window})), '\\n', substring(text, s.end + 1, {window}))")
-    near = near.select("doc_id", "th", F.lower("s.value").alias("entity"), F.explode_outer(F.array_distinct(F.transform(F.regexp_extract_all(beside, F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))).alias("term"))
-    near = materialize(near.where("term is not null").distinct(), "near")
-    both = materialize(near.groupBy("entity", "term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= support), "both")
-    few = materialize(both.select("term").distinct(), "terms")
+def _terms():
+    return F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))
+
+
+def _share(n_tc, total: float):
+    """Rises with n_tc; null for an entity that every document names, which has nothing to disclose."""
+    p = (n_tc + F.col("n_c") / total) / (F.col("n_t") + 1)
+    return F.ln(p * total / F.col("n_c")) / F.when(F.col("n_c") < total, F.ln(total / F.col("n_c")))
+
+
+def disclosures(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, th, term): terms of documents that disclose an entity named in them."""
+    named = found.where(F.size("base") > 0).groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("rows"))
+    named = materialize(named, "named")
+    words = materialize(named.select("doc_id", "th", "rows", F.explode_outer(_terms()).alias("term")).where("term is not null"), "words")
+    few = materialize(words.select("term").distinct(), "terms")
     n = few.count()
     if not n:
-        return near.where("false").select("doc_id", "th", "term")
-    side = F.broadcast(few) if n <= BROADCAST_ROWS else few
-    seen = docs.select(F.explode_outer(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))).alias("term"))
-    of_term = seen.join(side, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    of_entity = found.where(F.size("base") > 0).select(F.explode_outer(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
-    of_entity = of_entity.groupBy("entity").agg(F.count("*").alias("n_c"))
+        return words.select("doc_id", "th", "term")
+    seen, count = docs.select(F.explode_outer(_terms()).alias("term")), F.count("*").alias("n_t")
+    if n <= BROADCAST_ROWS:
+        of_term = seen.join(F.broadcast(few), "term", "left_semi").groupBy("term").agg(count)
+    else:
+        of_term = seen.groupBy("term").agg(count).join(few, "term", "left_semi")
+    who = named.select("doc_id", "th", "rows", F.explode_outer(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
+    of_entity = materialize(who.groupBy("entity").agg(F.sum("rows").alias("n_c")), "entities")
     total = float(max(1, docs.count()))
-    told = both.join(of_term, "term").join(of_entity, "entity")
-    share = F.ln(F.col("n_tc") * total / (F.col("n_t") * F.col("n_c"))) / F.when(F.col("n_c") < total, F.ln(total / F.col("n_c")))
-    told = materialize(told.where(share >= threshold).select("entity", "term"), "told")
-    return near.join(told, ["entity", "term"], "left_semi").select("doc_id", "th", "term").distinct()
+    who = who.join(of_entity, "entity").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "entity", "n_c")
+    pairs = words.join(of_term, "term").join(who, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    # No pair shares more documents than either has: what can't reach the threshold even so needs no counting.
+    pairs = pairs.where(_share(F.least("n_t", "n_c"), total) >= threshold)
+    pairs = materialize(pairs.select("doc_id", "th", "rows", "entity", "term", "n_c", "n_t"), "pairs")
+    told = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.sum("rows").alias("n_tc"))
+    told = materialize(told.where(_share(F.col("n_tc"), total) >= threshold).select("entity", "term"), "told")
+    return pairs.join(told, ["entity", "term"], "left_semi").select("doc_id", "th", "term").distinct()
 
 
-def personal_data(docs: DataFrame, window: int = 64, support: int = 3, threshold: float = 0.8) -> DataFrame:
+def personal_data(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """A row for each row of ``docs``: doc_id, th (hash of the text), spans (array of start, ord, end, kind, value).
 
     Spans are in code points, end exclusive, by start, then kind. Base spans always stay; a term inside one adds
@@ -96,7 +111,7 @@ def personal_data(docs: DataFrame, window: int = 64, support: int = 3, threshold
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     found = base_spans(docs.withColumn("th", F.xxhash64("text"))).select("doc_id", "th", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
     found = materialize(found, "found")
-    told = disclosures(found, docs, window, support, threshold).groupBy("doc_id", "th").agg(F.collect_set("term").alias("terms"))
+    told = disclosures(found, docs, threshold).groupBy("doc_id", "th").agg(F.collect_set("term").alias("terms"))
     told = materialize(told.withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t"), "told")
     more = found.where("text is not null").dropDuplicates(["doc_id", "th"]).join(told, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
     more = _placed(more, "words", TERM, "term")

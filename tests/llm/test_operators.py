@@ -174,6 +174,17 @@ def test_terms_that_disclose_are_generalised(spark):
     assert "[EMAIL]" in text.select(pii.redacted("text", "spans").alias("x")).first()["x"] and "Quixwell" not in text.select(pii.redacted("text", "spans").alias("x")).first()["x"]
 
 
+def test_terms_of_rare_entities_far_from_them(spark):
+    far = "Xandertop " + "the end of today is via contact number " * 5 + "one@mail.example"
+    twice = [(2, "Twinword asks two@mail.example"), (2, "Twinword asks two@mail.example"), (3, "Twinword asks nobody")]
+    rest = [(100 + i, f"the end of today is via contact number n{i}") for i in range(96)]
+    texts = {i: t for i, t in [(1, far), *twice, *rest]}
+    found = pii.personal_data(docs_of(spark, [(1, far), *twice, *rest])).collect()
+    got = sorted((r["doc_id"], texts[r["doc_id"]][s["start"] : s["end"]], s["kind"]) for r in found for s in r["spans"])
+    two = [(2, "Twinword", "term"), (2, "asks", "term"), (2, "two@mail.example", "email")]
+    assert got == sorted([(1, "Xandertop", "term"), (1, "one@mail.example", "email"), *two, *two])
+
+
 # ---- learned operators
 
 
