@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Hosts blocked by the method where no rule fits, with all their subdomains.
 BLOCKLIST = ["casino-win.example.org", "cheap-pills.example.com", "spam-farm.example.org"]
+#: Names blocked as a label of any host, whatever the domain.
+NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
 class DigestArray:
@@ -71,19 +73,22 @@ def host_and_path(url: str = "url"):
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.regexp_extract(rest, r"(?s)\A[^/?#]*([^?#]*)", 1)
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, blocklist: list[str] | None = None) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, blocklist: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """A row for each row of ``pages``: page_id, host, path, rule, verdict, listed (the blocked host that fits, or null).
 
     A rule fits its host and its subdomains if the url's path starts with the rule's; the longest rule decides
-    (of equally long ones the last given). Without one the verdict is block for listed hosts and their subdomains,
-    else allow. Null urls and urls without ``://`` have empty parts and are allowed. Other columns are ignored.
+    (of equally long ones the last given). Without one the verdict is block for listed hosts and their subdomains
+    and for hosts one of whose labels is a listed name (then ``listed`` starts at that label), else allow. A list given replaces
+    its default; a ``blocklist`` without ``names`` stands alone. Null urls and urls without ``://`` have empty parts and are allowed. Other columns are ignored.
     """
     rules = RULES if rules is None else rules
     spark: SparkSession = pages.sparkSession
     name, folder = f"urls-{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="loomery-urls-")
     DigestArray.build(folder, f"{name}-rules", {h + p: i for i, (h, p, _) in enumerate(rules)})
     DigestArray.build(folder, f"{name}-hosts", dict.fromkeys(BLOCKLIST if blocklist is None else blocklist, 1))
-    for kind in ("rules", "hosts"):
+    names = (NAMES if blocklist is None else []) if names is None else names
+    DigestArray.build(folder, f"{name}-names", dict.fromkeys(names, 1))
+    for kind in ("rules", "hosts", "names"):
         for part in DigestArray.PARTS:
             spark.sparkContext.addFile(os.path.join(folder, f"{name}-{kind}.{part}"))
     lengths = sorted({len(p) for _, p, _ in rules}, reverse=True)
@@ -94,7 +99,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, bl
         from pyspark import SparkFiles
 
         root = SparkFiles.getRootDirectory()
-        ruled, listed = DigestArray(root, f"{name}-rules"), DigestArray(root, f"{name}-hosts")
+        ruled, listed, named = (DigestArray(root, f"{name}-{kind}") for kind in ("rules", "hosts", "names"))
         for hosts, paths in batches:
             keys, of, suffixes, suffix_of = [], [], [], []
             for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
@@ -113,8 +118,10 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, bl
                 if c >= 0 and (best[i] < 0 or (size[c], c) > (size[best[i]], best[i])):
                     best[i] = c
             block: list[str | None] = [None] * len(hosts)
-            for i, s, c in zip(suffix_of, suffixes, listed.probe([s.encode() for s in suffixes]), strict=True):
-                if c >= 0 and block[i] is None:
+            first = [s.partition(".")[0].encode() for s in suffixes]
+            fits = (listed.probe([s.encode() for s in suffixes]) >= 0) | (named.probe(first) >= 0)
+            for i, s, f in zip(suffix_of, suffixes, fits, strict=True):
+                if f and block[i] is None:
                     block[i] = s
             yield pd.DataFrame(
                 {

@@ -274,6 +274,14 @@ def test_url_rules_and_list(spark):
     assert of[8][2:] == (None, "block") and of[9][2:] == ("org/fr/", "allow") and of[10] == ("x.org", "", None, "allow") and of[11][:2] == ("a\nb.net", "/en\n/")
 
 
+def test_listed_names_under_any_domain(spark):
+    hosts = ["m.casino-win.example.com", "ads-track.example.org", "FREE-BETS.new.test", "notfree-bets.example.com", "free-bets-news.org", "example.com"]
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    of = {r["page_id"]: (r["verdict"], r["listed"]) for r in urls.judged(pages).collect()}
+    assert of == {0: ("block", "casino-win.example.com"), 1: ("block", "ads-track.example.org"), 2: ("block", "free-bets.new.test"), **dict.fromkeys((3, 4, 5), ("allow", None))}
+    assert {r["verdict"] for r in urls.judged(pages, blocklist=["nowhere.test"]).collect()} == {"allow"}
+
+
 def test_digest_array_confirms_strings(tmp_path):
     urls.DigestArray.build(str(tmp_path), "t", {"a.example": 1, "b.example": 2})
     got = urls.DigestArray(str(tmp_path), "t")
