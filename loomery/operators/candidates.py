@@ -35,13 +35,20 @@ def select_terms(terms: DataFrame, postings: DataFrame, repo: str, number: int,
     return rows.select("term", "df", score.alias("score")).orderBy(F.desc("score"), "term").limit(top)
 
 
-def term_evidence(postings: DataFrame, words: list[str]) -> DataFrame:
-    """Per ticket: share of the words' rarity it matches plus a quarter of the same by field weight."""
+def term_evidence(postings: DataFrame, words: list[str], among: DataFrame | None = None) -> DataFrame:
+    """Per ticket: share of the words' rarity it matches plus a quarter of the same by field weight.
+
+    With ``among`` (repo, number) only those tickets count, all of them, and words that none has add to the rarity.
+    """
     hits = postings.where(F.col("term").isin(words))
+    if among is not None:
+        hits = hits.join(among, ["repo", "number"], "left_semi")
     kind = F.when(F.col("family") == "labels", 1.5).when(F.col("col") == "title", 2.0).when(F.col("family") == "issue", 1.0).otherwise(0.6)
     best = hits.groupBy("repo", "number", "term").agg(F.max(kind).alias("w"))
-    h = best.select("repo", "number").distinct().agg(F.count("*").alias("h"))
+    h = (best.select("repo", "number").distinct() if among is None else among).agg(F.count("*").alias("h"))
     rare = best.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(h)).select("term", F.ln(1 + (F.col("h") + 1) / (F.col("df") + 1)).alias("r"))
-    den = rare.agg(F.sum("r").alias("den"))
+    den = rare.agg(F.sum("r").alias("den"), F.count("*").alias("found"))
+    if among is not None:
+        den = den.crossJoin(h).select((F.coalesce("den", F.lit(0.0)) + (len(set(words)) - F.col("found")) * F.ln(F.col("h") + 2)).alias("den"))
     rows = best.join(F.broadcast(rare), "term").crossJoin(F.broadcast(den))  # at most a row a word, and one row
     return rows.groupBy("repo", "number").agg(F.round(F.sum("r") / F.max("den") + 0.25 * F.sum(F.col("r") * F.col("w")) / F.max("den"), 6).alias("score"))

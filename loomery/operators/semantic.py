@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOP, MUTUAL, RRF = 200, 100, 60
+TOP, MUTUAL, RRF, TICKET = 200, 100, 60, 3
 SEED_WEIGHTS = {"title": 4.0, "body": 1.0, "labels": 1.5, "comment": 0.5, "review_comment": 0.5}
 TICKET_WEIGHTS = {"title": 4.0, "body": 1.0, "labels": 1.5}
 BLEND = 0.8
@@ -64,7 +64,7 @@ def mutual_ranks(vectors: DataFrame, candidates: DataFrame, seed: list[float]) -
 
 
 def ranked(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """Ranks of a bounded set (a page of hits), so the single partition of the window is bounded too."""
+    """Ranks over all rows, of three columns each: a window without keys sorts them in one task."""
     return rows.select("repo", "number", F.row_number().over(Window.orderBy(F.desc(by), "repo", "number")).alias(name))
 
 
@@ -75,3 +75,18 @@ def fused(parts: list[tuple[DataFrame, str, float]], k: int = RRF) -> DataFrame:
         one = rows.select("repo", "number", (F.lit(weight) / (k + F.col(name))).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("repo", "number").agg(F.round(F.sum("score"), 9).alias("score"))
+
+
+def hybrid(lexical: DataFrame, scores: DataFrame, evidence: DataFrame) -> DataFrame:
+    """1 / (60 + lexical rank) + 1 / (60 + semantic rank) + 3 / (60 + ticket rank), each rank over all its tickets.
+
+    A ticket stays if it matches literally, has evidence or is among the first TOP semantic hits; a rank it lacks adds
+    nothing. ``evidence`` (repo, number, score) ranks by score, then by semantic rank.
+    """
+    key = ["repo", "number"]
+    hits = ranked(lexical, "score", "lex").join(ranked(scores, "blended", "sem"), key, "full_outer").join(evidence.select(*key, "score"), key, "left")
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("sem"), "repo", "number"))
+    hits = hits.withColumn("ticket", F.when(F.col("score").isNotNull(), place))
+    hits = hits.where(F.col("lex").isNotNull() | F.col("ticket").isNotNull() | (F.col("sem") <= TOP))
+    part = lambda c, w: F.coalesce(F.lit(float(w)) / (RRF + F.col(c)), F.lit(0.0))
+    return hits.select(*key, F.round(part("lex", 1) + part("sem", 1) + part("ticket", TICKET), 9).alias("score"))

@@ -254,9 +254,11 @@ def sem_best_passage(spark, d):
 , se as (select repo, number, row_number() over (order by blended desc, repo, number) as r from sem order by blended desc, repo, number limit 200)
 select repo, number, round(sum(s), 9) as score from (select repo, number, 1.0 / (60 + r) as s from lex union all select repo, number, 1.0 / (60 + r) from se) group by 1, 2""")
 def rrf_query(spark, d):
-    lex = semantic.ranked(paging.page(_search(spark, d, "thing are"), "relevance", limit=100), "score", "r")
-    sem = semantic.ranked(semantic.top(semantic.ticket_scores(_passages(spark, d)), "blended"), "blended", "r")
-    return semantic.fused([(lex, "r", 1.0), (sem, "r", 1.0)])
+    index, scores = index_of(spark, d), semantic.ticket_scores(_passages(spark, d))
+    lex = lexical.search(index, Mirror(spark, d).tickets, "thing are")
+    hits = lex.select("repo", "number").union(scores.select("repo", "number")).distinct()
+    words = [w for w in ["thing", "are"] if w not in STOP]
+    return semantic.hybrid(lex, scores, candidates.term_evidence(index.postings, words, hits))
 
 
 @query("with " + BASE + """, h as (select repo, number, term, max(case when family = 'labels' then 1.5 when col = 'title' then 2.0 when family = 'issue' then 1.0 else 0.6 end) as w from toks where term in ('thing', 'are', 'with') group by all)

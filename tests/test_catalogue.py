@@ -1,5 +1,6 @@
 """Registered queries against DuckDB on the smallest tables, and properties of the building blocks."""
 
+import math
 from datetime import datetime, timezone
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from loomery.operators import context, evaluate, ingest, paging, represent
+from loomery.operators import candidates, context, evaluate, ingest, paging, represent, semantic
 from loomery.operators.filters import Filters, date_bound
 from loomery.plans import catalogue
 from loomery.sources.store import Store
@@ -122,3 +123,25 @@ def test_evidence_keeps_to_its_budget(spark):
         (2, None, 0, False), (2, "2-0", 904, False), (2, "2-4", 900, False), (2, "2-3", 900, False), (2, "2-2", 296, True),
     ]
     assert all(len(r["text"]) == r["chars"] for r in got)
+
+
+def test_hybrid_ranks_all_hits(spark):
+    sem = spark.createDataFrame([("r", n, 1 - n / 1000) for n in range(1, 251)], "repo string, number long, blended double")
+    lex = spark.createDataFrame([("r", n, float(n)) for n in range(131, 261)], "repo string, number long, score double")
+    told = spark.createDataFrame([("r", 240, 0.5), ("r", 255, 0.5), ("r", 3, 0.9)], "repo string, number long, score double")
+    got = {r["number"]: r["score"] for r in semantic.hybrid(lex, sem, told).collect()}
+    place, want = {3: 1, 240: 2, 255: 3}, {}
+    for n in range(1, 261):
+        want[n] = round((1 / (60 + n) if n <= 250 else 0) + (1 / (60 + 261 - n) if n > 130 else 0) + (3 / (60 + place[n]) if n in place else 0), 9)
+    assert got == pytest.approx(want, abs=2e-9)
+    some = sem.where("number <= 210"), lex.where("number = 210"), spark.createDataFrame([("r", 205, 0.5)], told.schema)
+    assert {r["number"] for r in semantic.hybrid(some[1], some[0], some[2]).collect()} == {*range(1, 201), 205, 210}
+
+
+def test_evidence_among_hits(spark):
+    words = [("r", 1, "a", "issue", "title"), ("r", 2, "a", "issue", "body"), ("r", 9, "a", "issue", "body")]
+    postings = spark.createDataFrame(words, "repo string, number long, term string, family string, col string")
+    among = spark.createDataFrame([("r", n) for n in (1, 2, 3)], "repo string, number long")
+    a, b = math.log(1 + 4 / 3), math.log(5)
+    got = {r["number"]: r["score"] for r in candidates.term_evidence(postings, ["a", "b"], among).collect()}
+    assert got == pytest.approx({1: 1.5 * a / (a + b), 2: 1.25 * a / (a + b)}, abs=1e-6)
