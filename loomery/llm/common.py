@@ -7,17 +7,28 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK = 0xFFFFFFFFFFFFFFFF
 
 
+#: Folders of sessions that name none, by application.
+_OWN: dict[str, str] = {}
+#: Rows of keys that are broadcast at most; more are joined by shuffling.
+BROADCAST_KEYS = 1_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where there is none (tests)."""
+    """The folder named by spark.checkpoint.dir; one of its own only for a local session that names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomery-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomery-")
+        found = _OWN[context.applicationId]
     return found.rstrip("/")
 
 
@@ -26,7 +37,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomery/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes materialized tables that no result reads any more."""
+    for t in tables:
+        if path := getattr(t, "written_to", None):
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def near(side: DataFrame, rows: int) -> DataFrame:
+    """``side`` of ``rows`` rows of a few bytes each: broadcast if it is small, else left to a shuffle."""
+    return F.broadcast(side) if rows <= BROADCAST_KEYS else side
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and hash of the text (d, t) are in ``gone``, a materialized table."""
+    return docs.join(near(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")), "left_anti")
+
+
+def words_between(text: Column, separators: str) -> Column:
+    """The pieces between runs of ``separators``, in order. Splitting is linear in the text; extracting all matches
+    of the opposite pattern copies the text for each."""
+    return F.array_remove(F.split(text, separators), "")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

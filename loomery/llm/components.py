@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, released
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,6 +25,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         hook = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
         jump = hook.alias("x").join(hook.alias("y"), F.col("x.p") == F.col("y.a"), "left")
         jump = materialize(jump.select(F.col("x.a").alias("a"), F.coalesce("y.p", "x.p").alias("p")), "jump")
+        last = labels, e, jump
         labels = materialize(
             labels.join(jump, labels["label"] == jump["a"], "left").select("node", F.coalesce("p", "label").alias("label")),
             "labels",
@@ -32,6 +33,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ja, jb = jump.select(F.col("a"), F.col("p").alias("pa")), jump.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         e = e.join(ja, "a").join(jb, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         e = materialize(e.where("a <> b").distinct(), "edges")
+        released(*last)
     return labels
 
 

@@ -5,14 +5,18 @@ that c itself carries: ln(p * N / n_c) / ln(N / n_c) over the N documents of the
 stands, is smoothed by one document that has t and names c by chance: (n_tc + n_c / N) / (n_t + 1). So entities
 that a single document names are judged too, and few documents tell less than many. Terms whose share reaches
 ``threshold`` are spans of kind ``term`` wherever they stand in documents that name the entity. DataFrame functions only.
+
+Terms are counted over the whole corpus first and the counts joined after, so no join makes a row for each word of the
+corpus. Entities that stand in the same documents disclose alike and are judged once, which keeps a document that
+lists many entities from making a row for each entity and word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, words_between
 
 #: The given patterns, each start and repeat bound so that long runs cost linear time and no recursion.
 PATTERNS = {
@@ -35,37 +39,49 @@ VALID = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 KINDS = [*PATTERNS, "term"]
-TERM = r"[\p{L}\p{N}]{3,}"
+TERM, TERM_GAP, SHORTEST = r"[\p{L}\p{N}]{3,}", r"[^\p{L}\p{N}]+", 3
 SPAN = "struct<start:int,ord:int,end:int,kind:string,value:string>"
-#: Rows of candidate terms up to which they are broadcast; more are joined by shuffling.
-BROADCAST_ROWS = 50_000
+#: Lengths that are added up at a time.
+RUN = 256
+#: Around matches; where a text has it, another character that no pattern holds either stands for it.
+MARK, OTHER = "\x01", "\x02"
+
+
+def _with(name: str, value: str, then: str) -> str:
+    """``then`` with ``name`` for ``value``, computed once wherever Spark moves the expression: names that lambdas bind
+    are never replaced by what they stand for."""
+    return f"transform(array({value}), {name} -> {then})[0]"
 
 
-def _placed(df: DataFrame, out: str, pattern: str, kind: str, when: str = "true", valid: str = "true") -> DataFrame:
-    """Array column ``out`` of the spans of ``pattern`` in ``text``: offsets add up what lies between matches and they."""
-    hits = F.when(F.expr(when), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    df = df.withColumn(f"{out}_hits", F.coalesce(hits, F.array().cast("array<string>")))
-    df = df.withColumn(f"{out}_gaps", F.when(F.size(f"{out}_hits") > 0, F.transform(F.split("text", pattern, -1), lambda x: F.length(x))))
-    order = KINDS.index(kind)
-    walk = f"""case when size({out}_hits) = 0 then cast(array() as array<{SPAN}>) else filter(aggregate(
-        sequence(0, size({out}_hits) - 1), named_struct('at', 0, 'got', cast(array() as array<{SPAN}>)),
-        (a, i) -> named_struct('at', a.at + {out}_gaps[i] + length({out}_hits[i]), 'got', array_append(a.got, named_struct(
-            'start', a.at + {out}_gaps[i], 'ord', {order}, 'end', a.at + {out}_gaps[i] + length({out}_hits[i]), 'kind', '{kind}', 'value', {out}_hits[i]))),
-        a -> a.got), s -> transform(array(s.value), v -> {valid})[0]) end"""
-    return df.withColumn(out, F.expr(walk)).drop(f"{out}_hits", f"{out}_gaps")
+def _placed(pattern: str, kind: str, when: str = "true", valid: str = "true") -> str:
+    """SQL of the array of spans of ``pattern`` in ``text``.
+
+    Matches are marked and the text is split at the marks into what lies between matches and they, in turn. Offsets
+    are running sums of the lengths, over runs and then over the runs' totals, so that no long array is copied for
+    each of its elements.
+    """
+    marked = f"regexp_replace(translate(text, '{MARK}', '{OTHER}'), r\"{pattern}\", '{MARK}$0{MARK}')"
+    parts = f"if({when}, split({marked}, '{MARK}', -1), array(''))"
+    walk = "named_struct('at', 0, 'got', cast(array() as array<int>))"
+    runs = f"""transform(sequence(0, (size(p) - 1) div {RUN}), r -> aggregate(slice(p, int(r * {RUN} + 1), {RUN}), {walk},
+        (a, x) -> named_struct('at', a.at + length(x), 'got', array_append(a.got, a.at + length(x))), a -> a.got))"""
+    starts = f"aggregate(q, {walk}, (a, r) -> named_struct('at', a.at + r[size(r) - 1], 'got', array_append(a.got, a.at)), a -> a.got)"
+    ends = "flatten(zip_with(q, f, (r, x) -> transform(r, n -> n + x)))"
+    spans = f"""transform(filter(sequence(0, size(p) - 1), i -> i % 2 = 1 and {_with("v", "p[i]", valid)}), i -> named_struct(
+        'start', e[i - 1], 'ord', {KINDS.index(kind)}, 'end', e[i], 'kind', '{kind}', 'value', p[i]))"""
+    spans = _with("p", parts, _with("q", runs, _with("f", starts, _with("e", ends, spans))))
+    return f"cast(coalesce({spans}, array()) as array<{SPAN}>)"
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """Adds ``base``: the spans of the four patterns, by start, then kind as listed."""
-    df = docs
-    for kind, pattern in PATTERNS.items():
-        df = _placed(df, f"of_{kind}", pattern, kind, f"instr(text, '{NEEDS[kind]}') > 0" if NEEDS[kind] else "text is not null", VALID[kind])
-    every = F.array_sort(F.concat(*(f"of_{k}" for k in PATTERNS)))
-    return df.withColumn("base", every).drop(*(f"of_{k}" for k in PATTERNS))
+    each = (_placed(p, k, f"instr(text, '{NEEDS[k]}') > 0" if NEEDS[k] else "true", VALID[k]) for k, p in PATTERNS.items())
+    return docs.withColumn("base", F.expr(f"if(text is null, cast(array() as array<{SPAN}>), array_sort(concat({', '.join(each)})))"))
 
 
 def _terms():
-    return F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))
+    words = F.filter(words_between(F.coalesce("text", F.lit("")), TERM_GAP), lambda x: F.length(x) >= SHORTEST)
+    return F.array_distinct(F.transform(words, lambda x: F.lower(x)))
 
 
 def _share(n_tc, total: float):
@@ -74,56 +90,94 @@ def _share(n_tc, total: float):
     return F.ln(p * total / F.col("n_c")) / F.when(F.col("n_c") < total, F.ln(total / F.col("n_c")))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, th, term): terms of documents that disclose an entity named in them."""
-    named = found.where(F.size("base") > 0).groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("rows"))
+def disclosures(named: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, th, term): terms of documents that disclose an entity named in them.
+
+    ``named``: the rows of ``docs`` with base spans, with th (hash of the text) and base.
+    """
+    named = named.groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("rows"))
     named = materialize(named, "named")
     words = materialize(named.select("doc_id", "th", "rows", F.explode_outer(_terms()).alias("term")).where("term is not null"), "words")
-    few = materialize(words.select("term").distinct(), "terms")
-    n = few.count()
-    if not n:
-        return words.select("doc_id", "th", "term")
-    seen, count = docs.select(F.explode_outer(_terms()).alias("term")), F.count("*").alias("n_t")
-    if n <= BROADCAST_ROWS:
-        of_term = seen.join(F.broadcast(few), "term", "left_semi").groupBy("term").agg(count)
-    else:
-        of_term = seen.groupBy("term").agg(count).join(few, "term", "left_semi")
-    who = named.select("doc_id", "th", "rows", F.explode_outer(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
-    of_entity = materialize(who.groupBy("entity").agg(F.sum("rows").alias("n_c")), "entities")
+    of_term = docs.select(F.explode_outer(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    of_term = materialize(of_term.join(words.select("term").distinct(), "term", "left_semi"), "terms")
     total = float(max(1, docs.count()))
-    who = who.join(of_entity, "entity").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "entity", "n_c")
-    pairs = words.join(of_term, "term").join(who, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+
+    who = named.select("doc_id", "th", "rows", F.explode_outer(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
+    who = materialize(who.where("entity is not null"), "entities")
+    here = F.xxhash64("doc_id", "th")
+    same = who.groupBy("entity").agg(F.sum("rows").alias("n_c"), F.bit_xor(here).alias("x"), F.sum(here.cast("decimal(20,0)")).alias("s"))
+    groups = who.join(same, "entity").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "n_c", "x", "s").distinct()
+    pairs = words.join(of_term, "term").join(materialize(groups, "groups"), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
     # No pair shares more documents than either has: what can't reach the threshold even so needs no counting.
     pairs = pairs.where(_share(F.least("n_t", "n_c"), total) >= threshold)
-    pairs = materialize(pairs.select("doc_id", "th", "rows", "entity", "term", "n_c", "n_t"), "pairs")
-    told = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.sum("rows").alias("n_tc"))
-    told = materialize(told.where(_share(F.col("n_tc"), total) >= threshold).select("entity", "term"), "told")
-    return pairs.join(told, ["entity", "term"], "left_semi").select("doc_id", "th", "term").distinct()
+    pairs = materialize(pairs.select("doc_id", "th", "rows", "x", "s", "term", "n_c", "n_t"), "pairs")
+    told = pairs.groupBy("n_c", "x", "s", "term", "n_t").agg(F.sum("rows").alias("n_tc"))
+    told = materialize(told.where(_share(F.col("n_tc"), total) >= threshold).select("n_c", "x", "s", "term"), "told")
+    return materialize(pairs.join(told, ["n_c", "x", "s", "term"], "left_semi").select("doc_id", "th", "term").distinct(), "disclosed")
+
+
+def _term_spans(named: DataFrame, told: DataFrame) -> DataFrame:
+    """(d, t, extra): spans of the disclosing terms of each document, without those that overlap a base span."""
+    each = named.select("doc_id", "th", "text", "base").dropDuplicates(["doc_id", "th"])
+    words = each.select("doc_id", "th", F.explode(F.expr(_placed(TERM, "term"))).alias("w")).withColumn("term", F.lower("w.value"))
+    key = F.col("term").eqNullSafe(F.col("u")) & (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    words = words.join(told.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("term").alias("u")), key, "left_semi").select("doc_id", "th", "w")
+    rows = words.unionByName(each.select("doc_id", "th", F.explode("base").alias("w")))
+    base_end, base_start = (F.when(F.col("w.kind") != "term", F.col(f"w.{x}")) for x in ("end", "start"))
+    # Within a document: the furthest end of base spans that begin no later, the nearest start of those that begin later.
+    by = Window.partitionBy("doc_id", "th").orderBy("w.start")
+    rows = rows.withColumn("reach", F.max(base_end).over(by.rangeBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("next", F.min(base_start).over(by.rangeBetween(1, Window.unboundedFollowing)))
+    clear = (F.coalesce("reach", F.lit(0)) <= F.col("w.start")) & (F.coalesce("next", F.col("w.end")) >= F.col("w.end"))
+    rows = rows.where((F.col("w.kind") == "term") & clear)
+    return materialize(rows.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list("w").alias("extra")), "extra")
+
+
+_SAME = "th = t and doc_id <=> d"
+_ALL = "case when extra is null then base else array_sort(concat(base, extra)) end"
 
 
 def personal_data(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, th (hash of the text), spans (array of start, ord, end, kind, value).
+    """A row for each row of ``docs``: doc_id, th (hash of the text), base, spans (arrays of start, ord, end, kind, value).
 
-    Spans are in code points, end exclusive, by start, then kind. Base spans always stay; a term inside one adds
+    Spans are in code points, end exclusive, by start, then kind. Base spans always stay; a term that overlaps one adds
     none. Null texts are as empty ones: no spans. Documents without base spans get none. Repeated rows get equal
-    results and each counts as a document of the corpus; other columns are ignored.
+    results and each counts as a document of the corpus; other columns are ignored. Empty tables give empty results.
     """
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     found = base_spans(docs.withColumn("th", F.xxhash64("text"))).select("doc_id", "th", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
     found = materialize(found, "found")
-    told = disclosures(found, docs, threshold).groupBy("doc_id", "th").agg(F.collect_set("term").alias("terms"))
-    told = materialize(told.withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t"), "told")
-    more = found.where("text is not null").dropDuplicates(["doc_id", "th"]).join(told, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    more = _placed(more, "words", TERM, "term")
-    more = more.select("d", "t", F.expr("filter(words, w -> array_contains(terms, lower(w.value)) and not exists(base, b -> b.start < w.end and w.start < b.end))").alias("extra"))
-    out = found.drop("text").join(materialize(more, "more"), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return out.select("doc_id", "th", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+    named = found.where(F.size("base") > 0)
+    more = _term_spans(named, disclosures(named, docs, threshold))
+    return found.drop("text").join(more, F.expr(_SAME), "left").select("doc_id", "th", "base", F.expr(_ALL).alias("spans"))
+
+
+def sanitised(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``docs`` (doc_id, text and others) with every span generalised to its kind; n_chars, if there, follows the text.
+
+    Only rows with base spans change; the others pass as they are and are not moved: they are found by looking for
+    base spans again, which costs less than joining every text to a decision. Rows as in ``personal_data``.
+    """
+    columns = docs.columns
+    whole = F.struct(*columns).alias("whole")
+    found = base_spans(docs.select("doc_id", "text", whole).withColumn("th", F.xxhash64("text")))
+    named = materialize(found.where(F.size("base") > 0), "found")
+    more = _term_spans(named, disclosures(named, docs.select("doc_id", "text"), threshold))
+    out = named.join(more, F.expr(_SAME), "left").select("whole", "text", F.expr(_ALL).alias("spans"))
+    out = out.withColumn("clean", redacted("text", "spans"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    kinds = dict(docs.dtypes)
+    changed = out.select(*(new.get(c, F.col("whole")[c]).cast(kinds[c]).alias(c) for c in columns))
+    return found.where(F.size("base") == 0).select("whole.*").unionByName(changed)
 
 
 def redacted(text: str, spans: str):
-    """SQL of ``text`` with each of ``spans`` generalised to its kind in brackets; overlapping spans become one."""
-    return F.expr(
-        f"case when size({spans}) = 0 or {spans} is null then {text} else aggregate({spans}, named_struct('at', 0, 'got', ''), (a, s) -> case "
-        f"when s.start >= a.at then named_struct('at', s.end, 'got', concat(a.got, substring({text}, a.at + 1, s.start - a.at), '[', upper(s.kind), ']')) "
-        f"else named_struct('at', greatest(a.at, s.end), 'got', a.got) end, a -> concat(a.got, substring({text}, a.at + 1))) end"
+    """SQL of ``text`` with each of ``spans`` generalised to its kind in brackets; overlapping spans become one, of the
+    first one's kind."""
+    merged = (
+        f"aggregate({spans}, named_struct('at', 0, 'got', cast(array() as array<struct<low:int,high:int,kind:string>>)), (a, s) -> case when s.start >= a.at "
+        f"then named_struct('at', s.end, 'got', array_append(a.got, named_struct('low', a.at, 'high', s.start, 'kind', s.kind))) "
+        f"else named_struct('at', greatest(a.at, s.end), 'got', a.got) end)"
     )
+    pieces = f"transform(m.got, g -> concat(substring({text}, g.low + 1, g.high - g.low), '[', upper(g.kind), ']'))"
+    return F.expr(f"case when size({spans}) = 0 or {spans} is null then {text} else transform(array({merged}), m -> concat(array_join({pieces}, ''), substring({text}, m.at + 1)))[0] end")
