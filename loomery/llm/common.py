@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -39,9 +41,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    for tables in _SCRATCH:
+        tables.append(out)
     return out
 
 
+#: What is materialized while a scratch is open.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialized inside are deleted at the end, but for those handed to the function it gives."""
+    tables, kept = [], []
+    _SCRATCH.append(tables)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _SCRATCH.remove(tables)
+    released(*(t for t in tables if not any(t is k for k in kept)))
+
+
 def released(*tables: DataFrame) -> None:
     """Deletes materialized tables that no result reads any more."""
     for t in tables:

@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from .common import materialize, released
 
 
+def _named(df: DataFrame, source: DataFrame) -> DataFrame:
+    """A view of a materialized table that is released with it."""
+    df.written_to = source.written_to
+    return df
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of ``edges``; label is the smallest node it can reach.
 
-    Each round hooks every node to its smallest neighbour, jumps once more along the hooks and contracts the
-    edges. A node with an edge either hooks or is hooked to, so the nodes at least halve: O(log n) rounds.
+    Each round hooks every node to its smallest neighbour if that is smaller, follows the hooks to their ends by
+    doubling and contracts the edges. Only nodes smaller than all their neighbours are left, each with a neighbour
+    that hooked, so the nodes at least halve: O(log n) rounds of O(log n) joins, also along a chain in order.
     Loops, repeated edges and edges with a null end are ignored (a looped node still gets its own label).
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
@@ -22,9 +29,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = e.where("a <> b")
     while not e.isEmpty():
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
-        jump = hook.alias("x").join(hook.alias("y"), F.col("x.p") == F.col("y.a"), "left")
-        jump = materialize(jump.select(F.col("x.a").alias("a"), F.coalesce("y.p", "x.p").alias("p")), "jump")
+        hook = both.groupBy("a").agg(F.min("b").alias("m"))
+        jump = materialize(hook.select("a", F.least("a", "m").alias("p"), F.lit(True).alias("moved")), "jump")
+        while not jump.where("moved").isEmpty():
+            before, ends = jump, jump.select(F.col("a").alias("q"), F.col("p").alias("r"))
+            jump = jump.select("a", "p").join(ends, F.col("p") == F.col("q"))
+            jump = materialize(jump.select("a", F.col("r").alias("p"), (F.col("p") != F.col("r")).alias("moved")), "jump")
+            released(before)
+        jump = _named(jump.select("a", "p"), jump)
         last = labels, e, jump
         labels = materialize(
             labels.join(jump, labels["label"] == jump["a"], "left").select("node", F.coalesce("p", "label").alias("label")),

@@ -12,7 +12,7 @@ from .common import bounded_batches, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("th", "set_key")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
