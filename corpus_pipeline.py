@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality, near duplicates, benchmark contamination, personal data, mixture."""
+"""The corpus pipeline: quality, near duplicates, benchmark contamination, personal data, mixture.
+
+A stage passes whole rows on. What it decides of a row travels as doc_id and hash of the text and meets the texts where
+they are: sets of rows that go are broadcast up to ``common.BROADCAST_KEYS`` of them, beyond that texts are shuffled once.
+Rows without a doc_id are judged by their text. A null text is as an empty one.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import decontaminate, mixing, neardup, pii, quality
-from loomery.llm.common import bounded_batches, materialize, table
+from loomery.llm.common import bounded_batches, materialize, released, scratch, table, without
 
 #: SQL can't express the learned classifier, MinHash links and the seeded sample; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -14,42 +19,47 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5 by the classifier go; so do those without words, which say nothing."""
+    """Documents scored below 0.5 by the classifier go; those without words score 0.5 and stay. Rows are judged one by
+    one from their text, so repeated rows and rows without a doc_id go or stay alike."""
     bounded_batches(spark)
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     return quality.scored(docs.select(*COLUMNS), model, 0.5).where("predicted = 1").select(*COLUMNS)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity of 0.8) the smallest doc_id stays, once."""
+    """Of each group of near duplicates (five-word shingles, similarity of 0.8) one document stays, that of the smallest
+    doc_id, once; ``neardup.survivors`` says which rows of a shared doc_id or without one do. Texts without words stay."""
     bounded_batches(spark)
     docs = docs.select(*COLUMNS)
-    kept = neardup.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = materialize(kept, "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    gone, repeated = neardup.survivors(neardup.near_duplicates(docs, width=5, percent=80))
+    docs = without(docs, gone)
+    if repeated.isEmpty():
+        return docs
+    again = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")), "left_semi")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = again.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("x")).select("doc_id", "text", *(F.col(f"x.{c}") for c in rest))
+    return without(docs, repeated).unionByName(once.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go: rows are judged by their own text, also where several share a doc_id or have none.
+    Texts without words stay."""
     bounded_batches(spark)
     docs = docs.select(*COLUMNS)
-    bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(materialize(bad, "bad"), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    return without(docs, materialize(bad.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct(), "bad"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data, and every term that discloses it, is generalised to its kind; no document goes."""
+    """Every span of personal data, and every term that discloses it, is generalised to its kind; no row goes. Repeated
+    rows change alike, null texts stay null."""
     bounded_batches(spark)
-    docs = docs.select(*COLUMNS)
-    found = pii.personal_data(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "th"])
-    found = materialize(found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "spans"), "spans")
-    out = docs.join(found, (F.xxhash64("text") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    out = out.withColumn("clean", F.when(F.col("t").isNull(), F.col("text")).otherwise(pii.redacted("text", "spans")))
-    return out.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.when(F.col("t").isNull(), F.col("n_chars")).otherwise(F.length("clean")).cast("long").alias("n_chars"))
+    return pii.sanitised(docs.select(*COLUMNS))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it, copies numbered from 1."""
+    """Each document as often as the mixture takes it, copies numbered from 1. Rows without a word are taken by their
+    source's rate like others; repeated rows share what they are taken, any of them standing for all."""
     bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     taken = mixing.mixed(docs).where("copies > 0").select(F.col("doc_id").alias("d"), "h", "copies")
@@ -71,7 +81,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage's intermediate tables are deleted once its output is written, its input once the next output is."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            out = keep(materialize(stage(spark, docs, sf_dir), name))
+        released(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
