@@ -99,6 +99,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("order_key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
     # Rows alike in both are numbered by nothing but their place, which doesn't show in the result.
-    return in_order(rows, "order_key", "h", wrap=True).select("doc_id", "text", "bucket", "side").mapInPandas(
+    return in_order(rows, "order_key", "h", "text", wrap=True).select("doc_id", "text", "bucket", "side").mapInPandas(
         _compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

@@ -1,8 +1,9 @@
-"""Main text of web pages: blocks of the article, and page differencing with the nearest URL of the host.
+"""Main text of web pages by page differencing with the nearest URL of the host.
 
-Differencing alone can't give the article (see the README): menus and adverts that do not recur on the neighbour
-stay, and lines that two articles share go. So the page's own structure decides where it says what is main text,
-and differencing deletes shared lines where it doesn't.
+The lines of a page that a longest common subsequence shares with its neighbour are no text of its own. Elements that
+are never main text (menus, forms, adverts ...) go first. Of the elements that a page marks as article or main, the one
+that holds most of its own lines is the article, if it holds half of them: it stays whole, with lines that another
+article repeats, such as licence lines, which deletion alone would lose. Else what stays is the page's own lines.
 """
 
 from __future__ import annotations
@@ -47,19 +48,20 @@ def _junk(name: str, rest: str, inside: bool) -> bool:
     return name == "article" and bool(rest) and any(w in ("comment", "comments", "ad", "advert", "reply") for m in _NAMES.finditer(rest) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
 
 
-def blocks(page: str) -> list[tuple[str, int]]:
-    """Text of each block in page order, and where it stands: 2 in an article or main element, 1 elsewhere, 0 in junk."""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []  # open containers and what stands in them
+def blocks(page: str) -> list[tuple[str, int, list[int]]]:
+    """Text of each block in page order, whether it stands in main text's place (2 in an article or main element, 1
+    elsewhere, 0 in junk) and the numbers of the article and main elements it is in, the outermost first."""
+    out: list[tuple[str, int, list[int]]] = []
+    stack: list[tuple[str, int, int]] = []  # open elements, what stands in them and the number of marked ones
     now: list[str] = []
-    level = 1
+    level, marked = 1, 0
 
     def close() -> None:
         if now:
             text = " ".join("".join(now).split())
             now.clear()
             if text:
-                out.append((text, level))
+                out.append((text, level, [s[2] for s in stack if s[2]]))
 
     for m in _TOKEN.finditer(page):
         if m[5]:
@@ -86,17 +88,19 @@ def blocks(page: str) -> list[tuple[str, int]]:
                     level = stack[-1][1] if stack else 1
                     break
             continue
-        inside = level
+        inside, number = level, 0
         if name in ("article", "main"):
             shut = any(s[1] == 0 and s[0] in JUNK for s in stack) or _junk(name, m[4], True)
             inside = 0 if shut else 2
+            marked += 1
+            number = 0 if shut else marked
         elif level and _junk(name, m[4], level == 2):
             inside = 0
         if name == "p":
             continue  # its end is often left out; it holds text alone
         if name == "span" and inside != level:
             close()
-        stack.append((name, inside))
+        stack.append((name, inside, number))
         level = inside
     close()
     return out
@@ -129,19 +133,32 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(own: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
-    """The article's blocks; in a page that marks none, the blocks that are not junk and not shared with the neighbour."""
-    if any(level == 2 for _, level in own):
-        return "\n".join(t for t, level in own if level == 2)
-    shared = common([t for t, _ in own], [t for t, _ in neighbour]) if neighbour else set()
-    return "\n".join(t for i, (t, level) in enumerate(own) if level and i not in shared)
+def main_text(own: list[tuple[str, int, list[int]]], neighbour: list[str] | None) -> str:
+    """The article by its own lines, ``neighbour`` being the lines of the nearest page. A page all of whose lines recur
+    there is a copy of it, so they don't count against it."""
+    shared = common([b[0] for b in own], neighbour) if neighbour else set()
+    live = [i for i, b in enumerate(own) if b[1]]
+    left = [i for i in live if i not in shared] or live
+    weight: dict[int, int] = {}
+    for i in left:
+        for k in own[i][2]:
+            weight[k] = weight.get(k, 0) + len(own[i][0])
+    outer = {own[i][2][0] for i in left if own[i][2]}
+    best = max(outer, key=lambda k: (weight[k], -k), default=0)
+    if not best or 2 * weight[best] < sum(len(own[i][0]) for i in left):
+        return "\n".join(own[i][0] for i in left)
+    for k in sorted({k for i in left if best in own[i][2] for k in own[i][2]}):
+        if weight[k] >= 0.9 * weight[best] and k > best:
+            best = k  # an article in main that holds nearly all of it
+    return "\n".join(own[i][0] for i in live if best in own[i][2])
 
 
 def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         found = [blocks(h) for h in f["html"]]
         f = f.drop(columns="html")
-        f["lines"], f["levels"] = [[t for t, _ in b] for b in found], [[n for _, n in b] for b in found]
+        for k, name in enumerate(("lines", "levels", "marked")):
+            f[name] = [[x[k] for x in b] for b in found]
         yield f
 
 
@@ -161,13 +178,13 @@ def _differenced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def done(after):
         near = [x for x in (before, after) if x and x["bucket"] == here["bucket"] and x["host"] == here["host"]]
         near = max(near, key=lambda x: _alike(x["path"], here["path"]), default=None)
-        text = main_text(here["blocks"], near and near["blocks"])
+        text = main_text(here["blocks"], near and [b[0] for b in near["blocks"]])
         return here["page_id"], here["url"], text, len(text)
 
     for f in frames:
         out = []
         for r in f.to_dict("records"):
-            r["blocks"] = list(zip(r["lines"], r["levels"], strict=True))
+            r["blocks"] = [(t, n, list(m)) for t, n, m in zip(r["lines"], r["levels"], r["marked"], strict=True)]
             if here is not None and here["side"] == 0:
                 out.append(done(r))
             before, here = here, r
@@ -181,10 +198,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Pages are paired with the one before or after them in order of path on the same host (the longer common path;
     the one before in a tie; none if the host has no other). Null html and pages without main text give an empty text.
-    Repeated rows get equal results where the page marks its article. Other columns are ignored.
+    Repeated rows are each other's neighbours, all of whose lines recur, and get equal results. Other columns are ignored.
     """
     host, path = host_and_path()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("order_key", F.concat_ws("\n", "host", "path", F.lpad(F.coalesce("page_id", F.lit(0)).cast("string"), 20, "0"))).withColumn("h", F.xxhash64("url"))
-    parsed = "page_id long, url string, host string, path string, order_key string, h long, bucket int, side int, lines array<string>, levels array<int>"
-    return in_order(rows, "order_key", "h", prepare=lambda df: df.mapInPandas(_parsed, parsed)).mapInPandas(_differenced, "page_id long, url string, text string, n_chars long")
+    parsed = "page_id long, url string, host string, path string, order_key string, h long, bucket int, side int, lines array<string>, levels array<int>, marked array<array<int>>"
+    return in_order(rows, "order_key", "h", "html", prepare=lambda df: df.mapInPandas(_parsed, parsed)).mapInPandas(_differenced, "page_id long, url string, text string, n_chars long")

@@ -18,24 +18,29 @@ from .common import materialize, partitions
 SAMPLE = 40
 
 
-def in_order(rows: DataFrame, key: str, rank: str, wrap: bool = False, buckets: int | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def in_order(rows: DataFrame, key: str, rank: str, size: str, wrap: bool = False, buckets: int | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``rows`` by ``key`` (not null), ties by ``rank``, with columns bucket and side.
 
     side is 0, or -1 and 1 for copies of the rows just before and after the bucket; ``wrap``: the first row of all
-    comes after the last. Each partition holds whole buckets, sorted. Ranges come from a bounded sample of keys, and
-    the order doesn't depend on them. ``prepare`` maps the rows once they are dealt, before they travel. Copies are repeated if rows are alike in key and rank; take the nearest.
+    comes after the last. A bucket is a partition, sorted. Ranges come from a bounded sample of keys and ranks and hold
+    about as many characters of ``size`` each; the order doesn't depend on them. ``prepare`` maps the rows once they are
+    dealt, before they travel. Copies are repeated if rows are alike in key and rank; take the nearest.
     """
     n = buckets or partitions(rows.sparkSession)
-    sample = rows.select(key).orderBy(F.xxhash64(key, F.lit(5)), key).limit(SAMPLE * n).collect() if n > 1 else []
-    keys = sorted(r[0] for r in sample)
-    cuts = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
+    drawn = rows.select(key, rank, F.length(size).alias("n"), F.xxhash64(key, rank, F.lit(5)).alias("draw"))
+    sample = sorted((r[0], r[1], r[2] or 0) for r in drawn.orderBy("draw", key, rank).limit(SAMPLE * n).collect()) if n > 1 else []
+    total, sofar, cuts = sum(x[2] + 1 for x in sample), 0, []
+    for k, r, chars in sample:
+        sofar += chars + 1
+        if sofar * n >= total * (len(cuts) + 1) and len(cuts) < n - 1 and (not cuts or cuts[-1] < (k, r)):
+            cuts.append((k, r))
 
     @F.pandas_udf("int")
-    def bucket_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for values in batches:
-            yield pd.Series([bisect_left(cuts, v) for v in values], dtype="int32")
+    def bucket_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for keys, ranks in batches:
+            yield pd.Series([bisect_left(cuts, x) for x in zip(keys, ranks, strict=True)], dtype="int32")
 
-    keyed = rows.withColumn("bucket", bucket_of(key) if cuts else F.lit(0))
+    keyed = rows.withColumn("bucket", bucket_of(key, rank) if cuts else F.lit(0))
     place = F.struct(key, rank)
     ends = keyed.groupBy("bucket").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     w, all_ = Window.orderBy("bucket"), Window.partitionBy()  # a row a bucket
@@ -53,4 +58,4 @@ def in_order(rows: DataFrame, key: str, rank: str, wrap: bool = False, buckets:
     both = both.withColumn("at", F.explode(F.filter(sides, lambda x: x.isNotNull())))
     both = both.select(*rows.columns, F.col("at.bucket").alias("bucket"), F.col("at.side").alias("side"))
     both = prepare(both) if prepare else both
-    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "side", key, rank)
+    return both.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "side", key, rank)

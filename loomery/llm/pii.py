@@ -37,7 +37,8 @@ VALID = {
     "card": f"length({_DIGITS}) between 14 and 19 and {_LUHN}",
     "phone": f"length({_DIGITS}) between 10 and 15",
 }
-NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+#: What a text has that holds a match; the others' matches all have digits as well.
+NEEDS = {"email": "instr(text, '@') > 0", "ip": "instr(text, '.') > 0", "card": "true", "phone": "instr(text, '+') > 0"}
 KINDS = [*PATTERNS, "term"]
 TERM, TERM_GAP, SHORTEST = r"[\p{L}\p{N}]{3,}", r"[^\p{L}\p{N}]+", 3
 SPAN = "struct<start:int,ord:int,end:int,kind:string,value:string>"
@@ -60,7 +61,8 @@ def _placed(pattern: str, kind: str, when: str = "true", valid: str = "true") ->
     are running sums of the lengths, over runs and then over the runs' totals, so that no long array is copied for
     each of its elements.
     """
-    marked = f"regexp_replace(translate(text, '{MARK}', '{OTHER}'), r\"{pattern}\", '{MARK}$0{MARK}')"
+    clear = f"if(instr(text, '{MARK}') > 0, translate(text, '{MARK}', '{OTHER}'), text)"
+    marked = f"regexp_replace({clear}, r\"{pattern}\", '{MARK}$0{MARK}')"
     parts = f"if({when}, split({marked}, '{MARK}', -1), array(''))"
     walk = "named_struct('at', 0, 'got', cast(array() as array<int>))"
     runs = f"""transform(sequence(0, (size(p) - 1) div {RUN}), r -> aggregate(slice(p, int(r * {RUN} + 1), {RUN}), {walk},
@@ -75,8 +77,10 @@ def _placed(pattern: str, kind: str, when: str = "true", valid: str = "true") ->
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """Adds ``base``: the spans of the four patterns, by start, then kind as listed."""
-    each = (_placed(p, k, f"instr(text, '{NEEDS[k]}') > 0" if NEEDS[k] else "true", VALID[k]) for k, p in PATTERNS.items())
-    return docs.withColumn("base", F.expr(f"if(text is null, cast(array() as array<{SPAN}>), array_sort(concat({', '.join(each)})))"))
+    email, *digits = (_placed(p, k, NEEDS[k], VALID[k]) for k, p in PATTERNS.items())
+    none = f"cast(array() as array<{SPAN}>)"
+    digits = f"if(text rlike '[0-9]', concat({', '.join(digits)}), {none})"
+    return docs.withColumn("base", F.expr(f"if(text is null, {none}, array_sort(concat({email}, {digits})))"))
 
 
 def _terms():

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -331,10 +332,59 @@ def test_main_text():
     assert html.main_text(html.blocks(""), None) == ""
 
 
+class Article(HTMLParser):
+    """Brute force: the text of everything between article tags, a line a block element."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.lines = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.open += tag == "article"
+        if tag == "br":
+            self.lines[-1] += " "
+        elif tag in html.BLOCKS:
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCKS:
+            self.lines.append("")
+        self.open -= tag == "article"
+
+    def handle_data(self, data):
+        if self.open:
+            self.lines[-1] += data
+
+
+def test_articles_match_brute_force(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r["html"])
+        parser.close()
+        want[r["page_id"]] = "\n".join(x for x in (" ".join(line.split()) for line in parser.lines) if x)
+    out = {r["page_id"]: r["text"] for r in html.main_texts(pages).collect()}
+    assert out == want
+
+
+def test_the_marked_element_with_the_own_lines_is_the_article():
+    def page(*articles):
+        return html.blocks("<nav>menu</nav>" + "".join(f"<article>{''.join(f'<p>{x}</p>' for x in a)}</article>" for a in articles))
+
+    teaser, licence = ["Read our latest offers today and tomorrow", "All of them in one long list"], "Licence line that articles share"
+    own = page(teaser, ["Own head", licence, "Own words of the article that are long enough here"])
+    other = [b[0] for b in page(teaser, ["Other", licence])]
+    assert html.main_text(own, other).split("\n") == ["Own head", licence, "Own words of the article that are long enough here"]
+    assert html.main_text(page(teaser), [b[0] for b in page(teaser)]).split("\n") == teaser  # a copy
+
+
 def test_shared_lines_go_where_nothing_is_marked(spark):
     rows = [(i, f"http://h/{i}", f"<p>Menu line</p><p>Own {i}</p><p>Base line</p>") for i in range(5)] + [(9, None, None), (10, "http://solo/", "<p>all</p>")]
     out = {r["page_id"]: r["text"] for r in html.main_texts(pages_of(spark, rows)).collect()}
     assert out == {i: f"Own {i}" for i in range(5)} | {9: "", 10: "all"}
+    twins = [(1, "http://h/a", "<p>Same</p>"), (1, "http://h/a", "<p>Same</p>")]
+    assert [r["text"] for r in html.main_texts(pages_of(spark, twins)).collect()] == ["Same", "Same"]
     assert html.main_texts(pages_of(spark, [])).collect() == []
 
 
@@ -355,6 +405,21 @@ def test_common_is_a_longest_common_subsequence():
 # ---- pipeline
 
 
+def test_one_row_stays_of_each_group(spark):
+    t, other = "one two three four five six seven", "quite another text of eight words for once"
+    rows = [(4, t), (4, t), (9, t), (None, t), (None, other), (None, other), (5, None), (5, None), (6, " "), (4, "a version of four that is not alike at all")]
+    out = corpus_pipeline.minhash_near_dedup(spark, docs_of(spark, rows), DATA).collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in out), key=repr)
+    assert got == sorted([(4, t), (None, other), (5, None), (6, " "), (4, "a version of four that is not alike at all")], key=repr)
+
+
+def test_contaminated_rows_go_by_their_text(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    rows = [(None, item), (None, "clean words"), (1, item), (1, "clean words"), (2, None), (3, "")]
+    out = corpus_pipeline.benchmark_decontamination(spark, docs_of(spark, rows), DATA).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == sorted([(None, "clean words"), (1, "clean words"), (2, None), (3, "")], key=repr)
+
+
 def test_pipeline_decisions(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     steps = [docs]
