@@ -77,8 +77,8 @@ FROM digests
 """
 
 
-def url_filter(rules: list[tuple[str, str, str]], blocklist: list[str]) -> str:
-    """Cases of the rules, the longest first; then the blocked hosts."""
+def url_filter(rules: list[tuple[str, str, str]], blocklist: list[str], names: list[str]) -> str:
+    """Cases of the rules, the longest first; then the blocked hosts and names."""
     within = lambda h: f"(host = '{h}' OR ends_with(host, '.{h}'))"
     fits = [(f"{within(h)} AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(reversed(rules), key=lambda r: -len(r[0] + r[1]))]
     case = lambda at: " ".join(f"WHEN {f[0]} THEN '{f[at]}'" for f in fits)
@@ -89,6 +89,6 @@ parts AS (
   FROM rest
 )
 SELECT page_id, host, path, CASE {case(1)} END AS rule,
-  CASE {case(2)} WHEN {" OR ".join(map(within, blocklist))} THEN 'block' ELSE 'allow' END AS verdict
+  CASE {case(2)} WHEN {" OR ".join(map(within, blocklist))} OR list_has_any(string_split(host, '.'), {names!r}) THEN 'block' ELSE 'allow' END AS verdict
 FROM parts
 """

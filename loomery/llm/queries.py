@@ -83,5 +83,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_minhash_near_dedup": oracles.NEAR_DEDUP,
         "op2_benchmark_decontamination": oracles.CONTAMINATION,
         "op5_warc_chunked_records": oracles.ARCHIVED,
-        "op8_url_filter": oracles.url_filter(urls.RULES, urls.BLOCKLIST),
+        "op8_url_filter": oracles.url_filter(urls.RULES, urls.BLOCKLIST, urls.NAMES),
     }
