@@ -56,14 +56,21 @@ def to_encode(passages: DataFrame, dictionary: DataFrame, model: str, version: s
     return keyed.dropDuplicates(["key"]).join(dictionary.select("key"), "key", "left_anti")
 
 
-def thread_roots(comments: DataFrame, most: int = 64) -> DataFrame:
-    """(id, root) of each comment by doubling jumps along in_reply_to; a parent that isn't there makes its own root."""
-    ids = comments.select(F.col("id").alias("p"))
-    rows = comments.select("id", "in_reply_to").join(ids, F.col("in_reply_to") == F.col("p"), "left").select("id", F.coalesce("p", "id").alias("root"))
-    step = 1
-    while step < most:  # log2(most) joins; a chain longer than that, or a cycle, is an error
-        rows = rows.alias("a").join(rows.alias("b"), F.col("a.root") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.root").alias("root"))
-        step *= 2
-    last = rows.alias("a").join(comments.select(F.col("id").alias("x"), "in_reply_to").alias("c"), F.col("a.root") == F.col("c.x"))
-    last = last.join(ids, F.col("in_reply_to") == F.col("p"), "left")
-    return last.select("id", F.when(F.col("p").isNull(), F.col("root")).otherwise(F.raise_error(F.lit("a reply chain has a cycle"))).alias("root"))
+def thread_roots(comments: DataFrame) -> DataFrame:
+    """(id, root) of each comment: the comment its chain of replies within the ticket begins with. A parent that isn't
+    there, or is of another ticket, ends the chain. Links are doubled until none moves; a cycle is an error."""
+    ticket = [c for c in ("repo", "number") if c in comments.columns]
+    parents = comments.select(F.col("id").alias("p"), *(F.col(c).alias(f"p_{c}") for c in ticket))
+    same = F.col("in_reply_to") == F.col("p")
+    for c in ticket:
+        same = same & (F.col(c) == F.col(f"p_{c}"))
+    rows = comments.join(parents, same, "left").select("id", F.coalesce("p", "id").alias("root"), F.col("p").isNotNull().alias("moved"))
+    # Links that are no cycle are at an end once they have been doubled as often as their number has binary digits.
+    rounds = max(1, rows.where("moved").count().bit_length())
+    for _ in range(rounds):
+        ends = rows.select(F.col("id").alias("q"), F.col("root").alias("next"), F.col("moved").alias("on"))
+        rows = rows.join(ends, F.col("root") == F.col("q")).select("id", F.col("next").alias("root"), F.col("on").alias("moved"))
+        rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+        if rows.where("moved").isEmpty():
+            return rows.select("id", "root")
+    return rows.select("id", F.when(F.col("moved"), F.raise_error(F.lit("a reply chain has a cycle"))).otherwise(F.col("root")).alias("root"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.derived import kept
 
 WEIGHTS = {"title": 5.0, "body": 1.0}
 K1, B = 1.2, 0.75
@@ -25,20 +27,57 @@ def query_words(query: str, keep_repeats: bool = False) -> list[str]:
     return words
 
 
+#: Folders that postings are dealt into by term, and parts of each, so that no frequent term is written by one task.
+BUCKETS, PARTS = 32, 8
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Index:
-    """Postings (id, repo, number, family, col, term, positions) and lengths (id, length); build once a generation."""
+    """Postings (id, repo, number, family, length, col, term, positions; kept ones also bucket), and totals (total, mean)
+    of the units' lengths; ``stored`` builds them once a generation."""
 
     postings: DataFrame
-    lengths: DataFrame
+    totals: DataFrame
 
     @staticmethod
     def build(documents: DataFrame) -> Index:
-        cols = documents.select("id", "repo", "number", "family", F.explode(F.array(*(F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("words")) for c in WEIGHTS))).alias("x"))
-        each = cols.select("id", "repo", "number", "family", F.col("x.col").alias("col"), F.posexplode("x.words").alias("pos", "term"))
-        post = each.groupBy("id", "repo", "number", "family", "col", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-        size = documents.select("id", (F.size(tokens(F.col("title"))) + F.size(tokens(F.col("body")))).alias("length"))
-        return Index(post, size)
+        words = documents.select("id", "repo", "number", "family", *(tokens(F.col(c)).alias(c) for c in WEIGHTS))
+        sized = words.withColumn("length", sum((F.size(c) for c in WEIGHTS), F.lit(0)))
+        cols = sized.select("id", "repo", "number", "family", "length", F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("words")) for c in WEIGHTS))).alias("x"))
+        each = cols.select("id", "repo", "number", "family", "length", F.col("x.col").alias("col"), F.posexplode("x.words").alias("pos", "term"))
+        post = each.groupBy("id", "repo", "number", "family", "length", "col", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+        totals = sized.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
+        return Index(post, totals)
+
+    @staticmethod
+    def stored(documents: DataFrame, state: str) -> Index:
+        """The kept index of ``documents``, whose sources are in ``state``: postings in folders by term, sorted by term."""
+        spark, new = documents.sparkSession, Index.build(documents)
+
+        def postings() -> DataFrame:
+            rows = new.postings.withColumn("bucket", bucket_of(F.col("term")))
+            return rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PARTS))).sortWithinPartitions("bucket", "term", "id")
+
+        return Index(kept(spark, "postings", state, postings, "bucket"), kept(spark, "totals", state, lambda: new.totals))
+
+    def of_terms(self, terms: list[str], prefix: str | None = None) -> DataFrame:
+        """Postings of ``terms``, and of those that begin with ``prefix``; whole words open their folders only."""
+        rows, fits = self.postings, F.col("term").isin(terms)
+        if prefix is not None:
+            return rows.where(fits | F.col("term").startswith(prefix))
+        if "bucket" in rows.columns:
+            rows = rows.where(F.col("bucket").isin([_bucket(t) for t in terms]))
+        return rows.where(fits)
+
+
+def _bucket(term: str) -> int:
+    """``bucket_of`` on the driver: the same hash and seed."""
+    n = xxhash.xxh64_intdigest(term.encode(), seed=42)
+    return (n - (1 << 64) if n >> 63 else n) % BUCKETS
 
 
 def _phrases(query: str, match: str, prefix: bool) -> list[list[str]]:
@@ -49,36 +88,45 @@ def _phrases(query: str, match: str, prefix: bool) -> list[list[str]]:
 
 
 def occurrences(index: Index, phrases: list[list[str]], prefix: bool, cols: list[str] | None, family: str | None) -> DataFrame:
-    """(id, repo, number, family, p, col, n): how often phrase p stands in each column. Filters come before any join."""
-    rows = index.postings
+    """(id, repo, number, family, length, p, col, n): how often phrase p stands in each column.
+
+    The index is read once for all phrases. A phrase's words meet by document, where their places, moved back by their
+    rank in the phrase, are intersected.
+    """
+    terms = sorted({t for p in phrases for i, t in enumerate(p) if not (prefix and i == len(p) - 1)})
+    ends = sorted({p[-1] for p in phrases if p}) if prefix else []
+    rows = index.of_terms(terms, None) if not ends else index.of_terms(terms, ends[0] if len(ends) == 1 else "")
     if cols:
         rows = rows.where(F.col("col").isin(cols))
     if family:
         rows = rows.where(F.col("family") == family)
-    key, out = ["id", "repo", "number", "family", "col"], None
-    for p, terms in enumerate(phrases):
-        fits = lambda i, terms=terms: F.col("term").startswith(terms[i]) if prefix and i == len(terms) - 1 else F.col("term") == terms[i]
-        minus = lambda i: lambda p: p - i
-        if len(terms) == 1:
-            got = rows.where(fits(0)).groupBy(*key).agg(F.sum(F.size("positions")).alias("n"))
-        else:
-            got = rows.where(fits(0)).select(*key, F.explode("positions").alias("at"))
-            for i in range(1, len(terms)):
-                got = got.join(rows.where(fits(i)).select(*key, F.explode(F.transform("positions", minus(i))).alias("at")), [*key, "at"], "left_semi")
-            got = got.groupBy(*key).agg(F.count("*").alias("n"))
-        got = got.withColumn("p", F.lit(p))
-        out = got if out is None else out.unionByName(got)
-    return out
+    key = ["id", "repo", "number", "family", "length", "col"]
+    slots = []
+    for p, words in enumerate(phrases):
+        for i, word in enumerate(words):
+            fits = F.col("term").startswith(word) if prefix and i == len(words) - 1 else F.col("term") == word
+            slots.append(F.when(fits, F.struct(F.lit(p).alias("p"), F.lit(i).alias("i"), F.lit(len(words)).alias("k"))))
+    if not slots:
+        return rows.select(*key, F.lit(0).alias("p"), F.lit(0).cast("long").alias("n")).where("false")
+    rows = rows.select(*key, "positions", F.explode(F.array_compact(F.array(*slots))).alias("slot"))
+    single = rows.where("slot.k = 1").groupBy(*key, F.col("slot.p").alias("p")).agg(F.sum(F.size("positions")).cast("long").alias("n"))
+    if all(len(p) == 1 for p in phrases):
+        return single
+    moved = rows.where("slot.k > 1").select(*key, F.col("slot.p").alias("p"), F.col("slot.k").alias("k"), F.struct(F.col("slot.i").alias("i"), F.expr("transform(positions, x -> x - slot.i)").alias("at")).alias("s"))
+    met = moved.groupBy(*key, "p", "k").agg(F.collect_list("s").alias("s")).where("size(array_distinct(transform(s, x -> x.i))) = k")
+    at = "flatten(transform(filter(s, x -> x.i = {0}), x -> x.at))"
+    starts = F.expr(f"aggregate(sequence(1, k - 1), {at.format(0)}, (a, j) -> array_intersect(a, {at.format('j')}))")
+    several = met.withColumn("n", F.size(starts).cast("long")).where("n > 0").select(*key, "p", "n")
+    return single.unionByName(several)
 
 
 def scored(index: Index, hits: DataFrame) -> DataFrame:
     """(id, repo, number, family, score): BM25 of each unit; statistics are those of all units, filters never change them."""
-    totals = index.lengths.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), F.col("col"))
-    per = hits.groupBy("id", "repo", "number", "family", "p").agg(F.sum(weight * F.col("n")).alias("f"))
-    df = hits.groupBy("p").agg(F.countDistinct("id").alias("df"))  # a row a phrase
+    per = hits.groupBy("id", "repo", "number", "family", "length", "p").agg(F.sum(weight * F.col("n")).alias("f"))
+    df = per.groupBy("p").agg(F.count("*").alias("df"))  # a row a phrase
+    rows = per.join(F.broadcast(df), "p").crossJoin(F.broadcast(index.totals))  # totals: one row
     idf = F.ln((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = per.join(F.broadcast(df), "p").crossJoin(F.broadcast(totals)).join(index.lengths, "id")  # totals: one row
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return rows.groupBy("id", "repo", "number", "family").agg(F.sum(part).alias("score"))
@@ -109,6 +157,25 @@ def search(index: Index, tickets: DataFrame, query: str, match: str = "any", pre
     return units.withColumn("i", F.row_number().over(first)).where("i = 1").drop("i")
 
 
+def best_of_units(hits: DataFrame) -> DataFrame:
+    """The best hit of each unit, where a unit stands in several scopes."""
+    w = Window.partitionBy("repo", "number", "id").orderBy(F.desc("score"), "family")
+    return hits.withColumn("i", F.row_number().over(w)).where("i = 1").drop("i")
+
+
+def highlighted(text: Column, words: list[str]) -> Column:
+    """``text`` with the words in brackets."""
+    any_ = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{N}])"
+    return F.regexp_replace(text, any_, "[$1]")
+
+
+def field_of(words: list[str]) -> Column:
+    """What a hit is attributed to: labels, comments by their kind, else the title if a word stands in it, else the body."""
+    family = F.col("family")
+    title = F.size(F.array_intersect(tokens(F.col("title")), F.array(*(F.lit(w) for w in words)))) > 0
+    return F.when(family == "labels", "labels").when(family == "review", "review_comment").when(family == "comment", "comment").when(title, "title").otherwise("body")
+
+
 def evidence(units: DataFrame, limit: int = 3) -> DataFrame:
     """The best units of each ticket, numbered."""
     w = Window.partitionBy("repo", "number").orderBy(F.desc("score"), "family", "id")

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE, MOST, FACETS, CURSOR_BYTES = 30, 100, 100, 4096
@@ -60,15 +60,15 @@ def encode(cursor: dict) -> str:
 
 
 def decode(text: str, kind: str, sign: str, generation: str) -> dict:
-    """Wrong kind or options: 400; another generation: 409."""
+    """A search by another engine (kinds search:<engine>): 409; wrong kind or options: 400; another generation: 409."""
     if len(text) > CURSOR_BYTES:
         raise CursorError(400, "the cursor is too long")
     try:
         got = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
     except ValueError as why:
         raise CursorError(400, "the cursor can't be read") from why
-    if got.get("engine_switch"):
-        raise CursorError(409, "the engine changed")
+    if kind.startswith("search") and str(got.get("kind")).startswith("search") and got["kind"] != kind:
+        raise CursorError(409, "the engine changed; begin again")
     if got.get("kind") != kind or got.get("signature") != sign:
         raise CursorError(400, "the cursor is of another query")
     if got.get("generation") != generation:
@@ -80,3 +80,9 @@ def facet(rows: DataFrame, values: Column, distinct: bool = True, top: int = FAC
     """Tickets a value, most first; ``values`` is an array, counted once a ticket if ``distinct``."""
     each = rows.select("repo", "number", F.explode(F.array_distinct(values) if distinct else values).alias("value")).where("value is not null")
     return each.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(top)
+
+
+def facet_page(rows: DataFrame, values: Column, distinct: bool = True, top: int = FACETS) -> DataFrame:
+    """``facet`` with ``truncated``: a value more is looked for than returned."""
+    few = facet(rows, values, distinct, top + 1).withColumn("i", F.row_number().over(Window.orderBy(F.desc("n"), "value")))  # top + 1 rows
+    return few.withColumn("truncated", F.count("*").over(Window.partitionBy()) > top).where(F.col("i") <= top).drop("i")

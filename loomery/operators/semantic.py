@@ -41,26 +41,31 @@ def best_passages(scores: DataFrame, limit: int = 3) -> DataFrame:
     return rows.withColumn("ordinal", F.row_number().over(all_)).where(F.col("ordinal") <= limit)
 
 
-def pooled(passages: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """A unit vector of each ticket: its fields' mean vectors by weight; only tickets with a title or body."""
+def pooled(passages: DataFrame, weights: dict[str, float], main_only: bool = True) -> DataFrame:
+    """A unit vector of each ticket: its fields' mean vectors by weight; ``main_only``: only tickets with a title or body."""
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("field"))
     rows = passages.where(F.col("field").isin(list(weights)))
     rows = rows.select("repo", "number", "field", F.posexplode("vector").alias("pos", "x"))
     mean = rows.groupBy("repo", "number", "field", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     total = mean.groupBy("repo", "number", "pos").agg(F.sum(weight * F.col("x")).alias("x"), F.max(F.col("field").isin("title", "body")).alias("main"))
     out = total.groupBy("repo", "number").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.max("main").alias("main"))
-    return out.where("main and norm > 0").select("repo", "number", F.transform("v", lambda e: e["x"] / F.col("norm")).alias("vector"))
+    return out.where("main and norm > 0" if main_only else "norm > 0").select("repo", "number", F.transform("v", lambda e: e["x"] / F.col("norm")).alias("vector"))
 
 
 def mutual_ranks(vectors: DataFrame, candidates: DataFrame, seed: list[float]) -> DataFrame:
     """rank = 1 + tickets nearer to the candidate than the seed is. At most MUTUAL candidates, against all vectors in
     one pass: the candidates are a bounded query set that is broadcast."""
     few = candidates.orderBy(F.desc("score"), "repo", "number").limit(MUTUAL).select("repo", "number")
-    few = few.join(vectors, ["repo", "number"]).withColumn("own", F.round(dot(F.col("vector"), F.array(*(F.lit(x) for x in seed))), 6))
+    few = few.join(vectors, ["repo", "number"], "left").withColumn("own", F.round(dot(F.col("vector"), F.array(*(F.lit(x) for x in seed))), 6))
     few = F.broadcast(few.select(F.col("repo").alias("r"), F.col("number").alias("n"), F.col("vector").alias("c"), "own"))
-    pairs = vectors.join(few, (F.col("repo") != F.col("r")) | (F.col("number") != F.col("n")))
+    pairs = vectors.join(few.where("c is not null"), (F.col("repo") != F.col("r")) | (F.col("number") != F.col("n")))
     nearer = F.sum((F.round(dot(F.col("vector"), F.col("c")), 6) > F.col("own")).cast("long"))
-    return pairs.groupBy("r", "n").agg((1 + nearer).alias("rank")).select(F.col("r").alias("repo"), F.col("n").alias("number"), "rank")
+    found = pairs.groupBy("r", "n").agg((1 + nearer).alias("rank"))
+    # A candidate without a vector ranks behind all; one alone among the vectors is first.
+    size = vectors.agg((F.count("*") + 1).alias("last"))
+    ranks = few.select("r", "n", F.col("c").isNull().alias("bare")).join(found, ["r", "n"], "left").crossJoin(F.broadcast(size))  # one row
+    rank = F.when(F.col("bare"), F.col("last")).otherwise(F.coalesce("rank", F.lit(1)))
+    return ranks.select(F.col("r").alias("repo"), F.col("n").alias("number"), rank.alias("rank"))
 
 
 def ranked(rows: DataFrame, by: str, name: str) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import candidates, context, evaluate, ingest, lexical, paging, policy, represent, semantic
+from ..operators import candidates, context, evaluate, ingest, lexical, paging, policy, reads, represent, retrieval, semantic
 from ..operators.filters import Filters
+from ..sources.derived import state_of
 from ..sources.model import Mirror
 
 NOW = datetime(2024, 3, 1, tzinfo=timezone.utc)
-STOP = ["the", "of", "and", "to", "in", "is", "it", "that", "for", "was", "on", "with", "as", "at", "by", "an", "be", "this", "from", "are", "or"]
+STOP = candidates.STOP
 
 TICKETS = """tickets as (
   select 'demo/' || source as repo, doc_id + 1 as number,
@@ -73,7 +74,19 @@ def query(sql: str | None):
 
 
 def index_of(spark: SparkSession, folder: str) -> lexical.Index:
-    return lexical.Index.build(Mirror(spark, folder).documents)
+    """Built once for the state of its tables and kept; later queries open the postings of their terms only."""
+    sources = [f"{folder}/{t}.parquet" for t in ("documents", "labels", "conversations")]
+    return lexical.Index.stored(Mirror(spark, folder).documents, state_of(spark, sources))
+
+
+def corpus_of(spark: SparkSession, folder: str) -> retrieval.Corpus:
+    m = Mirror(spark, folder)
+    return retrieval.Corpus(m.tickets, m.documents, index_of(spark, folder), m.passages)
+
+
+def repo_of(m: Mirror, number: int) -> str:
+    row = m.tickets.where(F.col("number") == number).select("repo").first()
+    return row[0] if row else ""
 
 
 def _search(spark, d, *a, **k):
@@ -200,10 +213,10 @@ def batch_read(spark, d):
     return F.broadcast(ids).join(Mirror(spark, d).tickets.select("repo", "number"), "number", "left").select("repo", "number", "place", F.col("repo").isNotNull().alias("found"))
 
 
-@query("with " + TICKETS + COMMENTS + " select id, repo, number, created_s, left(body, 1024) as preview from comments where number <= 5 and id not like 'review:%' order by created_s, id limit 30")
+@query("with " + TICKETS + COMMENTS + ", c as (select *, row_number() over (order by created_s, id) as place, count(*) over () as n from comments where id not like 'review:%') select id, repo, number, created_s, left(body, 1024) as preview, cast(place as int) as place, n > 30 as has_more from c where place <= 30")
 def comments_page(spark, d):
-    c = Mirror(spark, d).comments.where((F.col("number") <= 5) & ~F.col("id").startswith("review:"))
-    return c.orderBy("created_s", "id").limit(30).select("id", "repo", "number", "created_s", F.substring("body", 1, 1024).alias("preview"))
+    rows = reads.numbered(reads.comment_rows(Mirror(spark, d).comments, "discussion"), 30, "created_s", "id")
+    return rows.select("id", "repo", "number", "created_s", F.col("body").alias("preview"), "place", "has_more")
 
 
 @query("with " + TICKETS + COMMENTS + ", k as (select repo, number, count(*) as n, sum((id like 'review:%')::int)::bigint as reviews from comments group by 1, 2) select repo, number, coalesce(n, 0) as n, coalesce(reviews, 0) as reviews from tickets left join k using (repo, number)")
@@ -250,41 +263,48 @@ def sem_best_passage(spark, d):
     return semantic.best_passages(_passages(spark, d))
 
 
-@query(_VEC.format(BASE) + _hits(["thing", "are"]) + """, lex as (select repo, number, row_number() over (order by score desc, repo, number) as r from (""" + _BEST.format("scored") + """) order by score desc, repo, number limit 100)
-, se as (select repo, number, row_number() over (order by blended desc, repo, number) as r from sem order by blended desc, repo, number limit 200)
-select repo, number, round(sum(s), 9) as score from (select repo, number, 1.0 / (60 + r) as s from lex union all select repo, number, 1.0 / (60 + r) from se) group by 1, 2""")
+@query(_VEC.format(BASE) + _hits(["thing", "are"]) + """, lex as (select repo, number, row_number() over (order by score desc, repo, number) as lex from (""" + _BEST.format("scored") + """))
+, se as (select repo, number, row_number() over (order by blended desc, repo, number) as sem from sem)
+, every as (select repo, number from lex union select repo, number from se)
+, h as (select repo, number, term, max(case when family = 'labels' then 1.5 when col = 'title' then 2.0 when family = 'issue' then 1.0 else 0.6 end) as w
+    from toks join every using (repo, number) where term = 'thing' group by all)
+, hn as (select count(*) as h from every)
+, r as (select ln(1 + (any_value(hn.h) + 1) / (count(h.term) + 1)) as r from hn left join h on true)
+, ev as (select repo, number, round(1 + 0.25 * w, 6) as score from h, r where r > 0)
+, tk as (select repo, number, row_number() over (order by score desc, sem nulls last, repo, number) as ticket from ev left join se using (repo, number))
+select repo, number, round(coalesce(1.0 / (60 + lex), 0) + coalesce(1.0 / (60 + sem), 0) + coalesce(3.0 / (60 + ticket), 0), 9) as score
+from every left join lex using (repo, number) left join se using (repo, number) left join tk using (repo, number) where lex is not null or ticket is not null or sem <= 200""")
 def rrf_query(spark, d):
-    index, scores = index_of(spark, d), semantic.ticket_scores(_passages(spark, d))
-    lex = lexical.search(index, Mirror(spark, d).tickets, "thing are")
-    hits = lex.select("repo", "number").union(scores.select("repo", "number")).distinct()
-    words = [w for w in ["thing", "are"] if w not in STOP]
-    return semantic.hybrid(lex, scores, candidates.term_evidence(index.postings, words, hits))
+    corpus = corpus_of(spark, d)
+    return retrieval.hybrid(corpus, corpus.tickets, "thing are", semantic.ticket_scores(_passages(spark, d))).select("repo", "number", "score")
 
 
 @query("with " + BASE + """, h as (select repo, number, term, max(case when family = 'labels' then 1.5 when col = 'title' then 2.0 when family = 'issue' then 1.0 else 0.6 end) as w from toks where term in ('thing', 'are', 'with') group by all)
 , n as (select count(*) as h from (select distinct repo, number from h)), r as (select term, ln(1 + (n.h + 1) / (count(*) + 1)) as r from h, n group by term, n.h), den as (select sum(r) as den from r)
 select repo, number, round(sum(r) / max(den) + 0.25 * sum(r * w) / max(den), 6) as score from h join r using (term), den group by 1, 2""")
 def ticket_evidence(spark, d):
-    return candidates.term_evidence(index_of(spark, d).postings, ["thing", "are", "with"])
+    words = ["thing", "are", "with"]
+    return candidates.term_evidence(index_of(spark, d).of_terms(words), words).select("repo", "number", "score")
 
 
-_SEED = "with " + BASE + ", st as (select distinct id, family, col, term from toks where number = 2 and length(term) >= 2 and term not in (" + ", ".join(map(repr, STOP)) + """))
-, seed as (select term, sum(case when family = 'labels' then 1.5 when family <> 'issue' then 0.5 when col = 'title' then 4.0 else 1.0 end) as weight from st group by 1) """
+_NO_STOP = "length(term) >= 2 and term not in (" + ", ".join(map(repr, STOP)) + ")"
+_SEED = "with " + BASE + f""", st as (select *, row_number() over (partition by id, col order by first) as k from (select id, family, col, term, min(pos) as first from toks where number = 2 and family <> 'labels' and {_NO_STOP} group by id, family, col, term))
+, lt as (select unnest(list_distinct(regexp_extract_all(strip_accents(lower(label)), '[\\p{{L}}\\p{{N}}]+'))) as term from (select unnest(labels) as label from tickets where number = 2))
+, seed as (select term, sum(w) as weight from (select term, case when family <> 'issue' then 0.5 when col = 'title' then 4.0 else 1.0 end as w from st where k <= 1024 union all select term, 1.5 from lt where {_NO_STOP}) group by 1)
+, chosen as (select * from seed order by weight desc, term limit 256) """
 
 
 @query(_SEED + "select term, weight from seed")
 def seed_terms(spark, d):
     m = Mirror(spark, d)
-    repo = m.tickets.where("number = 2").select("repo").first()
-    return candidates.seed_terms(m.documents, repo[0] if repo else "", 2, STOP)
+    return candidates.seed_terms(m.documents, repo_of(m, 2), 2, STOP)
 
 
-@query(_SEED + ", n as (select count(*) as total from tickets), dfs as (select term, count(distinct (repo, number)) as df from toks where number <> 2 group by 1) select term, df, score from (select term, df, round(weight * ln(1 + (total + 1) / (df + 1)), 6) as score from seed join dfs using (term), n) order by score desc, term limit 24")
+@query(_SEED + ", n as (select count(*) as total from tickets), dfs as (select term, count(distinct (repo, number)) as df from toks where number <> 2 group by 1) select term, df, score from (select term, df, round(weight * ln(1 + (total + 1) / (df + 1)), 6) as score from chosen join dfs using (term), n) order by score desc, term limit 24")
 def seed_term_select(spark, d):
     m = Mirror(spark, d)
-    repo = m.tickets.where("number = 2").select("repo").first()
-    repo = repo[0] if repo else ""
-    return candidates.select_terms(candidates.seed_terms(m.documents, repo, 2, STOP), index_of(spark, d).postings, repo, 2)
+    repo = repo_of(m, 2)
+    return candidates.select_terms(candidates.seed_terms(m.documents, repo, 2, STOP), index_of(spark, d), repo, 2, m.tickets)
 
 
 @query(None)
@@ -316,7 +336,7 @@ def policy_threads(spark, d):
 select c.id, not (t.kind = 'pull_request' and (c.author = 'assistant' or r.author = 'assistant')) as visible from comments c join top using (id) join comments r on top.root = r.id join tickets t on t.repo = c.repo and t.number = c.number""")
 def policy_visible(spark, d):
     m = Mirror(spark, d)
-    return policy.decided(m.comments, m.tickets.where("kind = 'pull_request'"), policy.Policy()).select("id", "visible")
+    return policy.decided(m.comments, m.tickets.where("kind = 'pull_request'"), policy.Policy(exclude_authors=["assistant"])).select("id", "visible")
 
 
 def _feed(spark, d):
@@ -333,10 +353,11 @@ def upsert_latest(spark, d):
     return ingest.upsert(f.where("event_id < 1000"), f.where("event_id >= 1000"), ["user_id", "event_type"]).select("user_id", "event_type", "version", "event_id")
 
 
-@query(_FEED + " select distinct user_id from feed where event_id < 1000 and user_id not in (select user_id from feed where event_id between 1000 and 1100)")
+@query("select distinct user_id, event_type from events where ts < timestamp '2024-01-28' and (user_id, event_type) not in (select (user_id, event_type) from events where ts >= timestamp '2024-01-28')")
 def reconcile_anti(spark, d):
-    f = _feed(spark, d)
-    return ingest.reconciled(f.where("event_id < 1000").select("user_id").distinct(), f.where("event_id between 1000 and 1100"), ["user_id"])
+    """Of all users and types seen before a listing began those that it no longer has."""
+    e, began = spark.read.parquet(f"{d}/events.parquet"), F.expr("timestamp_ntz'2024-01-28 00:00:00'")
+    return ingest.reconciled(e.where(F.col("ts") < began).select("user_id", "event_type").distinct(), e.where(F.col("ts") >= began), ["user_id", "event_type"])
 
 
 @query(_FEED + """, o as (select user_id, event_type, max(payload) as payload from feed where event_id % 3 < 2 group by 1, 2), n as (select user_id, event_type, max(payload) as payload from feed where event_id % 3 > 0 group by 1, 2)
@@ -375,7 +396,7 @@ def status_counts(spark, d):
 
 @query(None)
 def references(spark, d):
-    return represent.page_references(Mirror(spark, d).documents)
+    return represent.page_references(Mirror(spark, d).documents.withColumn("url", F.lit("https://host.example/")))
 
 
 @query(None)
@@ -398,7 +419,7 @@ def snippets(spark, d):
 
 @query(None)
 def attribution(spark, d):
-    return Mirror(spark, d).comments.select("id", represent.detected_ai("body").alias("declared"))
+    return Mirror(spark, d).comments.select("id", represent.detected_ai(F.col("body")).alias("declared"))
 
 
 @query("with " + BASE + " select term, count(*) as n from toks group by 1 order by n desc, term limit 50")

@@ -44,6 +44,38 @@ class Mirror:
             (i * 3600 + 1704067200 + (i * 7919 % 500) * 3600).alias("updated_s"),
         )
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        """Tickets as upstream sends them: payload, fields and extra are JSON."""
+        t, n = self.tickets, F.col("number")
+        named = lambda c, member: F.transform(c, lambda x: F.struct(x.alias(member)))
+        when = F.date_format(F.timestamp_seconds("created_s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        payload = F.struct(
+            "number", F.concat(F.lit("T_"), n.cast("string")).alias("node_id"), "title", "state", F.concat(F.lit("https://host.example/"), "repo", F.lit("/"), n.cast("string")).alias("html_url"),
+            when.alias("created_at"), when.alias("updated_at"), F.struct(F.col("type").alias("name")).alias("type"), F.struct(F.col("author").alias("login")).alias("user"),
+            named("labels", "name").alias("labels"), named("assignees", "login").alias("assignees"), F.struct(F.col("milestone_title").alias("title")).alias("milestone"),
+            F.when(F.col("kind") == "pull_request", F.struct(F.when(F.col("state") == "closed", when).alias("merged_at"))).alias("pull_request"),
+        )
+        node = lambda at: F.struct(at.alias("number"), F.struct(F.col("repo").alias("nameWithOwner")).alias("repository"))
+        extra = F.struct(
+            F.when(n % 5 == 0, node(n - 1)).alias("parent"), F.when(n % 7 == 0, F.array(node(n + 1), node(n + 2))).alias("subIssues"), F.when(n % 4 == 0, F.array(node(n + 3))).alias("blocking"),
+            F.transform("project_urls", lambda u: F.struct(F.struct(u.alias("url")).alias("project"))).alias("projectItems"),
+        )
+        fields = F.transform("field_values", lambda f: F.struct(F.struct(f["name"].alias("name")).alias("field"), f["value"].alias("number")))
+        team = F.array(F.struct(F.struct(F.lit("team").alias("name")).alias("field"), F.concat(F.lit("team"), (n % 3).cast("string")).alias("name")))
+        return t.select("repo", "number", "kind", F.to_json(payload).alias("payload"), F.to_json(extra).alias("extra"), F.to_json(fields).alias("fields"), F.to_json(team).alias("teams"))
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        """(kind, scope, id, payload): labels and milestones of repositories, projects of the owner."""
+        t = self.tickets
+        own = lambda kind, c: t.select(F.lit(kind).alias("kind"), F.col("repo").alias("scope"), F.explode(c).alias("id")).distinct()
+        named = own("labels", F.col("labels")).unionByName(own("milestones", F.array_compact(F.array("milestone_title"))))
+        named = named.withColumn("payload", F.to_json(F.struct(F.col("id").alias("name"))))
+        number = F.regexp_extract("url", r"(\d+)$", 1)
+        plans = t.select(F.explode("project_urls").alias("url")).select(number.alias("id")).distinct().select(F.lit("projects").alias("kind"), F.lit("demo").alias("scope"), "id", F.to_json(F.struct(F.col("id").cast("long").alias("number"))).alias("payload"))
+        return named.unionByName(plans)
+
     @cached_property
     def comments(self) -> DataFrame:
         c, t = self.table("conversations"), self.tickets.select("repo", "number")
@@ -70,7 +102,7 @@ class Mirror:
     def passages(self) -> DataFrame:
         """Stored vectors as passages: ticket and field by vec_id."""
         e, v = self.table("embeddings"), F.col("vec_id")
-        n = self.tickets.count()
+        e = e.crossJoin(F.broadcast(self.tickets.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))))  # one row
         field = F.element_at(F.array(*(F.lit(x) for x in ("title", "body", "labels", "comment", "review_comment"))), (v % 5 + 1).cast("int"))
-        e = e.select((v % max(1, n) + 1).alias("number"), field.alias("field"), v.alias("chunk"), F.col("embedding").alias("vector"))
+        e = e.select((v % F.col("n") + 1).alias("number"), field.alias("field"), v.alias("chunk"), F.col("embedding").alias("vector"))
         return e.join(self.tickets.select("repo", "number"), "number").select("repo", "number", "field", "chunk", "vector")

@@ -1,4 +1,4 @@
-"""Generations: every commit writes all its tables to a new folder and then swaps one pointer."""
+"""Generations: every commit writes its tables to a new folder and then adds one manifest, which names them all."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import hashlib
 import json
 import secrets
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 3
 KEEP = 3
+#: Tables and metadata that stay with the collector.
+PRIVATE = ("responses", "inventory", "identity", "credential_identity")
 
 
 @dataclass
@@ -21,19 +25,30 @@ class Store:
 
     spark: SparkSession
     root: str
+    read_only: bool = False
 
     def _fs(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _put(self, name: str, text: str) -> None:
+    def _write(self, name: str, text: str) -> bool:
+        """Whether the file is new and this writer's; a file that is there stays as it is."""
         fs, path = self._fs()
-        out = fs.create(path(f"{self.root}/{name}.new"), True)
+        new = path(f"{self.root}/.{secrets.token_hex(8)}.new")
+        out = fs.create(new, False)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(path(f"{self.root}/{name}"), False)
-        fs.rename(path(f"{self.root}/{name}.new"), path(f"{self.root}/{name}"))
+        if fs.exists(path(f"{self.root}/{name}")) or not fs.rename(new, path(f"{self.root}/{name}")):
+            fs.delete(new, False)
+            return False
+        return True
+
+    def _manifests(self) -> list[str]:
+        """Names of the manifests, the newest first."""
+        fs, path = self._fs()
+        found = fs.listStatus(path(self.root)) if fs.exists(path(self.root)) else []
+        return sorted((n for n in (x.getPath().getName() for x in found) if n.startswith("manifest-")), reverse=True)
 
     def _get(self, name: str) -> str | None:
         fs, path = self._fs()
@@ -46,23 +61,57 @@ class Store:
             data.close()
 
     def manifest(self) -> dict | None:
-        text = self._get("CURRENT.json")
-        found = json.loads(text) if text else None
+        """The newest one; a reader sees an old generation or a new one, never none between."""
+        names = self._manifests()
+        found = json.loads(self._get(names[0])) if names else None
         if found and found["schema_version"] != SCHEMA_VERSION:
             raise ValueError(f"schema version {found['schema_version']}; this reads {SCHEMA_VERSION}")
         return found
 
     def commit(self, tables: dict[str, DataFrame], metadata: dict | None = None) -> dict:
-        """All tables or none become visible; readers of the old generation go on."""
+        """All tables or none become visible; readers of the old generation go on. Manifests are numbered, so of two
+        writers that began with the same generation one fails and leaves nothing that counts."""
+        if self.read_only:
+            raise PermissionError("the store is open for reading only")
+        names = self._manifests()
         old, generation = self.manifest() or {"tables": {}, "metadata": {}}, secrets.token_hex(16)
         paths = dict(old["tables"])
         for name, df in tables.items():
             paths[name] = f"gen={generation}/{name}"
             df.write.parquet(f"{self.root}/{paths[name]}")
         new = {"schema_version": SCHEMA_VERSION, "generation": generation, "tables": paths, "metadata": old["metadata"] | (metadata or {}), "committed_at": time.time()}
-        self._put("CURRENT.json", json.dumps(new, sort_keys=True))
+        number = int(names[0][9:-5]) + 1 if names else 1
+        if not self._write(f"manifest-{number:012d}.json", json.dumps(new, sort_keys=True)):
+            raise RuntimeError("another writer has committed meanwhile")
+        self.prune()
         return new
 
+    def prune(self, keep: int = KEEP) -> None:
+        """Deletes all but the last ``keep`` manifests and the generations that only deleted ones name."""
+        fs, path = self._fs()
+        names = self._manifests()
+        used = lambda ns: {p.split("/")[0] for n in ns for p in json.loads(self._get(n))["tables"].values()}
+        for gone in used(names[keep:]) - used(names[:keep]):
+            fs.delete(path(f"{self.root}/{gone}"), True)
+        for n in names[keep:]:
+            fs.delete(path(f"{self.root}/{n}"), False)
+
+    def busy(self) -> bool:
+        """Whether a writer holds the lock."""
+        fs, path = self._fs()
+        return bool(fs.exists(path(f"{self.root}/LOCK")))
+
+    @contextmanager
+    def locked(self) -> Iterator[None]:
+        """One writer at a time over a whole collection."""
+        if not self._write("LOCK", str(time.time())):
+            raise RuntimeError("another writer holds the lock")
+        try:
+            yield
+        finally:
+            fs, path = self._fs()
+            fs.delete(path(f"{self.root}/LOCK"), False)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.manifest()['tables'][name]}")
 
@@ -70,20 +119,41 @@ class Store:
         found = self.manifest()
         return bool(found) and time.time() - found["committed_at"] <= seconds
 
-    def publish(self, target: Store, drop: tuple[str, ...] = ("responses", "inventory", "identity")) -> dict:
-        """An immutable copy without private tables, named by a digest of its rows."""
+    @staticmethod
+    def digest(tables: dict[str, DataFrame]) -> str:
+        """Of the rows of all tables, whatever their order: their number and the sums of two hashes of each row, so a row
+        that stands twice counts twice."""
+        total = lambda df, seed: F.sum(F.xxhash64(F.lit(seed), *df.columns).cast("decimal(38,0)")).cast("string")
+        sums = {n: df.agg(F.count("*").alias("n"), total(df, 1).alias("a"), total(df, 2).alias("b")).first() for n, df in sorted(tables.items())}
+        return hashlib.sha256(json.dumps({n: [r["n"], r["a"], r["b"]] for n, r in sums.items()}).encode()).hexdigest()
+
+    def publish(self, target: Store, drop: tuple[str, ...] = PRIVATE) -> dict:
+        """An immutable copy without private tables and metadata, incomplete vectors and vectors of no passage."""
         found = self.manifest()
         kept = {n: self.read(n) for n in found["tables"] if n not in drop}
-        sums = {n: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x")).first() for n, df in kept.items()}
-        digest = hashlib.sha256(json.dumps({n: [r["n"], r["x"]] for n, r in sorted(sums.items())}).encode()).hexdigest()
-        return target.commit(kept, {"source": found["generation"], "sha256": digest})
+        if "semantic_documents" in kept:
+            kept["semantic_documents"] = kept["semantic_documents"].where("complete")
+            if "passages" in kept:
+                kept["passages"] = kept["passages"].join(kept["semantic_documents"].select("id"), "id", "left_semi")
+        if "vectors" in kept and "passages" in kept:
+            kept["vectors"] = kept["vectors"].join(kept["passages"].select("key"), "key", "left_semi")
+        open_ = {k: v for k, v in found["metadata"].items() if k not in PRIVATE}
+        return target.commit(kept, open_ | {"source": found["generation"], "sha256": self.digest(kept)})
+
+    def size(self) -> int:
+        fs, path = self._fs()
+        return sum(fs.getContentSummary(path(f"{self.root}/{p}")).getLength() for p in set((self.manifest() or {"tables": {}})["tables"].values()))
 
-    def acquire(self, source: Store, oldest: float | None = None) -> dict:
-        """Installs a published copy after checking its age and digest."""
+    def acquire(self, source: Store, oldest: float | None = None, repositories: list[str] | None = None, most: int = 2 << 30) -> dict:
+        """Installs a published copy after checking its age, size, scope and digest; nothing is committed if one fails."""
         found = source.manifest()
         if oldest is not None and not source.fresh(oldest):
             raise ValueError("the snapshot is too old")
-        new = source.publish(self, ())
-        if new["metadata"]["sha256"] != found["metadata"]["sha256"]:
+        if source.size() > most:
+            raise ValueError(f"the snapshot is larger than {most} bytes")
+        if repositories and set(repositories) - set(found["metadata"].get("repositories", [])):
+            raise ValueError("the snapshot lacks repositories")
+        kept = {n: source.read(n) for n in found["tables"]}
+        if self.digest(kept) != found["metadata"]["sha256"]:
             raise ValueError("the snapshot differs from its digest")
-        return new
+        return self.commit(kept, found["metadata"])

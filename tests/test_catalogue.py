@@ -65,7 +65,7 @@ def test_fences_sections_references():
     assert [(s["heading"], s["empty"]) for s in found] == [("", False), ("Steps", False), ("Expected", True)]
     refs = represent.find_references("a/b", "duplicate of #12, fixes c/d#3; v1/#9 ```\nhttps://github.com/x/y/issues/7\n")
     assert [r[:3] for r in refs] == [("a/b", 12, "duplicate_reference"), ("c/d", 3, "fix_reference"), ("x/y", 7, "mention")]
-    assert represent.declares_ai("hello\nGenerated by AI") and not represent.declares_ai("```\nGenerated by AI\n```")
+    assert represent.declared_ai("hello\nGenerated by Claude Code") == "claude" and represent.declared_ai("```\nGenerated by Claude Code\n```") is None
 
 
 @given(st.text(max_size=6000))
