@@ -245,36 +245,47 @@ def _links_in_group(width: int, percent: int):
     return run
 
 
-def _exact_links(rest: DataFrame, sigs: DataFrame, sets: Sets, width: int, percent: int) -> DataFrame:
+def _exact_links(rest: DataFrame, sigs: DataFrame, short: DataFrame, sets: Sets, width: int, percent: int) -> DataFrame:
     """Links (a, b) between components that a posting list of ``rest`` (token, doc, label) mixes, none lost.
 
-    In each list the members outside its largest component are compared with all members of like size. Both sides are
-    dealt into groups of about RUN rows by token, size band and two salts, so neither a hot token nor a hot size meets in one task.
+    A member of a list is live if the list has another component's member in its size band or a band beside it; the
+    rest can't be linked by this list. Of the live, those outside the largest component are compared with all of like
+    size. Both sides are dealt into groups of about RUN rows by token, size band and two salts, so neither a hot token
+    nor a hot size meets in one task. Signatures join the rows once these have been dealt.
     """
-    band = lambda c: F.floor(F.ln(c) / F.ln(F.lit(100 / percent)))
-    mask = rest.groupBy("doc").agg(F.expr("bit_or(shiftleft(1L, int(shiftright(token, 32))))").alias("mask"))
-    rows = rest.select("token", "doc", "label").join(mask, "doc").join(sigs, "doc")
-    rows = materialize(rows.withColumn("own", band("n")), "members")
+    band = F.floor(F.ln("n") / F.ln(F.lit(100 / percent)))
+    rows = rest.select("token", "doc", "label").join(short.select("doc", "n").distinct(), "doc").withColumn("band", band)
+    rows = materialize(rows, "members")
+    beside = F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1))))
+    around = rows.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    around = around.withColumn("band", beside).groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = materialize(rows.join(around.where("low <> high"), ["token", "band"], "left_semi"), "live")
+    # Two documents of one list that could be linked are live in each list they share, so these bits name the same lists.
+    mask = rows.groupBy("doc").agg(F.expr("bit_or(shiftleft(1L, int(shiftright(token, 32))))").alias("mask"))
+    marked = materialize(sigs.join(mask, "doc"), "marked")
+
     size = rows.groupBy("token", "label").agg(F.count("*").alias("m"))
     main = size.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("main"), (F.sum("m") - F.max("m")).alias("n_odd"))
     main = materialize(main.withColumn("parts", F.ceil(F.col("n_odd") / RUN)), "main")
-    bands = materialize(rows.groupBy("token", "own").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / RUN)).drop("m"), "bands")
+    bands = materialize(rows.groupBy("token", "band").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / RUN)).drop("m"), "bands")
+    dealt = [*_PLACE, "doc", "label", "n"]
     odd = rows.join(main, "token").where("label <> main").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts")))
-    odd = odd.withColumn("band", F.explode(F.array(*(F.col("own") + i for i in (-1, 0, 1))))).drop("own")
-    odd = odd.join(bands.select("token", F.col("own").alias("band"), "salts"), ["token", "band"])
-    odd = odd.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select(*_PLACE, "doc", "label", "n", "sig", "mask")
-    every = rows.withColumnRenamed("own", "band").join(bands.withColumnRenamed("own", "band"), ["token", "band"]).withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(2)), F.col("salts")))
-    every = every.join(main.select("token", "parts"), "token").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(*_PLACE, "doc", "label", "n", "sig", "mask")
+    odd = odd.withColumn("band", beside).join(bands, ["token", "band"])
+    odd = odd.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select(*dealt)
+    every = rows.join(bands, ["token", "band"]).withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(2)), F.col("salts")))
+    every = every.join(main.select("token", "parts"), "token").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(*dealt)
 
-    every = materialize(every, "every")
+    odd, every = materialize(odd, "odd"), materialize(every, "every")
     chunks = F.lit(max(1, -(-every.count() // CHUNK)))
-    odd, every = (x.withColumn("chunk", F.pmod(F.xxhash64(*_PLACE), chunks)) for x in (materialize(odd, "odd"), every))
-    found = odd.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInPandas(_near_in_group(percent), "token long, band long, salt long, part long, doc long")
+    odd, every = (x.withColumn("chunk", F.pmod(F.xxhash64(*_PLACE), chunks)) for x in (odd, every))
+    fresh = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  both sides of a cogroup need columns of their own
+    left, right = (x.join(marked, ["doc", "n"]).select(*x.columns, *fresh("sig", "mask")) for x in (odd, every))
+    found = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInPandas(_near_in_group(percent), "token long, band long, salt long, part long, doc long")
     found = materialize(found, "near")
     made = sets.of(found.select("doc"))
-    there = found.join(made, "doc")
-    odd, every = (x.join(there, [*_PLACE, "doc"]).select(*x.columns, F.col("packed").alias("packed")) for x in (odd, every))
-    links = odd.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInPandas(_links_in_group(width, percent), "a long, b long")
+    again = (x.join(found, [*_PLACE, "doc"], "left_semi").join(marked, ["doc", "n"]).join(made, "doc") for x in (odd, every))
+    left, right = (y.select(*x.columns, *fresh("sig", "mask", "packed")) for x, y in zip((odd, every), again, strict=True))
+    links = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInPandas(_links_in_group(width, percent), "a long, b long")
     return materialize(links, "links")
 
 
@@ -341,7 +352,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         found = merged_components(found, from_hubs(rest, hubs, "label <> hub.label"))
         rest = listed(found)
         if not rest.isEmpty():
-            found = merged_components(found, _exact_links(rest, sigs, sets, width, percent))
+            found = merged_components(found, _exact_links(rest, sigs, short, sets, width, percent))
 
     out = signed.select("doc_id", "th", "n_shingles", "set_key").join(classes, "set_key", "left").withColumn("own", F.coalesce("rep", "doc_id"))
     out = out.join(found, F.col("own") == F.col("node"), "left").withColumn("component_id", F.coalesce("label", "own"))

@@ -86,6 +86,27 @@ def test_near_duplicates_of_odd_rows(spark):
     assert run(neardup.near_duplicates(docs_of(spark, []), 2, 80)).empty
 
 
+def test_links_of_mixed_lists_connect_what_brute_force_does(spark, documents, monkeypatch):
+    """Each document as a component of its own, and groups of a few rows, so that bands, salts and parts all matter."""
+    monkeypatch.setattr(neardup, "RUN", 8)
+    monkeypatch.setattr(neardup, "CHUNK", 512)
+    rng = np.random.default_rng(5)
+    rows = [(r["doc_id"], r["text"]) for r in documents.where("doc_id < 120").select("doc_id", "text").collect()]
+    for k in range(60):  # lengths and words both vary, so that sizes fall in several bands
+        w = [f"w{i}" for i in range(300)][: int(rng.integers(150, 301))]
+        for at in rng.choice(len(w), size=int(rng.integers(0, 12)), replace=False):
+            w[at] = f"x{k}_{at}"
+        rows.append((10_000 + k, " ".join(w)))
+    best, _ = groups(rows, 2, 80)
+    docs = docs_of(spark, rows).select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    signed = docs.mapInPandas(neardup._signed(2), "doc_id long, th long, n_shingles long, set_key binary, sig binary").where("sig is not null")
+    sigs = signed.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig")
+    rest = signed.select("doc_id", "n_shingles", "sig").mapInPandas(neardup._tokens, "doc long, size long, token long").select("token", "doc", F.col("doc").alias("label"))
+    links = neardup._exact_links(rest, sigs, sigs.select("doc", "n"), neardup.Sets(docs.select("doc_id", "text")), 2, 80)
+    found = {r["node"]: r["label"] for r in components.connected_components(links).collect()}
+    assert {i: found.get(i, i) for i in best} == best and len(found) > 30
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(500, 501), (700, 700)], "a long, b long")
     out = {r["node"]: r["label"] for r in components.connected_components(edges).collect()}
