@@ -92,3 +92,35 @@ SELECT page_id, host, path, CASE {case(1)} END AS rule,
   CASE {case(2)} WHEN {" OR ".join(map(within, blocklist))} OR list_has_any(string_split(host, '.'), {names!r}) THEN 'block' ELSE 'allow' END AS verdict
 FROM parts
 """
+
+#: Every phrase of one to four words, every cut, every longer phrase around it.
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_TEXT}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (
+  SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS j FROM words, (VALUES (1), (2), (3), (4)) v(k) WHERE len(w) >= k
+),
+f AS (SELECT lang, k, w[j:j + k - 1] AS p, count(*) AS a FROM places GROUP BY ALL),
+candidates AS (SELECT * FROM f WHERE k >= 2 AND a >= 30),
+cuts AS (
+  SELECT c.lang, c.k, c.p, c.a, x.a AS l, y.a AS r, cut, CAST(2000000 AS HUGEINT) * c.a // (x.a + y.a) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:cut] JOIN f y ON y.lang = c.lang AND y.p = c.p[cut + 1:c.k]
+),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) AS i FROM cuts) WHERE i = 1),
+inner_ AS (
+  SELECT lang, w[j:j + m - 1] AS p, max(a) AS most
+  FROM (
+    SELECT lang, p AS w, k, a, m, unnest(generate_series(1, k - m + 1)) AS j FROM candidates, (VALUES (2), (3)) v(m) WHERE m < k
+  ) GROUP BY ALL
+),
+free AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM best
+  WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = best.lang AND i.p = best.p AND 100 * i.most >= 80 * best.a)
+),
+sizes AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""

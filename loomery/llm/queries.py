@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html, language, mixing, neardup, oracles, pii, quality, urls, warc
+from . import decontaminate, fingerprint, html, language, mixing, neardup, oracles, phrases, pii, quality, urls, warc
 from .common import bounded_batches, table
 
 
@@ -61,6 +61,11 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best 2,000 phrases of ``documents`` (lang, rank, phrase, a, l, r, n, score)."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, first=2000, percent=80)
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
@@ -72,7 +77,7 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_minhash_near_dedup, op2_benchmark_decontamination, op3_personal_data, op4_quality_classifier, op5_warc_chunked_records,
-        op6_language_id, op7_source_mixing, op8_url_filter, op9_document_fingerprints, op10_html_main_text,
+        op6_language_id, op7_source_mixing, op8_url_filter, op9_document_fingerprints, op10_html_main_text, op13_phrase_collocations,
     )
     return {q.__name__: _bounded(q) for q in every}
 
@@ -83,5 +88,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_minhash_near_dedup": oracles.NEAR_DEDUP,
         "op2_benchmark_decontamination": oracles.CONTAMINATION,
         "op5_warc_chunked_records": oracles.ARCHIVED,
+        "op13_phrase_collocations": oracles.COLLOCATIONS,
         "op8_url_filter": oracles.url_filter(urls.RULES, urls.BLOCKLIST, urls.NAMES),
     }
