@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html, language, mixing, neardup, oracles, phrases, pii, quality, urls, warc
+from . import decontaminate, fingerprint, html, language, media, mixing, neardup, oracles, phrases, pii, quality, urls, warc, whitening
 from .common import bounded_batches, table
 
 
@@ -61,6 +61,21 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector of ``embeddings`` on up to 32 whitened components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=32)
+
+
+def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` as a baseline JPEG, read back; feature is the image's size and its thumbnail's hash."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
+    files = media.stored(docs).select("doc_id", F.coalesce(F.length("payload"), F.lit(0)).cast("long").alias("n_bytes"), "media")
+    files = files.withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    read = media.media_columns(files)
+    feature = F.concat(F.col("width"), F.lit("x"), F.col("height"), F.lit(":"), F.col("thumbnail_hash"))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's best 2,000 phrases of ``documents`` (lang, rank, phrase, a, l, r, n, score)."""
     return phrases.collocations(table(spark, sf_dir, "documents"), least=30, first=2000, percent=80)
@@ -77,7 +92,7 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_minhash_near_dedup, op2_benchmark_decontamination, op3_personal_data, op4_quality_classifier, op5_warc_chunked_records,
-        op6_language_id, op7_source_mixing, op8_url_filter, op9_document_fingerprints, op10_html_main_text, op13_phrase_collocations,
+        op6_language_id, op7_source_mixing, op8_url_filter, op9_document_fingerprints, op10_html_main_text, op11_embedding_whitening, op12_media_columns, op13_phrase_collocations,
     )
     return {q.__name__: _bounded(q) for q in every}
 
