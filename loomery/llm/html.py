@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 from .ordered import in_order
 from .urls import host_and_path
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<([!/?]?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
+_NAME, _STOP = re.compile("[a-zA-Z][a-zA-Z0-9:-]*"), re.compile(r">|=\s*([\"'])")
+#: Elements whose content is no text of the page.
+_OPAQUE = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style noscript template textarea title svg iframe select button".split()}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 #: Elements that are never main text, and words in class, id or role that say so.
@@ -37,15 +35,83 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul dialog".split()
 )
+#: Words that say what an element is made of, not what it is about: beside a junk word they make a junk name.
+PLAIN = frozenset("area bar block bottom box button buttons container form icon icons inline inner item items left link links list panel post posts right row section slot top unit wrap wrapper".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+def _names(rest: str) -> Iterator[str]:
+    """Class names, ids and roles of a tag, in lower case."""
+    for m in _NAMES.finditer(rest):
+        yield from (m[1] or m[2] or m[3] or "").lower().split()
+
+
+def _junk_name(name: str) -> bool:
+    """Whether a whole name says junk: ``share-buttons`` does, ``share-price`` and ``related-work`` don't."""
+    words = _WORDS.findall(name)
+    return any(w in JUNK_WORDS for w in words) and all(w in JUNK_WORDS or w in PLAIN for w in words)
+
+
 def _junk(name: str, rest: str, inside: bool) -> bool:
+    """Outside the marked article one junk word in a name is enough, inside it takes a whole name."""
     if name in JUNK or name == "header" and not inside:
         return True
-    if rest and name not in ("html", "body", "article", "main"):
-        return any(w in JUNK_WORDS for m in _NAMES.finditer(rest) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
-    return name == "article" and bool(rest) and any(w in ("comment", "comments", "ad", "advert", "reply") for m in _NAMES.finditer(rest) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+    if not rest:
+        return False
+    if name in ("article", "main"):
+        return name == "article" and any(w in ("comment", "comments", "ad", "advert", "reply") for n in _names(rest) for w in _WORDS.findall(n))
+    if name in ("html", "body"):
+        return False
+    return any(_junk_name(n) if inside else any(w in JUNK_WORDS for w in _WORDS.findall(n)) for n in _names(rest))
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text, tag, rest of the tag), one of the first two empty; a tag begins with / if it closes. Linear in the page, whatever is
+    left open: a quoted value without end is none, and a tag that then has no end ends at the next ``>``."""
+    at, last = 0, page.rfind(">")
+    failed: set[int] = set()  # quoted values behind which no tag that is open there ends
+    gone: set[str] = set()  # quotes of which there is none left
+
+    def end_of(begin: int) -> int:
+        i, seen = begin, []
+        while (m := _STOP.search(page, i)) and m.start() not in failed:
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            j = -1 if m[1] in gone else page.find(m[1], m.end())
+            if j < 0:
+                gone.add(m[1])
+            i = j + 1 or m.end()
+        failed.update(seen)
+        return page.find(">", begin)
+
+    while at < len(page):
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            yield page[at:end], "", ""
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        closing = page.startswith("/", at + 1)
+        name = _NAME.match(page, at + 1 + closing)
+        if at > last or not name and not page.startswith(("!", "?", "/"), at + 1):
+            yield "<", "", ""
+            at += 1
+            continue
+        if not name:
+            at = page.find(">", at) + 1
+            continue
+        end, tag = end_of(name.end()), name[0].lower()
+        if not closing and tag in _OPAQUE and not (tag == "svg" and page[end - 1] == "/"):
+            closed = _OPAQUE[tag].search(page, end + 1)
+            at = closed.end() if closed else len(page)
+            continue
+        yield "", "/" * closing + tag, page[name.end() : end]
+        at = end + 1
 
 
 def blocks(page: str) -> list[tuple[str, int, list[int]]]:
@@ -63,13 +129,11 @@ def blocks(page: str) -> list[tuple[str, int, list[int]]]:
             if text:
                 out.append((text, level, [s[2] for s in stack if s[2]]))
 
-    for m in _TOKEN.finditer(page):
-        if m[5]:
-            now.append(entities.unescape(m[5]) if "&" in m[5] else m[5])
-            continue
-        name = (m[3] or "").lower()
-        if not name or m[2] in ("!", "?"):
+    for text, tag, rest in _tokens(page):
+        if text:
+            now.append(entities.unescape(text) if "&" in text else text)
             continue
+        name = tag.removeprefix("/")
         if name == "br":
             now.append(" ")
             continue
@@ -77,9 +141,9 @@ def blocks(page: str) -> list[tuple[str, int, list[int]]]:
             continue
         if name in BLOCKS:
             close()
-        if name in VOID or m[4].endswith("/") and name == "hr":
+        if name in VOID or rest.endswith("/") and name == "hr":
             continue
-        if m[2] == "/":
+        if name != tag:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     if name == "span" and stack[i][1] != level:
@@ -90,11 +154,11 @@ def blocks(page: str) -> list[tuple[str, int, list[int]]]:
             continue
         inside, number = level, 0
         if name in ("article", "main"):
-            shut = any(s[1] == 0 and s[0] in JUNK for s in stack) or _junk(name, m[4], True)
+            shut = any(s[1] == 0 and s[0] in JUNK for s in stack) or _junk(name, rest, True)
             inside = 0 if shut else 2
             marked += 1
             number = 0 if shut else marked
-        elif level and _junk(name, m[4], level == 2):
+        elif level and _junk(name, rest, level == 2):
             inside = 0
         if name == "p":
             continue  # its end is often left out; it holds text alone
@@ -106,30 +170,70 @@ def blocks(page: str) -> list[tuple[str, int, list[int]]]:
     return out
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence of lines with ``b`` (bit-parallel; rows are kept to walk back)."""
-    in_b, in_a = set(b), set(a)
-    own = [i for i, x in enumerate(a) if x in in_b]
-    b = [x for x in b if x in in_a]
+#: Bits that a longest common subsequence keeps to walk back; longer lists are cut in two first.
+_KEPT = 1 << 24
+
+
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """For each prefix of ``a`` the places of ``b`` where its longest common subsequence with b's prefixes grows, as zeros
+    (bit-parallel)."""
     where: dict[str, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    v, rows = full, []
-    for i in own:
-        u = v & where[a[i]]
+    v = full = (1 << len(b)) - 1
+    for x in a:
+        u = v & where.get(x, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    out, j = set(), len(b) - 1
-    for k in range(len(own) - 1, -1, -1):
-        before = rows[k - 1] if k else full
-        while j >= 0 and rows[k] >> j & 1:
-            j -= 1
-        if j < 0:
-            break
-        if before >> j & 1:  # the step at j comes with this line
-            out.add(own[k])
-            j -= 1
+        yield v
+
+
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """Of a longest common subsequence of ``a`` with each prefix of ``b``."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):
+        pass
+    out = [0]
+    for bit in reversed(f"{row:0{len(b)}b}") if b else "":
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def common(a: list[str], b: list[str]) -> set[int]:
+    """Places in ``a`` of a longest common subsequence of lines with ``b``, in memory that grows with their sum: equal ends go
+    first, and what is long is halved where both halves' subsequences are longest together."""
+    in_b, in_a = set(b), set(a)
+    own = [i for i, x in enumerate(a) if x in in_b]
+    out: set[int] = set()
+    todo = [(own, [x for x in b if x in in_a])]
+    while todo:
+        own, b = todo.pop()
+        head = 0
+        while head < min(len(own), len(b)) and a[own[head]] == b[head]:
+            head += 1
+        tail = 0
+        while tail < min(len(own), len(b)) - head and a[own[-1 - tail]] == b[-1 - tail]:
+            tail += 1
+        out.update(own[:head], own[len(own) - tail :])
+        own, b = own[head : len(own) - tail], b[head : len(b) - tail]
+        if not own or not b:
+            continue
+        lines = [a[i] for i in own]
+        if len(own) > 1 and len(own) * len(b) > _KEPT:
+            half = len(own) // 2
+            left, right = _lengths(lines[:half], b), _lengths(lines[half:][::-1], b[::-1])
+            cut = max(range(len(b) + 1), key=lambda j: left[j] + right[len(b) - j])
+            todo += [(own[:half], b[:cut]), (own[half:], b[cut:])]
+            continue
+        rows, j = [*_rows(lines, b)], len(b) - 1
+        for k in range(len(own) - 1, -1, -1):
+            before = rows[k - 1] if k else -1
+            while j >= 0 and rows[k] >> j & 1:
+                j -= 1
+            if j < 0:
+                break
+            if before >> j & 1:  # the step at j comes with this line
+                out.add(own[k])
+                j -= 1
     return out
 
 

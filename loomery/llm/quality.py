@@ -20,8 +20,8 @@ from .common import WordHashes, mix64
 BITS, DIM, CHARS = 18, 8, (2, 3, 4)
 #: Labelled rows that are learned from at most, the smallest by a hash of doc_id.
 SAMPLE = 6000
-#: Bytes of their texts that are learned from at most, in the same order.
-SAMPLE_BYTES = 64_000_000
+#: Bytes of their texts that are learned from at most, in the same order, and of one of them; longer texts are passed over.
+SAMPLE_BYTES, TEXT_BYTES = 64_000_000, 2_000_000
 EPOCHS, RATE, SEED = 6, 40.0, 7
 _SHIFT = np.uint64(64 - BITS)
 #: Pseudo-words for patterns of words: same as the one before, a pair or word seen before, and how often.
@@ -76,8 +76,8 @@ def fit(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, rate
     for t in texts:
         parts = features(t, hashes)
         ids, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.zeros(1))
-        # Six bytes a feature: the driver holds them all. A count beyond 65,535 counts as that.
-        bags.append((ids.astype(np.int32), np.minimum(n, 0xFFFF).astype(np.uint16), np.float32(n.sum())))
+        # Six bytes a feature, as the driver holds them all; ten where a text has one more than 65,535 times.
+        bags.append((ids.astype(np.int32), n.astype(np.uint16 if n.max(initial=0) <= 0xFFFF else np.int64), np.float32(n.sum())))
     y = np.asarray(labels, np.int64)
     share = np.bincount(y, minlength=2) / max(1, len(y))
     weight = 0.5 / np.maximum(share, 1e-9)
@@ -106,14 +106,17 @@ def fit(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, rate
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     """A model of ``labels.quality`` from at most ``rows`` labelled documents of SAMPLE_BYTES in all, the first by a hash
-    of doc_id; without any, one that says 0.5. Of several labels of a document the higher counts."""
+    of doc_id whose texts have at most TEXT_BYTES; without any, one that says 0.5. Of several labels of a document the higher
+    counts. Their lengths are looked at first, so that no more texts than are learned from leave their tasks."""
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    got = text.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")  # at most ``rows``
-    size = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    got = got.withColumn("bytes", size).where(F.col("bytes") <= SAMPLE_BYTES).drop("bytes").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    sizes = text.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size")).where(F.col("size") <= TEXT_BYTES)
+    sizes = sizes.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.sum("size").alias("size"))  # at most ``rows``
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = sizes.withColumn("bytes", so_far).where(F.col("bytes") <= SAMPLE_BYTES).select("doc_id", "y")
+    got = text.where(F.coalesce(F.length("text"), F.lit(0)) <= TEXT_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").toPandas()
+    got = got.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
     if not len(got):
         return Model(np.zeros(1 << BITS, np.float32))
     return fit(list(got["text"]), list(got["y"]))
