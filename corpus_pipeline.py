@@ -7,7 +7,7 @@ Rows without a doc_id are judged by their text. A null text is as an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.llm import decontaminate, mixing, neardup, pii, quality
@@ -59,16 +59,30 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it, copies numbered from 1. Rows without a word are taken by their
-    source's rate like others; repeated rows share what they are taken, any of them standing for all."""
+    source's rate like others. Rows alike in doc_id, text and source are taken as often in all as the mixture says, each of
+    them as often as another or once more."""
     bounded_batches(spark)
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mixed(docs).where("copies > 0").select(F.col("doc_id").alias("d"), "h", "copies")
-    taken = materialize(taken.groupBy("d", "h").agg(F.collect_list("copies").alias("each")), "taken")
-    # Rows alike in id and text are taken together: any of them stands for all.
+    docs = docs.select(*COLUMNS).withColumn("source", F.col("source").cast("string"))
+    taken = mixing.mixed(docs).groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s"), "h").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    taken = materialize(taken.where("all > 0"), "taken")
+    same = (F.col("key") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s"))
     rows = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    rows = rows.join(taken, (F.col("key") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    rows = rows.withColumn("copies", F.expr("aggregate(each, 0L, (a, x) -> a + x) div size(each)"))
-    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("copies", F.lit(1).cast("long")))).alias("copy"))
+    copied = lambda df, n: df.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("copy"))
+    repeated = taken.where("rows > 1")
+    if repeated.isEmpty():
+        return copied(rows.join(taken, same), F.col("all"))
+    # Alike rows are dealt into runs and numbered there, and then behind the runs before, so that no task sorts all of them.
+    alike = rows.join(repeated, same).withColumn("run", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("rows") / mixing.RUN)))
+    alike = materialize(alike, "alike")
+    group = ["key", "d", "s"]
+    runs = alike.groupBy(*group, "run").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*group).orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*(F.col(c).alias(f"r_{c}") for c in (*group, "run")), F.coalesce(before, F.lit(0)).alias("before"))
+    alike = alike.withColumn("i", F.row_number().over(Window.partitionBy(*group, "run").orderBy(*COLUMNS)))
+    alike = alike.join(runs, (F.col("key") == F.col("r_key")) & F.col("d").eqNullSafe(F.col("r_d")) & F.col("s").eqNullSafe(F.col("r_s")) & (F.col("run") == F.col("r_run")))
+    more = (F.col("before") + F.col("i") <= F.col("all") % F.col("rows")).cast("long")
+    alike = alike.withColumn("copies", F.expr("all div rows") + more).where("copies > 0")
+    return copied(rows.join(taken.where("rows = 1"), same), F.col("all")).unionByName(copied(alike, F.col("copies")))
 
 
 STAGES = [
