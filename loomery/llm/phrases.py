@@ -7,8 +7,9 @@ where both halves are frequent, and the two names are the parent pointers from w
 a phrase is found, without the text.
 
 The corpus travels in blocks: up to ``BLOCK`` bytes of texts of one language (a longer text is a block of its own). A block
-keeps each of its words or pairs once with its count, so a word that stands everywhere is one row a block, whatever its
-frequency. A block asks for the names of its own pairs by a join, and gets back no more than it asked for.
+keeps each of its words or pairs once with its count, so a word that stands everywhere is one entry a block, whatever its
+frequency. Names are given in parts, by a hash of the key: a block asks each part for the names of its own keys in one
+packed row, the part counts the keys of all blocks, names those that are frequent enough and answers each block.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, released
+from .common import materialize, mix64, partitions, released
 
 #: Bytes of text that a block takes.
 BLOCK = 1 << 20
@@ -36,15 +39,24 @@ for _c in b".,;:!?\n\x0b\x0c\r":
     _BYTES[_c] = _BREAK[0]
 _BYTES = bytes(_BYTES)
 
-_LEVEL = "seq array<int>, {key}, times array<int>"
-_WORDS = "lang string, words long, " + _LEVEL.format(key="word array<binary>")
-_PAIRS = "block long, " + _LEVEL.format(key="first array<long>, last array<long>")
+#: Keys that a part counts, about; there are as many parts as that takes, at least one a shuffle partition.
+KEYS = 1_000_000
+#: A name is the part that gave it and its place there.
+_PART_BITS = 40
 
+_WORDS = "lang string, words long, seq binary, keys binary, times binary, size int"
+_PAIRS = "block long, seq binary, first binary, last binary, times binary, size int"
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    flat = np.concatenate(values) if values else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, byte planes apart so that those alike stand together."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes() + values.dtype.char.encode(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    kind = np.dtype(chr(raw[-1]))
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, len(raw) - 1).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
 
 def _squeezed(seq: np.ndarray) -> np.ndarray:
@@ -53,6 +65,10 @@ def _squeezed(seq: np.ndarray) -> np.ndarray:
     return seq[~(off & np.concatenate(([True], off[:-1])))]
 
 
+def _batch(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in kinds.items()], [*kinds])
+
+
 class _Block:
     def __init__(self):
         self.ids: dict[bytes, int] = {_BREAK: -1}
@@ -70,10 +86,10 @@ class _Block:
 
     def row(self, lang: str) -> pa.RecordBatch:
         seq = _squeezed(np.concatenate(self.seqs))
-        times = np.bincount(seq[seq >= 0], minlength=len(self.ids) - 1)
-        words = pa.array([list(self.ids)[1:]], pa.list_(pa.binary()))
-        columns = [pa.array([lang]), pa.array([int((seq >= 0).sum())], pa.int64()), _lists([seq], pa.int32()), words, _lists([times], pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "words", "seq", "word", "times"])
+        times = np.bincount(seq[seq >= 0], minlength=len(self.ids) - 1).astype(np.int32)
+        words = zstandard.compress(b" ".join([*self.ids][1:]), 1)
+        kinds = {"lang": pa.string(), "words": pa.int64(), "seq": pa.binary(), "keys": pa.binary(), "times": pa.binary(), "size": pa.int32()}
+        return _batch({"lang": [lang], "words": [int(times.sum())], "seq": [_packed(seq)], "keys": [words], "times": [_packed(times)], "size": [len(times)]}, kinds)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,54 +98,125 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             block = open_.setdefault(lang, _Block())
             block.add(text.as_py())
-            if block.bytes >= BLOCK:
-                yield open_.pop(lang).row(lang)
+            if block.bytes >= BLOCK and len(open_.pop(lang).ids) > 1:
+                yield block.row(lang)
     for lang, block in open_.items():
-        yield block.row(lang)
+        if len(block.ids) > 1:
+            yield block.row(lang)
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's names become pairs of adjacent names; what has no name breaks the sequence."""
+    kinds = {"block": pa.int64(), "seq": pa.binary(), "first": pa.binary(), "last": pa.binary(), "times": pa.binary(), "size": pa.int32()}
     for batch in batches:
-        for i in range(len(batch)):
-            seq = batch.column("seq")[i].values.to_numpy()
-            found = batch.column("found")[i].values
-            size = batch.column("size")[i].as_py()
+        for r in batch.to_pylist():
+            seq, size = _unpacked(r["seq"]), r["size"]
             names = np.full(size + 1, -1, np.int64)  # the last is that of a break
-            names[found.field("at").to_numpy()] = found.field("id").to_numpy()
-            # Only named ones stay; places keep the numbers of the level before, which are small enough to be paired in 64 bits.
+            for answer in r["found"]:
+                names[_unpacked(answer["at"])] = _unpacked(answer["ids"])
             here = names[seq] >= 0
             both = np.flatnonzero(here[:-1] & here[1:])
             if not len(both):
                 continue
+            # Pairs of places in the level before, which are small enough for 64 bits.
             pairs, number, times = np.unique(seq[both].astype(np.int64) * size + seq[both + 1], return_inverse=True, return_counts=True)
             out = np.full(len(seq) - 1, -1, np.int32)
             out[both] = number
-            columns = [
-                batch.column("block").slice(i, 1), _lists([_squeezed(out)], pa.int32()),
-                _lists([names[pairs // size]], pa.int64()), _lists([names[pairs % size]], pa.int64()), _lists([times], pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "seq", "first", "last", "times"])
-
+            packed = {"seq": _squeezed(out), "first": names[pairs // size], "last": names[pairs % size], "times": times.astype(np.int32)}
+            yield _batch({"block": [r["block"]], "size": [len(pairs)]} | {k: [_packed(v)] for k, v in packed.items()}, kinds)
+
+
+_ASKED = {"part": pa.int32(), "block": pa.int64(), "lang": pa.string(), "at": pa.binary(), "keys": pa.binary(), "last": pa.binary(), "times": pa.binary()}
+_NAMED = {"block": pa.int64(), "at": pa.binary(), "ids": pa.binary(), "lang": pa.string(), "word": pa.binary(), "first": pa.int64(), "last": pa.int64(), "a": pa.int64(), "id": pa.int64()}
+_NAMED_SQL = "block long, at binary, ids binary, lang string, word binary, first long, last long, a long, id long"
+
+
+def _asking(parts: int):
+    """Each block's keys by part, those of words in order of the words, those of pairs in order of their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                times, pairs = _unpacked(r["times"]), "first" in r
+                if pairs:
+                    first, last = _unpacked(r["first"]), _unpacked(r["last"])
+                    order = np.lexsort((last, first))
+                    key = mix64(mix64(first.view(np.uint64)) * np.uint64(31) + last.view(np.uint64))
+                else:
+                    words = zstandard.decompress(r["keys"]).split(b" ")
+                    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+                    key = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                part = (key % np.uint64(parts)).astype(np.int32)[order]
+                order = order[np.argsort(part, kind="stable")]
+                ends = np.cumsum(np.bincount(part, minlength=parts))
+                out = {n: [] for n in _ASKED}
+                for p, (i, j) in enumerate(zip([0, *ends], ends, strict=False)):
+                    if i < j:
+                        own = order[i:j]
+                        values = [p, r["block"], r.get("lang"), _packed(own.astype(np.int32))]
+                        values += [_packed(first[own]), _packed(last[own])] if pairs else [zstandard.compress(b" ".join([words[k] for k in own.tolist()]), 1), None]
+                        for n, v in zip(_ASKED, [*values, _packed(times[own])], strict=True):
+                            out[n].append(v)
+                yield _batch(out, _ASKED)
+
+    return run
+
+
+def _naming(least: int):
+    """What a part is asked, counted: the keys that stand at least ``least`` times with their names, and their names for each
+    block that asked for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [r for batch in batches for r in batch.to_pylist()]
+        if not asked:
+            return
+        times, ends = [_unpacked(r["times"]) for r in asked], np.cumsum([0] + [0] * len(asked))
+        if asked[0]["last"] is None:
+            seen: dict[tuple[str, bytes], int] = {}
+            number = np.concatenate([np.fromiter((seen.setdefault((r["lang"], w), len(seen)) for w in zstandard.decompress(r["keys"]).split(b" ")), np.int64) for r in asked])
+            keys = [*seen]
+        else:
+            first, last = (np.concatenate([_unpacked(r[n]) for r in asked]) for n in ("keys", "last"))
+            order = np.lexsort((last, first))
+            new = np.concatenate(([True], (np.diff(first[order]) != 0) | (np.diff(last[order]) != 0)))
+            number = np.empty(len(order), np.int64)
+            number[order] = np.cumsum(new) - 1
+            first, last = first[order[new]], last[order[new]]
+        ends = np.cumsum([0, *map(len, times)])
+        total = np.zeros(int(number.max()) + 1, np.int64)
+        np.add.at(total, number, np.concatenate(times))
+        kept = np.flatnonzero(total >= least)
+        ids = np.full(len(total), -1, np.int64)
+        ids[kept] = asked[0]["part"] << _PART_BITS | np.arange(len(kept))
+        empty = [None] * len(kept)
+        if asked[0]["last"] is None:
+            own = [keys[k] for k in kept.tolist()]
+            named = {"lang": [k[0] for k in own], "word": [k[1] for k in own], "first": empty, "last": empty}
+        else:
+            named = {"lang": empty, "word": empty, "first": first[kept], "last": last[kept]}
+        yield _batch({"block": empty, "at": empty, "ids": empty, "a": total[kept], "id": ids[kept]} | named, _NAMED)
+        for r, i, j in zip(asked, ends, ends[1:], strict=False):
+            found = ids[number[i:j]]
+            if (found >= 0).any():
+                answer = {"block": [r["block"]], "at": [_packed(_unpacked(r["at"])[found >= 0])], "ids": [_packed(found[found >= 0])]}
+                yield _batch({n: answer.get(n, [None]) for n in _NAMED}, _NAMED)
 
-def _asked(level: DataFrame, key: list[str], *more: str) -> DataFrame:
-    """A row for each key of each block: its place among the block's keys, and how often it stands there."""
-    each = level.select("block", *more, F.posexplode(F.arrays_zip(*key, "times")).alias("at", "k"))
-    return each.select("block", "at", *more, *(F.col(f"k.{c}").alias(c) for c in key), "k.times")
+    return run
 
 
-def _named(level: DataFrame, key: list[str], least: int, *more: str) -> DataFrame:
-    """Keys that stand at least ``least`` times in all blocks, with an id and that count (a)."""
-    counts = _asked(level, key, *more).groupBy(*more, *key).agg(F.sum(F.col("times").cast("long")).alias("a")).where(F.col("a") >= least)
-    return materialize(counts.withColumn("id", F.monotonically_increasing_id()), "names")
+def _named(level: DataFrame, least: int) -> DataFrame:
+    """Names of the frequent keys of ``level`` (block is null) and answers to its blocks (at, ids)."""
+    spark = level.sparkSession
+    keys = level.agg(F.sum(F.col("size").cast("long")).alias("n")).first()["n"] or 0
+    parts = max(partitions(spark), -(-keys // KEYS))
+    asked = level.drop("seq", "words", "size").mapInArrow(_asking(parts), "part int, block long, lang string, at binary, keys binary, last binary, times binary")
+    return materialize(asked.repartitionById(parts, F.col("part")).mapInArrow(_naming(least), _NAMED_SQL), "names")
 
 
-def _next(level: DataFrame, names: DataFrame, key: list[str], *more: str) -> DataFrame:
+def _next(level: DataFrame, named: DataFrame) -> DataFrame:
     """The level of pairs of names that are adjacent in ``level``."""
-    met = _asked(level, key, *more).drop("times").join(names.drop("a"), [*more, *key])
-    found = met.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found"))  # at most the keys of a block
-    rows = level.select("block", "seq", F.size("times").alias("size")).join(found, "block")
-    return materialize(rows.mapInArrow(_paired, _PAIRS), "pairs")
+    found = named.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("found"))  # a row a part
+    return materialize(level.select("block", "seq", "size").join(found, "block").mapInArrow(_paired, _PAIRS), "pairs")
 
 
 def _score(a: Column, parts: Column) -> Column:
@@ -164,13 +251,12 @@ def collocations(docs: DataFrame, least: int = 30, first: int | None = 2000, per
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).where(F.length("text") > 0)
     level = materialize(rows.mapInArrow(_blocks, _WORDS).withColumn("block", F.monotonically_increasing_id()), "words")
     n = materialize(level.groupBy("lang").agg(F.sum("words").alias("n")), "n")
-    key, more, names = ["word"], ["lang"], []
+    names = []
     for k in range(1, LONGEST + 1):
-        names.append(_named(level, key, least, *more))
-        if k < LONGEST:
-            before, level = level, _next(level, names[-1], key, *more)
-            released(before)
-        key, more = ["first", "last"], []
+        names.append(_named(level, least))
+        before, level = level, _next(level, names[-1]) if k < LONGEST else None
+        released(before)
+    names = [x.where("block is null") for x in names]
     word = F.col("word").cast("string")
     phrases = names[0].select("id", "lang", word.alias("phrase"), word.alias("end"), "a", F.array("a").alias("pre"), F.array("a").alias("suf"))
     out = None
