@@ -19,11 +19,11 @@ QUERY_BYTES, TERMS = 16384, 32
 SCOPES = {"title": ("issue", ["title"]), "body": ("issue", ["body"]), "labels": ("labels", ["title"]), "comments": ("comment", ["body"]), "reviews": ("review", ["body"])}
 
 
-def query_words(query: str, keep_repeats: bool = False) -> list[str]:
+def query_words(query: str, keep_repeats: bool = False, most: int = TERMS) -> list[str]:
     words = re.findall(r"\w+", query.lower())
     words = words if keep_repeats else list(dict.fromkeys(words))
-    if len(query.encode()) > QUERY_BYTES or not 1 <= len(words) <= TERMS:
-        raise ValueError(f"a query has 1 to {TERMS} words and at most {QUERY_BYTES} bytes")
+    if len(query.encode()) > QUERY_BYTES or not 1 <= len(words) <= most:
+        raise ValueError(f"a query has 1 to {most} words and at most {QUERY_BYTES} bytes")
     return words
 
 
@@ -80,10 +80,10 @@ def _bucket(term: str) -> int:
     return (n - (1 << 64) if n >> 63 else n) % BUCKETS
 
 
-def _phrases(query: str, match: str, prefix: bool) -> list[list[str]]:
+def _phrases(query: str, match: str, prefix: bool, most: int = TERMS) -> list[list[str]]:
     """Each phrase as index terms; a word with underscores is one query term but a phrase in the index."""
     split = lambda w: re.findall(r"[^\W_]+", w)
-    words = query_words(query, match == "phrase")
+    words = query_words(query, match == "phrase", most)
     return [[t for w in words for t in split(w)]] if match == "phrase" else [p for p in map(split, words) if p]
 
 
@@ -101,14 +101,14 @@ def occurrences(index: Index, phrases: list[list[str]], prefix: bool, cols: list
     if family:
         rows = rows.where(F.col("family") == family)
     key = ["id", "repo", "number", "family", "length", "col"]
-    slots = []
-    for p, words in enumerate(phrases):
-        for i, word in enumerate(words):
-            fits = F.col("term").startswith(word) if prefix and i == len(words) - 1 else F.col("term") == word
-            slots.append(F.when(fits, F.struct(F.lit(p).alias("p"), F.lit(i).alias("i"), F.lit(len(words)).alias("k"))))
+    slots = [(word, p, i, len(words), prefix and i == len(words) - 1) for p, words in enumerate(phrases) for i, word in enumerate(words)]
     if not slots:
         return rows.select(*key, F.lit(0).alias("p"), F.lit(0).cast("long").alias("n")).where("false")
-    rows = rows.select(*key, "positions", F.explode(F.array_compact(F.array(*slots))).alias("slot"))
+    slots = rows.sparkSession.createDataFrame(slots, "word string, p int, i int, k int, open boolean")
+    fits = F.col("term") == F.col("word")
+    if prefix:
+        fits = F.when(F.col("open"), F.startswith("term", "word")).otherwise(fits)
+    rows = rows.join(F.broadcast(slots), fits).select(*key, "positions", F.struct("p", "i", "k").alias("slot"))  # a row a word of the query
     single = rows.where("slot.k = 1").groupBy(*key, F.col("slot.p").alias("p")).agg(F.sum(F.size("positions")).cast("long").alias("n"))
     if all(len(p) == 1 for p in phrases):
         return single
@@ -132,29 +132,53 @@ def scored(index: Index, hits: DataFrame) -> DataFrame:
     return rows.groupBy("id", "repo", "number", "family").agg(F.sum(part).alias("score"))
 
 
-def search(index: Index, tickets: DataFrame, query: str, match: str = "any", prefix: bool = False, scopes: list[str] | None = None, exclude: list[str] | None = None, where: Column | None = None) -> DataFrame:
-    """Best unit of each matching ticket: repo, number, id, family, score. Without ``scopes`` one pass over both columns."""
-    phrases = _phrases(query, match, prefix)
-    passes = [(None, None)] if not scopes else [SCOPES[s] for s in sorted(set(scopes))]
-    units = found = None
-    for family, cols in passes:
+def passes(scopes: list[str] | None) -> list[tuple[str | None, list[str] | None]]:
+    """Families and columns that are looked at; without scopes all at once."""
+    return [(None, None)] if not scopes else [SCOPES[s] for s in sorted(set(scopes))]
+
+
+def within(scopes: list[str] | None) -> Column:
+    """Whether a posting lies in one of the scopes."""
+    inside = F.lit(not scopes)
+    for family, cols in passes(scopes) if scopes else []:
+        inside = inside | (F.col("family") == family) & F.col("col").isin(cols)
+    return inside
+
+
+def without_words(rows: DataFrame, index: Index, exclude: list[str] | None, scopes: list[str] | None = None) -> DataFrame:
+    """``rows`` without tickets in whose scopes a word of any text of ``exclude`` stands."""
+    words = [t for text in exclude or [] for w in query_words(text) for t in re.findall(r"[^\W_]+", w)]
+    if not words:
+        return rows
+    bad = index.of_terms(sorted(set(words))).where(within(scopes)).select("repo", "number").distinct()
+    return rows.join(bad, ["repo", "number"], "left_anti")
+
+
+def units(index: Index, query: str, match: str = "any", prefix: bool = False, scopes: list[str] | None = None, most: int = TERMS) -> DataFrame:
+    """(repo, number, id, family, score) of every unit that matches, in each scope; with ``match`` all only of tickets that hold
+    every word."""
+    phrases = _phrases(query, match, prefix, most)
+    out = found = None
+    for family, cols in passes(scopes):
         every = occurrences(index, phrases, prefix, cols, None)  # document frequency is over all families
         one = scored(index, every)
         hits = every.where(F.col("family") == family) if family else every
         one = one.where(F.col("family") == family) if family else one
-        units = one if units is None else units.unionByName(one)
+        out = one if out is None else out.unionByName(one)
         found = hits if found is None else found.unionByName(hits)
     if match == "all":
         full = found.groupBy("repo", "number").agg(F.countDistinct("p").alias("k")).where(F.col("k") == len(phrases))
-        units = units.join(full, ["repo", "number"], "left_semi")
-    for words in exclude or []:
-        for family, cols in passes:
-            bad = occurrences(index, [[t] for w in query_words(words) for t in re.findall(r"[^\W_]+", w)], False, cols, family)
-            units = units.join(bad.select("repo", "number").distinct(), ["repo", "number"], "left_anti")
+        out = out.join(full, ["repo", "number"], "left_semi")
+    return out.withColumn("score", F.round("score", 6))
+
+
+def search(index: Index, tickets: DataFrame, query: str, match: str = "any", prefix: bool = False, scopes: list[str] | None = None, exclude: list[str] | None = None, where: Column | None = None, most: int = TERMS) -> DataFrame:
+    """Best unit of each matching ticket: repo, number, id, family, score. Without ``scopes`` one pass over both columns."""
+    hits = without_words(units(index, query, match, prefix, scopes, most), index, exclude, scopes)
     kept = tickets if where is None else tickets.where(where)
-    units = units.join(kept.select("repo", "number"), ["repo", "number"], "left_semi").withColumn("score", F.round("score", 6))
+    hits = hits.join(kept.select("repo", "number"), ["repo", "number"], "left_semi")
     first = Window.partitionBy("repo", "number").orderBy(F.desc("score"), "family", "id")
-    return units.withColumn("i", F.row_number().over(first)).where("i = 1").drop("i")
+    return hits.withColumn("i", F.row_number().over(first)).where("i = 1").drop("i")
 
 
 def best_of_units(hits: DataFrame) -> DataFrame:

@@ -17,6 +17,12 @@ EVIDENCE_MOST, EVIDENCE = 10, 3
 #: Weights of evidence by field.
 FIELD_WEIGHTS = {"title": 2.0, "labels": 1.5, "body": 1.0, "ticket": 1.0}
 OTHER_WEIGHT, ENTITY_WEIGHT = 0.6, 2.0
+#: Words of a hybrid query, and of one that asks by meaning alone bytes.
+HYBRID_WORDS, QUERY_BYTES = 512, 16384
+#: Field of passages by scope.
+FIELDS = {"title": "title", "body": "body", "labels": "labels", "comments": "comment", "reviews": "review_comment"}
+#: Runes of a semantic snippet.
+SNIPPET = 1024
 
 
 class SemanticUnavailable(RuntimeError):
@@ -68,11 +74,12 @@ def content_hash():
     return F.sha2(F.concat_ws("\x00", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))), 256)
 
 
-def covered(corpus: Corpus, tickets: DataFrame, model: str) -> bool:
-    """Whether every document of the selected tickets is indexed."""
+def covered(corpus: Corpus, tickets: DataFrame, model: str, scopes: list[str] | None = None) -> bool:
+    """Whether every document of the selected tickets, of those kinds that ``scopes`` name, is indexed."""
     if corpus.passages is None or corpus.states is None:
         return False
-    selected = corpus.documents.join(tickets.select("repo", "number"), ["repo", "number"], "left_semi")
+    documents = corpus.documents.where(F.col("family").isin(sorted({lexical.SCOPES[s][0] for s in scopes}))) if scopes else corpus.documents
+    selected = documents.join(tickets.select("repo", "number"), ["repo", "number"], "left_semi")
     return pending(selected, corpus.states, model).isEmpty()
 
 
@@ -88,23 +95,34 @@ def embedded_query(vectors: list[list[float]], most: int = 16) -> list[float]:
 
 
 def search(corpus: Corpus, query: str, engine: str | None = None, match: str = "any", prefix: bool = False, scopes: list[str] | None = None, exclude: list[str] | None = None, filters: Filters | None = None, model: str = "", count: bool = False, facets: bool = False) -> Result:
-    """Every matching ticket with its score (page it with ``paging.page``); total and facets where asked for.
+    """Every matching ticket with its score (``search_page`` pages it); total and facets where asked for.
 
     Without an engine the search is hybrid, and lexical, with a warning, where vectors are missing for any selected
-    document. An engine that is asked for fails instead.
+    document. An engine that is asked for fails instead. Scopes and excluded words hold for every engine: for literal
+    matches, vectors, ticket signals and coverage.
     """
     name, warnings = chosen_engine(engine, match, prefix)
+    if unknown := set(scopes or []) - set(lexical.SCOPES):
+        raise ValueError(f"no such scope: {', '.join(sorted(unknown))}")
     tickets = corpus.tickets.where((filters or Filters()).column())
-    if name != "lexical" and (corpus.encode is None or not covered(corpus, tickets, model)):
-        if engine:
-            raise SemanticUnavailable("vectors are missing for selected documents")
-        name, warnings = "lexical", [*warnings, {"code": "search_engine_fallback", "engine": "lexical"}]
+    if name != "lexical":
+        if not query.strip() or len(query.encode()) > QUERY_BYTES:
+            raise ValueError(f"a query has text, and at most {QUERY_BYTES} bytes")
+        if corpus.encode is None or not covered(corpus, tickets, model, scopes):
+            if engine:
+                raise SemanticUnavailable("vectors are missing for selected documents")
+            name, warnings = "lexical", [*warnings, {"code": "search_engine_fallback", "engine": "lexical"}]
     if name == "lexical":
         rows = lexical.search(corpus.index, tickets, query, match, prefix, scopes, exclude).select("repo", "number", "score")
     else:
-        passages = semantic.passage_scores(corpus.passages.join(tickets.select("repo", "number"), ["repo", "number"], "left_semi"), corpus.encode(query))
-        scores = semantic.ticket_scores(passages)
-        rows = semantic.top(scores).select("repo", "number", "score") if name == "semantic" else hybrid(corpus, tickets, query, scores)
+        allowed = lexical.without_words(tickets, corpus.index, exclude, scopes)
+        scores = semantic.ticket_scores(passages_scored(corpus, allowed, query, scopes))
+        if name == "semantic":
+            rows = semantic.top(scores).select("repo", "number", "score")
+        else:
+            rows = hybrid(corpus, allowed, query, scores, scopes)
+            if len(lexical.query_words(query, most=HYBRID_WORDS)) > candidates.EVIDENCE_WORDS:
+                warnings = [*warnings, {"code": "ticket_signals_limited", "resource": "search"}]
     out = Result(rows, name, warnings)
     if count:
         out.total = rows.count()
@@ -114,16 +132,89 @@ def search(corpus: Corpus, query: str, engine: str | None = None, match: str = "
     return out
 
 
-def hybrid(corpus: Corpus, tickets: DataFrame, query: str, scores: DataFrame) -> DataFrame:
-    """Fused ranks with the tickets' signals: terms, fields and entities that match."""
+def passages_scored(corpus: Corpus, tickets: DataFrame, query: str, scopes: list[str] | None = None) -> DataFrame:
+    """Passages of ``tickets`` in the fields that ``scopes`` name, with their similarity to the query."""
+    rows = corpus.passages.where(F.col("field").isin([FIELDS[s] for s in scopes])) if scopes else corpus.passages
+    return semantic.passage_scores(rows.join(tickets.select("repo", "number"), ["repo", "number"], "left_semi"), corpus.encode(query))
+
+
+def hybrid(corpus: Corpus, tickets: DataFrame, query: str, scores: DataFrame, scopes: list[str] | None = None) -> DataFrame:
+    """Fused ranks with the tickets' signals: terms, fields and entities that match. Entities are looked for in labels, so only
+    where labels are in scope. Signals take the query's first ``candidates.EVIDENCE_WORDS`` words, the lexical rank all."""
     key = ["repo", "number"]
-    lex = lexical.search(corpus.index, tickets, query)
+    lex = lexical.search(corpus.index, tickets, query, scopes=scopes, most=HYBRID_WORDS)
     hits = lex.select(*key).union(scores.select(*key)).distinct()
     words = candidates.query_words(query)
-    told = candidates.term_evidence(corpus.index.of_terms(words), words, hits, candidates.entities(tickets, query, corpus.rules))
+    named = candidates.entities(tickets, query, corpus.rules) if not scopes or "labels" in scopes else None
+    told = candidates.term_evidence(corpus.index.of_terms(words).where(lexical.within(scopes)), words, hits, named)
     return semantic.hybrid(lex, scores, told).join(told.drop("score"), key, "left")
 
 
+@dataclass
+class Page:
+    """A page of matches (repo, number, title, state, kind, updated_s, score, place) and what goes with it."""
+
+    matches: DataFrame
+    evidence: DataFrame  # repo, number, ordinal, field, source, text
+    engine: str
+    has_more: bool
+    next_cursor: str | None
+    total: int | None
+    facets: dict[str, DataFrame]
+    warnings: list[dict]
+
+
+def search_page(corpus: Corpus, query: str, engine: str | None = None, sort: str = "relevance", order: str | None = None, limit: int | None = None, cursor: str | None = None, evidence_limit: int = EVIDENCE, generation: str = "", **options) -> Page:
+    """A page of ``search`` with the evidence of its tickets and the cursor of the next. A cursor holds for the same query,
+    options, engine and generation only. Evidence is looked up for the page's tickets alone."""
+    if not 1 <= evidence_limit <= EVIDENCE_MOST:
+        raise ValueError(f"evidence is 1 to {EVIDENCE_MOST}")
+    found, limit = search(corpus, query, engine, **options), paging.limit_of(limit)
+    kind, sign = f"search:{found.engine}", paging.signature({"query": query, "sort": sort, "order": order, **options})
+    at = paging.decode(cursor, kind, sign, generation) if cursor else None
+    shown = corpus.tickets.select("repo", "number", "title", "state", "kind", "updated_s", "created_s")
+    rows = found.rows.join(shown, ["repo", "number"])
+    rows = rows.where(paging.after(sort, order, at["key"], at["repo"], at["number"])) if at else rows
+    rows = rows.orderBy(*paging.order_by(sort, order)).limit(limit + 1)
+    got = rows.collect()  # a page and one more
+    matches = corpus.tickets.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(got[:limit], 1)], rows.withColumn("place", F.lit(1)).schema)
+    next_cursor = None
+    if len(got) > limit:
+        last = got[limit - 1]
+        key = last[paging.KEYS[sort]] if sort in paging.KEYS else None
+        next_cursor = paging.encode({"kind": kind, "signature": sign, "generation": generation, "key": key, "repo": last["repo"], "number": last["number"]})
+    told = evidence(corpus, matches.select("repo", "number"), query, found.engine, evidence_limit, options)
+    return Page(matches, told, found.engine, len(got) > limit, next_cursor, found.total, found.facets, found.warnings)
+
+
+def evidence(corpus: Corpus, few: DataFrame, query: str, engine: str, limit: int, options: dict) -> DataFrame:
+    """(repo, number, ordinal, field, source, text) of a page's tickets ``few``: the units that match literally, with the words in
+    brackets, and the passages nearest to the query."""
+    key, scopes, few = ["repo", "number"], options.get("scopes"), F.broadcast(few)  # a page
+    columns = [*key, "field", "source", "text", "ordinal"]
+    literal = nearest = None
+    if engine != "semantic":
+        hits = lexical.units(corpus.index, query, options.get("match", "any"), options.get("prefix", False), scopes, HYBRID_WORDS)
+        hits = lexical.best_of_units(hits.join(few, key, "left_semi"))
+        texts = corpus.documents.join(few, key, "left_semi").select("id", "title", "body")
+        words = lexical.query_words(query, most=HYBRID_WORDS)
+        rows = hits.join(texts, "id").withColumn("field", lexical.field_of(words)).withColumn("source", F.col("id"))
+        body = F.col("field").isin("title", "labels")
+        rows = rows.withColumn("text", F.substring(lexical.highlighted(F.when(body, F.col("title")).otherwise(F.col("body")), words), 1, SNIPPET))
+        first = F.when(F.col("field") == "labels", 0).when(F.col("field") == "title", 1).otherwise(2) if engine == "hybrid" else F.lit(0)
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(first, F.desc("score"), "family", "id"))
+        literal = rows.withColumn("ordinal", place).where(F.col("ordinal") <= limit).select(*columns)
+    if engine != "lexical":
+        best = semantic.best_passages(passages_scored(corpus, few, query, scopes), limit)
+        nearest = best.select(*key, "field", F.concat_ws(":", "field", "chunk").alias("source"), F.lit(None).cast("string").alias("text"), "ordinal")
+        if "text" in corpus.passages.columns:
+            nearest = nearest.drop("text").join(corpus.passages.select(*key, "field", F.concat_ws(":", "field", "chunk").alias("source"), F.substring("text", 1, SNIPPET).alias("text")), [*key, "field", "source"], "left").select(*columns)
+    if engine == "hybrid":
+        named = candidates.entities(corpus.tickets.join(few, key, "left_semi"), query, corpus.rules) if not scopes or "labels" in scopes else None
+        return merged_evidence(nearest, literal, named, limit).select(*columns)
+    return literal if engine == "lexical" else nearest
+
+
 def seed_vector(passages: DataFrame, repo: str, number: int, labels: bool = True, comments: list[int] | None = None) -> DataFrame:
     """One row with the unit ``vector`` of a ticket from its stored passages: its fields' means by weight."""
     fields = ["title", "body", *(["labels"] if labels else []), *(["comment", "review_comment"] if comments is None or comments else [])]

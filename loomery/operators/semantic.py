@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 TOP, MUTUAL, RRF, TICKET = 200, 100, 60, 3
 SEED_WEIGHTS = {"title": 4.0, "body": 1.0, "labels": 1.5, "comment": 0.5, "review_comment": 0.5}
 TICKET_WEIGHTS = {"title": 4.0, "body": 1.0, "labels": 1.5}
@@ -41,15 +43,31 @@ def best_passages(scores: DataFrame, limit: int = 3) -> DataFrame:
     return rows.withColumn("ordinal", F.row_number().over(all_)).where(F.col("ordinal") <= limit)
 
 
+def width(passages: DataFrame) -> int:
+    """Numbers of a vector, 0 without one."""
+    row = passages.where("vector is not null").select(F.size("vector").alias("n")).first()
+    return row["n"] if row else 0
+
+
+def summed(vectors: Column, n: int, weight: Column | None = None) -> Column:
+    """An aggregate: the element-wise sum of arrays of ``n`` numbers, added up before the shuffle like any sum."""
+    return F.array(*(F.sum(vectors[i] if weight is None else weight * vectors[i]) for i in range(n)))
+
+
 def pooled(passages: DataFrame, weights: dict[str, float], main_only: bool = True) -> DataFrame:
-    """A unit vector of each ticket: its fields' mean vectors by weight; ``main_only``: only tickets with a title or body."""
+    """A unit vector of each ticket: its fields' mean vectors by weight; ``main_only``: only tickets with a title or body.
+
+    Vectors stay whole: a ticket's field is a row of sums, and so is a ticket."""
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("field"))
-    rows = passages.where(F.col("field").isin(list(weights)))
-    rows = rows.select("repo", "number", "field", F.posexplode("vector").alias("pos", "x"))
-    mean = rows.groupBy("repo", "number", "field", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    total = mean.groupBy("repo", "number", "pos").agg(F.sum(weight * F.col("x")).alias("x"), F.max(F.col("field").isin("title", "body")).alias("main"))
-    out = total.groupBy("repo", "number").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.max("main").alias("main"))
-    return out.where("main and norm > 0" if main_only else "norm > 0").select("repo", "number", F.transform("v", lambda e: e["x"] / F.col("norm")).alias("vector"))
+    rows = passages.where(F.col("field").isin(list(weights)) & F.col("vector").isNotNull())
+    n = width(rows)
+    if not n:
+        return passages.select("repo", "number", F.array().cast("array<double>").alias("vector")).limit(0)
+    rows = rows.select("repo", "number", "field", F.col("vector").cast("array<double>").alias("vector"))
+    fields = rows.groupBy("repo", "number", "field").agg(summed(F.col("vector"), n).alias("sum"), F.count("*").alias("n"))
+    out = fields.groupBy("repo", "number").agg(summed(F.col("sum"), n, weight / F.col("n")).alias("v"), F.max(F.col("field").isin("title", "body")).alias("main"))
+    out = out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    return out.where("main and norm > 0" if main_only else "norm > 0").select("repo", "number", F.transform("v", lambda x: x / F.col("norm")).alias("vector"))
 
 
 def mutual_ranks(vectors: DataFrame, candidates: DataFrame, seed: list[float]) -> DataFrame:
@@ -69,8 +87,8 @@ def mutual_ranks(vectors: DataFrame, candidates: DataFrame, seed: list[float]) -
 
 
 def ranked(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """Ranks over all rows, of three columns each: a window without keys sorts them in one task."""
-    return rows.select("repo", "number", F.row_number().over(Window.orderBy(F.desc(by), "repo", "number")).alias(name))
+    """(repo, number, name): ranks over all rows, the highest ``by`` first."""
+    return ranks.ranked(rows.select("repo", "number", by), [F.desc(by), F.asc("repo"), F.asc("number")], name).drop(by)
 
 
 def fused(parts: list[tuple[DataFrame, str, float]], k: int = RRF) -> DataFrame:
@@ -89,9 +107,10 @@ def hybrid(lexical: DataFrame, scores: DataFrame, evidence: DataFrame) -> DataFr
     nothing. ``evidence`` (repo, number, score) ranks by score, then by semantic rank.
     """
     key = ["repo", "number"]
-    hits = ranked(lexical, "score", "lex").join(ranked(scores, "blended", "sem"), key, "full_outer").join(evidence.select(*key, "score"), key, "left")
-    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("sem"), "repo", "number"))
-    hits = hits.withColumn("ticket", F.when(F.col("score").isNotNull(), place))
+    lex, sem = ranked(lexical, "score", "lex"), ranked(scores, "blended", "sem")
+    told = evidence.where("score is not null").select(*key, "score").join(sem, key, "left")
+    told = ranks.ranked(told, [F.desc("score"), F.asc_nulls_last("sem"), F.asc("repo"), F.asc("number")], "ticket").select(*key, "ticket")
+    hits = lex.join(sem, key, "full_outer").join(told, key, "left")
     hits = hits.where(F.col("lex").isNotNull() | F.col("ticket").isNotNull() | (F.col("sem") <= TOP))
     part = lambda c, w: F.coalesce(F.lit(float(w)) / (RRF + F.col(c)), F.lit(0.0))
     return hits.select(*key, F.round(part("lex", 1) + part("sem", 1) + part("ticket", TICKET), 9).alias("score"))

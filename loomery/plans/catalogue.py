@@ -307,15 +307,6 @@ def seed_term_select(spark, d):
     return candidates.select_terms(candidates.seed_terms(m.documents, repo, 2, STOP), index_of(spark, d), repo, 2, m.tickets)
 
 
-@query(None)
-def mutual_rank(spark, d):
-    m = Mirror(spark, d)
-    vectors = semantic.pooled(m.passages, semantic.TICKET_WEIGHTS)
-    seed = vectors.orderBy("number").first()
-    rest = vectors.where(F.col("number") != seed["number"]).select("repo", "number", F.round(semantic.dot(F.col("vector"), F.array(*(F.lit(x) for x in seed["vector"]))), 6).alias("score"))
-    return semantic.mutual_ranks(vectors, rest, list(seed["vector"]))
-
-
 # ---- labels, policy, ingestion
 
 

@@ -106,10 +106,10 @@ def field_values_named(spark, d):
     return m.select("repo", "number", has("fields", "size", "2").alias("by_value"), has("teams", "team", "team1").alias("by_option"))
 
 
-@query(_TC + " select 'comment:' || id as id, author, created_s from comments where number <= 50")
+@query(_TC + " select 'comment:' || id as id, author, created_s from comments")
 def evidence_comments(spark, d):
     m = Mirror(spark, d)
-    units = m.documents.where(F.col("family").isin("comment", "review") & (F.col("number") <= 50)).select("id")
+    units = m.documents.where(F.col("family").isin("comment", "review")).select("id")
     return records.enriched(units, m.comments).select("id", "author", "created_s")
 
 
@@ -209,13 +209,6 @@ def rrf_seed(spark, d):
     return retrieval.fused_seed(corpus, lexical.search(corpus.index, rest, " ".join(words) or "-"), scores, vectors, vector)
 
 
-@query(None)
-def candidates_lexical(spark, d):
-    """Candidates of a seed where vectors are missing: the lexical fallback."""
-    corpus, m = corpus_of(spark, d), Mirror(spark, d)
-    return retrieval.find_candidates(corpus, repo_of(m, 2), 2).rows
-
-
 @query("with " + BASE + _hits(["thing", "are"]) + "select repo, number, score from (" + _BEST.format("scored") + ")")
 def search_fallback(spark, d):
     """A search without an engine where no vector is indexed."""
@@ -277,9 +270,9 @@ def status_excluded(spark, d):
     return status.counts(m.tickets, _decided(m), m.documents)
 
 
-@query(_TC + " select c.id, coalesce(t.kind, 'unknown') as kind from (select id, number from comments) c left join tickets t on t.number = c.number where c.number <= 200")
+@query(_TC + " select c.id, coalesce(t.kind, 'unknown') as kind from (select id, number from comments) c left join tickets t on t.number = c.number")
 def known_kinds(spark, d):
     m = Mirror(spark, d)
-    asked = m.comments.where("number <= 200").select("repo", "number")
+    asked = m.comments.select("repo", "number")
     found = ingest.kinds(m.tickets.select("repo", "number", F.lit("unknown").alias("kind")), m.tickets, asked.distinct())
     return m.comments.select("id", "repo", "number").join(found, ["repo", "number"]).select("id", "kind")

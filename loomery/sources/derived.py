@@ -23,6 +23,14 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` once computed and written to the checkpoint folder, so that later plans read them instead of making them again."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_root(rows.sparkSession))
+    return rows.checkpoint()
+
+
 def state_of(spark: SparkSession, paths: list[str]) -> str:
     """Changes with the names, lengths or times of the files in ``paths``."""
     out, path = [], spark._jvm.org.apache.hadoop.fs.Path
