@@ -5,12 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.derived import kept
 
 WEIGHTS = {"title": 5.0, "body": 1.0}
 K1, B = 1.2, 0.75
@@ -27,18 +25,10 @@ def query_words(query: str, keep_repeats: bool = False, most: int = TERMS) -> li
     return words
 
 
-#: Folders that postings are dealt into by term, and parts of each, so that no frequent term is written by one task.
-BUCKETS, PARTS = 32, 8
-
-
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 @dataclass
 class Index:
-    """Postings (id, repo, number, family, length, col, term, positions; kept ones also bucket), and totals (total, mean)
-    of the units' lengths; ``stored`` builds them once a generation."""
+    """Postings (id, repo, number, family, length, col, term, positions), and totals (total, mean) of the units' lengths.
+    ``segments`` keeps them and opens what a query needs."""
 
     postings: DataFrame
     totals: DataFrame
@@ -53,31 +43,10 @@ class Index:
         totals = sized.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
         return Index(post, totals)
 
-    @staticmethod
-    def stored(documents: DataFrame, state: str) -> Index:
-        """The kept index of ``documents``, whose sources are in ``state``: postings in folders by term, sorted by term."""
-        spark, new = documents.sparkSession, Index.build(documents)
-
-        def postings() -> DataFrame:
-            rows = new.postings.withColumn("bucket", bucket_of(F.col("term")))
-            return rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PARTS))).sortWithinPartitions("bucket", "term", "id")
-
-        return Index(kept(spark, "postings", state, postings, "bucket"), kept(spark, "totals", state, lambda: new.totals))
-
     def of_terms(self, terms: list[str], prefix: str | None = None) -> DataFrame:
-        """Postings of ``terms``, and of those that begin with ``prefix``; whole words open their folders only."""
-        rows, fits = self.postings, F.col("term").isin(terms)
-        if prefix is not None:
-            return rows.where(fits | F.col("term").startswith(prefix))
-        if "bucket" in rows.columns:
-            rows = rows.where(F.col("bucket").isin([_bucket(t) for t in terms]))
-        return rows.where(fits)
-
-
-def _bucket(term: str) -> int:
-    """``bucket_of`` on the driver: the same hash and seed."""
-    n = xxhash.xxh64_intdigest(term.encode(), seed=42)
-    return (n - (1 << 64) if n >> 63 else n) % BUCKETS
+        """Postings of ``terms``, and of those that begin with ``prefix``."""
+        fits = F.col("term").isin(terms)
+        return self.postings.where(fits if prefix is None else fits | F.col("term").startswith(prefix))
 
 
 def _phrases(query: str, match: str, prefix: bool, most: int = TERMS) -> list[list[str]]:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import candidates, context, evaluate, ingest, lexical, paging, policy, reads, represent, retrieval, semantic
 from ..operators.filters import Filters
-from ..sources.derived import state_of
+from ..operators.segments import Segments
+from ..sources.derived import folder_of, state_of
 from ..sources.model import Mirror
 
 NOW = datetime(2024, 3, 1, tzinfo=timezone.utc)
@@ -74,9 +75,10 @@ def query(sql: str | None):
 
 
 def index_of(spark: SparkSession, folder: str) -> lexical.Index:
-    """Built once for the state of its tables and kept; later queries open the postings of their terms only."""
+    """Kept beside the checkpoints and brought to the state of its tables by their changed units; queries open the postings of
+    their terms only."""
     sources = [f"{folder}/{t}.parquet" for t in ("documents", "labels", "conversations")]
-    return lexical.Index.stored(Mirror(spark, folder).documents, state_of(spark, sources))
+    return Segments.current(spark, folder_of(spark, "segments", sources), state_of(spark, sources), lambda: Mirror(spark, folder).documents)
 
 
 def corpus_of(spark: SparkSession, folder: str) -> retrieval.Corpus:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval, semantic
+from ..operators import clusters, retrieval, semantic, topk
 from ..operators.filters import Filters
+from ..sources.derived import folder_of, state_of
 from ..sources.model import Mirror
-from .catalogue import _BEST, _SEED, _VEC, BASE, TICKETS, _hits, _query_vector, corpus_of, query, repo_of
+from ..sources.store import Store
+from .catalogue import _BEST, _SEED, _VEC, BASE, TICKETS, _hits, _query_vector, corpus_of, index_of, query, repo_of
 
 MODEL = "stored"
 
@@ -104,3 +106,23 @@ def candidates_lexical(spark, d):
     """Candidates of a seed where vectors are missing: the lexical fallback."""
     corpus = corpus_of(spark, d)
     return retrieval.find_candidates(corpus, repo_of(Mirror(spark, d), 2), 2).rows
+
+
+# ---- top tickets without looking at all
+
+
+@query("with " + BASE + _hits(["thing", "are"]) + "select repo, number, id, score from (" + _BEST.format("scored") + ") order by score desc, repo, number limit 30")
+def lex_top_blocks(spark, d):
+    """The first page of ``lex_any`` from the blocks that can hold one of its tickets."""
+    sources = [f"{d}/{t}.parquet" for t in ("documents", "labels", "conversations")]
+    store = Store(spark, folder_of(spark, "blocks", sources)).at_state(state_of(spark, sources), lambda: topk.Blocks.tables(index_of(spark, d)))
+    return topk.Blocks.of(store).top(Mirror(spark, d).tickets, "thing are")[0].select("repo", "number", "id", "score")
+
+
+@query(_VEC.format(TICKETS) + "select repo, number, score from sem order by score desc, repo, number limit 200")
+def sem_top_clusters(spark, d):
+    """The tickets of ``sem_top200`` from the clusters that can hold one of them."""
+    sources = [f"{d}/{t}.parquet" for t in ("documents", "embeddings")]
+    store = Store(spark, folder_of(spark, "clusters", sources)).at_state(state_of(spark, sources), lambda: clusters.Clusters.tables(Mirror(spark, d).passages))
+    vector = _query_vector(spark, d)
+    return clusters.Clusters.of(store).top(vector)[0] if vector else Mirror(spark, d).tickets.select("repo", "number", F.lit(0.0).alias("score")).limit(0)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,16 +40,11 @@ def state_of(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(out)).encode()).hexdigest()[:32]
 
 
-def kept(spark: SparkSession, name: str, state: str, make: Callable[[], DataFrame], buckets: str | None = None) -> DataFrame:
-    """The table ``name`` for ``state`` of its sources, made at first use. It is written beside and renamed when whole,
-    so a job that is lost leaves nothing that counts; of two that write at a time the first stays."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    at = f"{shared_root(spark)}/loomery-derived/{state}/{name}"
-    fs = jvm_path(at).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path(at)):
-        new = f"{at}.{spark.sparkContext.applicationId}.new"
-        writer = make().write.mode("overwrite")
-        (writer.partitionBy(buckets) if buckets else writer).parquet(new)
-        if not fs.rename(jvm_path(new), jvm_path(at)):
-            fs.delete(jvm_path(new), True)
-    return spark.read.parquet(at)
+#: Changes when derived tables are made otherwise or get other columns.
+FORMAT = 2
+
+
+def folder_of(spark: SparkSession, name: str, paths: list[str]) -> str:
+    """Where what is derived from ``paths`` under ``name`` is kept, whatever their state."""
+    key = hashlib.sha256("\n".join([str(FORMAT), name, *sorted(paths)]).encode()).hexdigest()[:32]
+    return f"{shared_root(spark)}/loomery-derived/{name}-{key}"

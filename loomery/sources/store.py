@@ -1,4 +1,4 @@
-"""Generations: every commit writes its tables to a new folder and then adds one manifest, which names them all."""
+"""Generations: every commit writes its tables to folders of their own and then adds one manifest, which names them all."""
 
 from __future__ import annotations
 
@@ -6,15 +6,20 @@ import hashlib
 import json
 import secrets
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 3
 KEEP = 3
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
 #: Tables and metadata that stay with the collector.
 PRIVATE = ("responses", "inventory", "identity", "credential_identity")
 
@@ -33,15 +38,30 @@ class Store:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
     def _write(self, name: str, text: str) -> bool:
-        """Whether the file is new and this writer's; a file that is there stays as it is."""
+        """Whether the file is new and this writer's; a file that is there stays as it is.
+
+        The text is written beside and takes its name in one step that fails if the name is taken: a hard link on a local disk, a
+        rename that doesn't overwrite elsewhere (atomic where the file system's renames are, as on HDFS)."""
         fs, path = self._fs()
-        new = path(f"{self.root}/.{secrets.token_hex(8)}.new")
+        jvm, new, at = self.spark._jvm, path(f"{self.root}/.{secrets.token_hex(8)}.new"), path(f"{self.root}/{name}")
         out = fs.create(new, False)
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(path(f"{self.root}/{name}")) or not fs.rename(new, path(f"{self.root}/{name}")):
-            fs.delete(new, False)
+        try:
+            if fs.getUri().getScheme() == "file":
+                local = lambda p: jvm.java.nio.file.Path.of(path.getPathWithoutSchemeAndAuthority(p).toString(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+                jvm.java.nio.file.Files.createLink(local(at), local(new))
+            else:
+                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, at, options)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
             return False
+        finally:
+            if fs.exists(new):
+                fs.delete(new, False)
         return True
 
     def _manifests(self) -> list[str]:
@@ -68,24 +88,53 @@ class Store:
             raise ValueError(f"schema version {found['schema_version']}; this reads {SCHEMA_VERSION}")
         return found
 
-    def commit(self, tables: dict[str, DataFrame], metadata: dict | None = None) -> dict:
-        """All tables or none become visible; readers of the old generation go on. Manifests are numbered, so of two
-        writers that began with the same generation one fails and leaves nothing that counts."""
+    def stage(self, name: str, rows: DataFrame, by: str | None = None) -> str:
+        """Writes a table that no manifest names yet (``by``: in folders by that column); its path within the root."""
+        if self.read_only:
+            raise PermissionError("the store is open for reading only")
+        path = f"gen={secrets.token_hex(16)}/{name}"
+        writer = rows.write.partitionBy(by) if by else rows.write
+        writer.parquet(f"{self.root}/{path}")
+        return path
+
+    def commit(self, tables: dict[str, DataFrame | str], metadata: dict | None = None, drop: Iterable[str] = ()) -> dict:
+        """All tables or none become visible, and those of ``drop`` go; readers of the old generation go on. A table is a frame or
+        the path of a staged one. Manifests are numbered, so of two writers that began with the same generation one fails and
+        leaves nothing that counts."""
         if self.read_only:
             raise PermissionError("the store is open for reading only")
         names = self._manifests()
-        old, generation = self.manifest() or {"tables": {}, "metadata": {}}, secrets.token_hex(16)
-        paths = dict(old["tables"])
-        for name, df in tables.items():
-            paths[name] = f"gen={generation}/{name}"
-            df.write.parquet(f"{self.root}/{paths[name]}")
-        new = {"schema_version": SCHEMA_VERSION, "generation": generation, "tables": paths, "metadata": old["metadata"] | (metadata or {}), "committed_at": time.time()}
+        old = self.manifest() or {"tables": {}, "metadata": {}}
+        paths = {n: p for n, p in old["tables"].items() if n not in set(drop)}
+        paths |= {name: df if isinstance(df, str) else self.stage(name, df) for name, df in tables.items()}
+        new = {"schema_version": SCHEMA_VERSION, "generation": secrets.token_hex(16), "tables": paths, "metadata": old["metadata"] | (metadata or {}), "committed_at": time.time()}
         number = int(names[0][9:-5]) + 1 if names else 1
         if not self._write(f"manifest-{number:012d}.json", json.dumps(new, sort_keys=True)):
-            raise RuntimeError("another writer has committed meanwhile")
+            raise Conflict("another writer has committed meanwhile")
         self.prune()
         return new
 
+    def at_state(self, state: str, make: Callable[[], dict[str, DataFrame]]) -> Store:
+        """This store with the tables that ``make`` gives for ``state`` of their sources, made where it holds another; of two
+        writers one makes them and the other reads those."""
+        held = lambda: (self.manifest() or {"metadata": {}})["metadata"].get("state") == state
+        if not held():
+            try:
+                self.commit(make(), {"state": state})
+            except Conflict:
+                if not held():
+                    raise
+        return self
+
+    def sweep(self, older: float = 86400.0) -> None:
+        """Deletes folders that no manifest names and that were begun more than ``older`` seconds ago: what lost writers left."""
+        fs, path = self._fs()
+        named = {p.split("/")[0] for n in self._manifests() for p in json.loads(self._get(n))["tables"].values()}
+        for x in fs.listStatus(path(self.root)):
+            name = x.getPath().getName()
+            if name.startswith("gen=") and name not in named and time.time() - x.getModificationTime() / 1000 > older:
+                fs.delete(x.getPath(), True)
+
     def prune(self, keep: int = KEEP) -> None:
         """Deletes all but the last ``keep`` manifests and the generations that only deleted ones name."""
         fs, path = self._fs()

@@ -5,22 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import upsert
+from ..operators.merge import Buckets
 from ..sources.store import Store
 
 
 def stream_upsert(changes: DataFrame, store: Store, table: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Folds ``changes`` (key, version, payload) into ``table``. A batch that is replayed changes nothing, and the
-    batch number in the manifest says which was last committed."""
-
-    def fold(batch: DataFrame, number: int) -> None:
-        found = store.manifest()
-        if found and found["metadata"].get(f"{table}.batch", -1) >= number:
-            return
-        new = upsert(batch.limit(0), batch, key) if not found or table not in found["tables"] else upsert(store.read(table), batch, key)
-        store.commit({table: new}, {f"{table}.batch": number})
-
-    return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Folds ``changes`` (key, version, payload) into the buckets of ``table``, each micro-batch at its own cost. A batch that
+    is replayed changes nothing, and the batch number in the manifest says which was last committed."""
+    to = Buckets(store, table, key)
+    return changes.writeStream.foreachBatch(lambda batch, number: to.merge(batch, number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def deduplicated(changes: DataFrame, key: list[str], time: str = "ts", overlap: str = "5 minutes") -> DataFrame:

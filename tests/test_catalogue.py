@@ -9,6 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from loomery.operators import candidates, context, evaluate, ingest, paging, represent, semantic
+from loomery.operators.merge import Buckets
 from loomery.operators.filters import Filters, date_bound
 from loomery.plans import catalogue
 from loomery.sources.store import Store
@@ -99,11 +100,11 @@ def test_generations_and_streamed_changes(spark, tmp_path):
     spark.createDataFrame([(1, 2, "c")], "k long, version long, payload string").write.mode("append").parquet(src)
     stream_upsert(read(), store, "t", ["k"], f"{tmp_path}/cp").awaitTermination()
     assert store.manifest()["generation"] != first
-    assert sorted(map(tuple, store.read("t").collect())) == [(1, 2, "c"), (2, 1, "b")]
+    assert sorted(map(tuple, Buckets(store, "t", ["k"]).read().collect())) == [(1, 2, "c"), (2, 1, "b")]
     store.publish(copy)
     back = Store(spark, f"file://{tmp_path}/b")
     back.acquire(copy)
-    assert back.read("t").count() == 2
+    assert Buckets(back, "t", ["k"]).read().count() == 2
 
 
 def test_scores_by_hand(spark):
