@@ -7,11 +7,13 @@ text in the same words. Held-out accuracy with and without them is in the README
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,15 +71,33 @@ class Model:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def fit(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> Model:
+def _least(values: np.ndarray) -> np.ndarray:
+    """In the narrowest type that holds the largest."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def _packed(ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, str, str, float]:
+    """A bag of features without loss, in about two bytes a feature, as the driver holds all of the sample: steps from one id to the
+    next and counts."""
+    steps, n = _least(np.diff(ids.astype(np.int64), prepend=0)), _least(counts.astype(np.int64))
+    return zstandard.compress(steps.tobytes() + n.tobytes(), 1), steps.dtype.char, n.dtype.char, float(counts.sum())
+
+
+def _unpacked(bag: tuple[bytes, str, str, float]) -> tuple[np.ndarray, np.ndarray, float]:
+    raw, steps, counts = zstandard.decompress(bag[0]) if bag[3] else b"", np.dtype(bag[1]), np.dtype(bag[2])
+    size = len(raw) // (steps.itemsize + counts.itemsize)
+    ids = np.frombuffer(raw, steps, size).cumsum(dtype=np.int64)
+    return ids, np.frombuffer(raw, counts, size, size * steps.itemsize), bag[3]
+
+
+def fit(texts: Iterable[bytes | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> Model:
     """Stochastic gradient descent on the log loss, one document at a time, classes weighted alike."""
     rng, hashes = np.random.default_rng(SEED), WordHashes()
     bags = []
     for t in texts:
         parts = features(t, hashes)
-        ids, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.zeros(1))
-        # Six bytes a feature, as the driver holds them all; ten where a text has one more than 65,535 times.
-        bags.append((ids.astype(np.int32), n.astype(np.uint16 if n.max(initial=0) <= 0xFFFF else np.int64), np.float32(n.sum())))
+        ids, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        bags.append(_packed(ids, n))
     y = np.asarray(labels, np.int64)
     share = np.bincount(y, minlength=2) / max(1, len(y))
     weight = 0.5 / np.maximum(share, 1e-9)
@@ -86,7 +106,7 @@ def fit(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, rate
     steps, step = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
-            ids, n, total = bags[i]
+            ids, n, total = _unpacked(bags[i])
             lr = rate * (1 - step / steps)
             step += 1
             if not len(ids):
@@ -115,11 +135,19 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     sizes = sizes.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.sum("size").alias("size"))  # at most ``rows``
     so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     chosen = sizes.withColumn("bytes", so_far).where(F.col("bytes") <= SAMPLE_BYTES).select("doc_id", "y")
-    got = text.where(F.coalesce(F.length("text"), F.lit(0)) <= TEXT_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").toPandas()
-    got = got.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    if not len(got):
-        return Model(np.zeros(1 << BITS, np.float32))
-    return fit(list(got["text"]), list(got["y"]))
+    got = text.where(F.coalesce(F.length("text"), F.lit(0)) <= TEXT_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").toArrow()
+    # Texts stay in Arrow's memory and are looked at one by one: the driver holds them once.
+    first: dict[int, int] = {}
+    ids, texts = got.column("doc_id").to_pylist(), got.column("text")
+    for i, doc_id in enumerate(ids):
+        if doc_id not in first or (texts[i].as_py() or b"") < (texts[first[doc_id]].as_py() or b""):
+            first[doc_id] = i
+    order = [first[k] for k in sorted(first)]
+    labels = got.column("y")
+    model = fit((texts[i].as_py() for i in order), [labels[i].as_py() for i in order]) if order else Model(np.zeros(1 << BITS, np.float32))
+    del got, texts, labels
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
