@@ -2,8 +2,8 @@
 
 Units are put in order of length and cut into blocks, so that short units, where a word weighs most, stand together. Of each term
 and block it is kept how often at most the term stands in a unit, and the least length of these: the score of no unit of the block
-can pass what these two give. A query sums these bounds by block, scores the most promising blocks, and then those others whose
-bound reaches the score of the last ticket it has. A ticket of the result has its best unit in a block of one of both kinds.
+can pass what these two give. A query sums these bounds by block and scores the most promising blocks, more and more of them, until no other's
+bound reaches the score of the last ticket it has. A ticket of the result has its best unit in a block that was read.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from ..sources.store import Store
 from . import ranks
 from .lexical import K1, WEIGHTS, B, Index, query_words
 
-#: Units of a block, and blocks that are scored first.
-BLOCK, FIRST = 128, 32
+#: Units of a block, and blocks that the first looks choose among at most.
+BLOCK, FIRST = 128, 4096
 #: Half of what scores are rounded to, and a little.
 _SLACK = 1e-6
 
@@ -60,8 +60,8 @@ class Blocks:
         idf = F.ln((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         rare = F.broadcast(rare.select(F.col("term").alias("t"), F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "mean"))
         bound = F.sum(F.col("idf") * part(F.col("most"), F.col("least"), F.col("mean")))
-        bounds = cut(own.join(rare, F.col("term") == F.col("t")).groupBy("block").agg(bound.alias("bound")))
-        chosen = bounds.orderBy(F.desc("bound"), "block").limit(first)
+        holds = F.max("n").alias("n")  # units with a word, at least
+        bounds = cut(own.join(rare, F.col("term") == F.col("t")).groupBy("block").agg(bound.alias("bound"), holds))
 
         def scored(blocks: DataFrame) -> DataFrame:
             rows = self.impacts.where(F.col("term").isin(words)).join(blocks.select("block"), "block", "left_semi").join(rare, F.col("term") == F.col("t"))
@@ -71,10 +71,15 @@ class Blocks:
             return units.withColumn("i", F.row_number().over(best)).where("i = 1").drop("i")
 
         order = [F.desc("score"), F.asc("repo"), F.asc("number")]
-        ids = [r["block"] for r in chosen.collect()]  # at most ``first``
-        few = bounds.where(F.col("block").isin(ids))
-        start = scored(few).orderBy(*order).limit(k).collect()  # at most k
-        more = bounds.where(~F.col("block").isin(ids))
+        best = bounds.orderBy(F.desc("bound"), "block").limit(first).collect()
+        ids, start, units = [], [], 0
+        while len(ids) < len(best) and (len(start) < k or best[len(ids)]["bound"] + _SLACK >= start[-1]["score"]):
+            target = max(2 * k, 4 * units)  # a look costs a job, so each takes in four times as many units
+            while units < target and len(ids) < len(best):
+                units += best[len(ids)]["n"]
+                ids.append(best[len(ids)]["block"])
+            start = scored(bounds.where(F.col("block").isin(ids))).orderBy(*order).limit(k).collect()  # at most k
+        few, more = bounds.where(F.col("block").isin(ids)), bounds.where(~F.col("block").isin(ids))
         if len(start) == k:
             more = more.where(F.col("bound") + _SLACK >= start[-1]["score"])
         read = few.unionByName(more)

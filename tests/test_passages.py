@@ -111,7 +111,7 @@ def test_top_blocks_as_scoring_all(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/b").at_state("1", lambda: topk.Blocks.tables(index, size=16))
     blocks, looked, held = topk.Blocks.of(store), 0, 0
     for query, among in (("hot seldom", tickets), ("rare", tickets), ("seldom rare", tickets.where("number % 2 = 0")), ("none", tickets)):
-        rows, counts = blocks.top(among, query, k=10, first=3)
+        rows, counts = blocks.top(among, query, k=10)
         want = lexical.search(index, among, query).orderBy(F.desc("score"), "repo", "number").limit(10)
         assert [tuple(r) for r in rows.select("number", "id", "score").collect()] == [tuple(r) for r in want.select("number", "id", "score").collect()]
         looked += counts["read"]
