@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import candidates, ingest, lexical, paging, policy, reads, records, represent, retrieval, semantic, status, writes
+from ..operators import candidates, context, ingest, lexical, paging, policy, reads, records, represent, retrieval, semantic, status, writes
 from ..sources.model import Mirror
 from .catalogue import _BEST, _VEC, BASE, COMMENTS, TICKETS, UNITS, _hits, _passages, _search, corpus_of, index_of, query, repo_of
 
@@ -276,3 +276,42 @@ def known_kinds(spark, d):
     asked = m.comments.select("repo", "number")
     found = ingest.kinds(m.tickets.select("repo", "number", F.lit("unknown").alias("kind")), m.tickets, asked.distinct())
     return m.comments.select("id", "repo", "number").join(found, ["repo", "number"]).select("id", "kind")
+
+
+# ---- whole contexts
+
+
+@query("with recursive " + TICKETS + COMMENTS + """, newest as (
+    select *, row_number() over (partition by repo, number order by created_s desc, id desc) as r,
+      contains(lower(body), 'thing') as m, row_number() over (partition by repo, number, contains(lower(body), 'thing') order by created_s desc, id desc) as rm
+    from comments)
+  , picked as (select *, row_number() over (partition by repo, number order by case when m and rm <= 2 then 0 else 1 end, created_s desc, id desc) as place from newest)
+  , pieces as (
+    select repo, number, 0 as place, least(length(coalesce(body, '')), 1000) as wanted from tickets
+    union all select repo, number, place, least(length(coalesce(body, '')), 2048) from picked where place <= 4)
+  , used as (select repo, number, least(sum(wanted), 1400) as used, max(least(wanted, 1400)) filter (place = 0) as description_chars from pieces group by 1, 2)
+  , rel as (select repo, number, repo as to_repo, number - 1 as to_number, 0 as kind from tickets where number % 5 = 0 and number > 1
+    union all select repo, number, repo, number + i, i from tickets, (values (1), (2)) v(i) where number % 7 = 0 union all select repo, number, repo, number + 3, 3 from tickets where number % 4 = 0)
+  , near as (select rel.*, row_number() over (partition by repo, number order by kind) as n from rel qualify n <= 2)
+  , wanted as (select near.*, case when t.number is not null then least(length(coalesce(t.body, '')), 512) end as wanted from near left join tickets t on t.repo = to_repo and t.number = to_number)
+  , spent as (select w.*, case when wanted is not null then least(wanted, greatest(1400 - used - coalesce(sum(wanted) over (partition by repo, number order by n rows between unbounded preceding and 1 preceding), 0), 0)) end as chars from wanted w join used using (repo, number))
+  , after as (select repo, number, used + coalesce(any_value(near_chars), 0) as used, any_value(description_chars) as description_chars, coalesce(any_value(k), 0) as k, coalesce(any_value(lost), 0) as lost
+    from used left join (select repo, number, sum(chars) as near_chars, count(*) as k, count(*) filter (wanted is null) as lost from spent group by 1, 2) using (repo, number) group by repo, number, used)
+  , own as (select repo, number, json_object('name', x, 'description', null)::varchar as def, row_number() over (partition by repo, number order by x) as i from (select repo, number, unnest(labels) as x from tickets))
+  , fold as (select repo, number, 0 as i, 1400 - used as left_, least(1400 - used, 466) as share, 0 as kept from after
+    union all select f.repo, f.number, f.i + 1, case when length(def) <= share then left_ - length(def) else left_ end, case when length(def) <= share then share - length(def) else share end, kept + (length(def) <= share)::int
+      from fold f join own o on o.repo = f.repo and o.number = f.number and o.i = f.i + 1)
+  , done as (select * from fold qualify row_number() over (partition by repo, number order by i desc) = 1)
+  , sized as (select repo, number, length('[{"field":{"name":"size"},"number":"' || size_k || '"}]') as f from tickets)
+  select repo, number, cast(description_chars as bigint) as description_chars, cast(k as bigint) as related, cast(lost as bigint) as missing, cast(kept as bigint) as definitions, f <= left_ as has_fields,
+    cast(kept < i as int) + cast(f > left_ as int) as warnings, cast(1400 - left_ + case when f <= left_ then f else 0 end as bigint) as text_characters
+  from done join after using (repo, number) join sized using (repo, number)""")
+def context_whole(spark, d):
+    """Description, comments, related tickets, label definitions and fields within 1,400 characters a ticket."""
+    m = Mirror(spark, d)
+    out = context.whole(m.tickets, m.comments, records.native_relations(m.raw), m.catalog, m.raw, 1400, 4, 2, ["thing"])
+    long = lambda c: F.size(c).cast("long")
+    return out.select(
+        "repo", "number", "description_chars", long("related").alias("related"), long(F.filter("related", lambda x: x["missing"])).alias("missing"),
+        long("label_definitions").alias("definitions"), F.col("fields").isNotNull().alias("has_fields"), F.size("warnings").alias("warnings"), "text_characters",
+    )

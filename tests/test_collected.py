@@ -1,8 +1,11 @@
 """Two-phase removal, orphans and transfers by hand."""
 
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
-from loomery.operators import reconcile
+from loomery.operators import context, reconcile
 
 T = "repo string, number long, node_id string, updated_at string, payload string"
 
@@ -64,3 +67,33 @@ def test_chains_end_and_cycles_fail(spark):
         reconcile.followed(spark.createDataFrame([("r", 1, "r", 2), ("r", 2, "r", 1)], kind)).collect()
     with pytest.raises(Exception, match="two places"):
         reconcile.followed(spark.createDataFrame([("r", 1, "r", 2), ("r", 1, "r", 3)], kind)).collect()
+
+
+# ---- contexts
+
+
+def test_items_that_do_not_fit_are_passed_over(spark):
+    rows = spark.createDataFrame([(["aaaa", "bbbbbbbb", "cc", "d"], 9, 7), (["aaa"], 2, 2), ([], 5, 5), (["aa", "aa"], 100, 3)], "x array<string>, left long, share long")
+    got = rows.select(context.fitted(F.col("x"), F.col("left"), F.col("share")).alias("f")).select("f.kept", "f.left").collect()
+    assert [(r["kept"], r["left"]) for r in got] == [(["aaaa", "cc", "d"], 2), ([], 2), ([], 5), (["aa"], 98)]
+
+
+def test_whole_contexts_by_hand(spark):
+    tickets = spark.createDataFrame([("r", 1, "d" * 900, ["bug", "ui"]), ("r", 2, "x" * 700, []), ("r", 3, None, ["bug"])], "repo string, number long, body string, labels array<string>")
+    comments = spark.createDataFrame([("1", "r", 1, "c" * 300, 5)], "id string, repo string, number long, body string, created_s long")
+    relations = spark.createDataFrame([("r", 1, 0, "r", 2), ("r", 1, 1, "r", 1), ("r", 1, 2, "q", 9), ("r", 1, 3, "r", 2), ("r", 1, 4, "r", 3)], "repo string, number long, place int, to_repo string, to_number long")
+    catalog = spark.createDataFrame([("labels", "r", str(i), json.dumps({"name": n, "description": d})) for i, (n, d) in enumerate((("ui", "u" * 500), ("bug", "short"), ("other", None)))], "kind string, scope string, id string, payload string")
+    fields = spark.createDataFrame([("r", 1, "[" + "1," * 20 + "1]"), ("r", 2, "[1]")], "repo string, number long, fields string")
+    args = tickets, comments, relations, catalog, fields
+    one = {r["number"]: r for r in context.whole(*args, 2000, 4, 2, []).collect()}
+    assert one[1]["description_chars"] == 900 and [c["chars"] for c in one[1]["comments"]] == [300]
+    assert [(x["to_repo"], x["to_number"], x["missing"], x["chars"]) for x in one[1]["related"]] == [("r", 2, False, 512), ("q", 9, True, None)]
+    assert one[1]["label_definitions"] == ['{"name":"bug","description":"short"}'] and one[1]["warnings"] == ["context_label_definition_omitted"]  # the long one is passed over
+    assert one[1]["text_characters"] == 900 + 300 + 512 + 36 + 43 and one[1]["fields"].startswith("[1,")
+    assert one[3]["text_characters"] == 36 + 2 and one[3]["related"] == [] and one[3]["description_chars"] == 0
+    small = {r["number"]: r for r in context.whole(*args, 1300, 4, 2, [], "classification").collect()}
+    assert small[1]["fields"] is None and small[1]["label_definitions"] == [] and len(small[1]["warnings"]) == 2 and small[1]["related"][0]["chars"] == 100
+    assert small[2]["label_definitions"] == ['{"name":"bug","description":"short"}', '{"name":"other","description":null}']
+    rules = spark.createDataFrame([("r", "x" * 100, 1)], "repo string, rules string, n int")
+    ruled = {r["number"]: r for r in context.whole(*args, 1750, 4, 2, [], rules=rules).collect()}
+    assert ruled[1]["label_rules"] is None and "context_label_rules_omitted" in ruled[1]["warnings"] and ruled[2]["label_rules"] == "x" * 100
