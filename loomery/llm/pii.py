@@ -2,9 +2,11 @@
 
 How much a term t tells of an entity c is its pointwise mutual information with c as a share of the information
 that c itself carries: ln(p * N / n_c) / ln(N / n_c) over the N documents of the corpus. p, how likely c is where t
-stands, is smoothed by one document that has t and names c by chance: (n_tc + n_c / N) / (n_t + 1). So entities
-that a single document names are judged too, and few documents tell less than many. Terms whose share reaches
-``threshold`` are spans of kind ``term`` wherever they stand in documents that name the entity. DataFrame functions only.
+stands, is smoothed by one document that has t and names c by chance: (n_tc + n_c / N) / (n_t + 1). A term discloses c if
+its share reaches ``threshold``, c is named in most documents that have it (p of at least MAJORITY), and at least SUPPORT
+different texts say so: the last two don't loosen as the corpus grows, and a word that is merely rare discloses nothing.
+Such a term is a span of kind ``term`` wherever it stands, above all in documents that don't name the entity, where it
+would let it be told. DataFrame functions only.
 
 Terms are counted over the whole corpus first and the counts joined after, so no join makes a row for each word of the
 corpus. Entities that stand in the same documents disclose alike and are judged once, which keeps a document that
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_between
+from .common import materialize, near, words_between
 
 #: The given patterns, each start and repeat bound so that long runs cost linear time and no recursion.
 PATTERNS = {
@@ -40,8 +42,12 @@ VALID = {
 #: What a text has that holds a match; the others' matches all have digits as well.
 NEEDS = {"email": "instr(text, '@') > 0", "ip": "instr(text, '.') > 0", "card": "true", "phone": "instr(text, '+') > 0"}
 KINDS = [*PATTERNS, "term"]
+#: Texts that must have both, and the least share of a term's documents that name the entity.
+SUPPORT, MAJORITY = 3, 0.5
 TERM, TERM_GAP, SHORTEST = r"[\p{L}\p{N}]{3,}", r"[^\p{L}\p{N}]+", 3
 SPAN = "struct<start:int,ord:int,end:int,kind:string,value:string>"
+#: Spans of terms that are broadcast at most, of some 100 bytes each.
+SPANS = 500_000
 #: Lengths that are added up at a time.
 RUN = 256
 #: Around matches; where a text has it, another character that no pattern holds either stands for it.
@@ -95,7 +101,7 @@ def _share(n_tc, total: float):
 
 
 def disclosures(named: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, th, term): terms of documents that disclose an entity named in them.
+    """(term): those that disclose an entity.
 
     ``named``: the rows of ``docs`` with base spans, with th (hash of the text) and base.
     """
@@ -112,12 +118,23 @@ def disclosures(named: DataFrame, docs: DataFrame, threshold: float) -> DataFram
     same = who.groupBy("entity").agg(F.sum("rows").alias("n_c"), F.bit_xor(here).alias("x"), F.sum(here.cast("decimal(20,0)")).alias("s"))
     groups = who.join(same, "entity").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "n_c", "x", "s").distinct()
     pairs = words.join(of_term, "term").join(materialize(groups, "groups"), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    # No pair shares more documents than either has: what can't reach the threshold even so needs no counting.
-    pairs = pairs.where(_share(F.least("n_t", "n_c"), total) >= threshold)
-    pairs = materialize(pairs.select("doc_id", "th", "rows", "x", "s", "term", "n_c", "n_t"), "pairs")
-    told = pairs.groupBy("n_c", "x", "s", "term", "n_t").agg(F.sum("rows").alias("n_tc"))
-    told = materialize(told.where(_share(F.col("n_tc"), total) >= threshold).select("n_c", "x", "s", "term"), "told")
-    return materialize(pairs.join(told, ["n_c", "x", "s", "term"], "left_semi").select("doc_id", "th", "term").distinct(), "disclosed")
+    # No pair shares more documents than either has: what can't reach the bounds even so needs no counting.
+    most = F.least("n_t", "n_c")
+    pairs = pairs.where((most >= SUPPORT) & (_share(most, total) >= threshold)).select("th", "rows", "x", "s", "term", "n_c", "n_t")
+    told = pairs.groupBy("n_c", "x", "s", "term", "n_t").agg(F.sum("rows").alias("n_tc"), F.countDistinct("th").alias("texts"))
+    likely = (F.col("n_tc") + F.col("n_c") / total) / (F.col("n_t") + 1)
+    told = told.where((F.col("texts") >= SUPPORT) & (likely >= MAJORITY) & (_share(F.col("n_tc"), total) >= threshold))
+    return materialize(told.select("term").distinct(), "told")
+
+
+def _told_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(d, t, extra): spans of the disclosing ``terms`` in each of ``docs`` (doc_id, text) that has one."""
+    docs = docs.withColumn("th", F.xxhash64("text"))
+    words = docs.select("doc_id", "th", F.explode_outer(_terms()).alias("term"))
+    told = materialize(words.join(near(terms, terms.count()), "term", "left_semi").distinct(), "disclosed")
+    keys = materialize(told.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct(), "keys")
+    here = docs.join(near(keys, keys.count()), F.expr(_SAME), "left_semi")
+    return _term_spans(base_spans(here), told)
 
 
 def _term_spans(named: DataFrame, told: DataFrame) -> DataFrame:
@@ -145,34 +162,37 @@ def personal_data(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """A row for each row of ``docs``: doc_id, th (hash of the text), base, spans (arrays of start, ord, end, kind, value).
 
     Spans are in code points, end exclusive, by start, then kind. Base spans always stay; a term that overlaps one adds
-    none. Null texts are as empty ones: no spans. Documents without base spans get none. Repeated rows get equal
-    results and each counts as a document of the corpus; other columns are ignored. Empty tables give empty results.
+    none. Null texts are as empty ones: no spans. Repeated rows get equal results; each counts as a document of the
+    corpus, but equal texts support a term once. Other columns are ignored. Empty tables give empty results.
     """
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     found = base_spans(docs.withColumn("th", F.xxhash64("text"))).select("doc_id", "th", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
     found = materialize(found, "found")
     named = found.where(F.size("base") > 0)
-    more = _term_spans(named, disclosures(named, docs, threshold))
+    more = _told_spans(docs, disclosures(named, docs, threshold))
     return found.drop("text").join(more, F.expr(_SAME), "left").select("doc_id", "th", "base", F.expr(_ALL).alias("spans"))
 
 
 def sanitised(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` (doc_id, text and others) with every span generalised to its kind; n_chars, if there, follows the text.
 
-    Only rows with base spans change; the others pass as they are and are not moved: they are found by looking for
-    base spans again, which costs less than joining every text to a decision. Rows as in ``personal_data``.
+    Rows without spans pass as they are and are not moved: spans of terms come to the texts if there are at most
+    SPANS of them, else by their key. Rows as in ``personal_data``.
     """
-    columns = docs.columns
+    columns, kinds = docs.columns, dict(docs.dtypes)
     whole = F.struct(*columns).alias("whole")
     found = base_spans(docs.select("doc_id", "text", whole).withColumn("th", F.xxhash64("text")))
     named = materialize(found.where(F.size("base") > 0), "found")
-    more = _term_spans(named, disclosures(named, docs.select("doc_id", "text"), threshold))
-    out = named.join(more, F.expr(_SAME), "left").select("whole", "text", F.expr(_ALL).alias("spans"))
-    out = out.withColumn("clean", redacted("text", "spans"))
-    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
-    kinds = dict(docs.dtypes)
-    changed = out.select(*(new.get(c, F.col("whole")[c]).cast(kinds[c]).alias(c) for c in columns))
-    return found.where(F.size("base") == 0).select("whole.*").unionByName(changed)
+    more = _told_spans(docs.select("doc_id", "text"), disclosures(named, docs.select("doc_id", "text"), threshold))
+    size = more.agg(F.coalesce(F.sum(F.size("extra")), F.lit(0)).alias("n")).first()["n"]
+    more = F.broadcast(more) if size <= SPANS else more
+
+    def clean(rows: DataFrame) -> DataFrame:
+        out = rows.join(more, F.expr(_SAME), "left").select("whole", "text", F.expr(_ALL).alias("spans")).withColumn("clean", redacted("text", "spans"))
+        new = {"text": F.col("clean"), "n_chars": F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("whole.n_chars")) if "n_chars" in columns else None}
+        return out.select(*((new[c] if c in new else F.col("whole")[c]).cast(kinds[c]).alias(c) for c in columns))
+
+    return clean(found.where(F.size("base") == 0)).unionByName(clean(named))
 
 
 def redacted(text: str, spans: str):
