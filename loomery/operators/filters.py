@@ -10,16 +10,20 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .records import has_value
+
 _REPO = re.compile(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$")
-_AGE = re.compile(r"^([1-9][0-9]{0,5})([hdw])$")
+#: Units of ages, in hours, and the largest number of one.
+AGES, MOST_AGE = {"h": 1, "d": 24, "w": 168}, 999_999
 COMPOUND_LIMIT = 100
 REPOSITORY_LIMIT = 100
 
 
 def date_bound(value: str, before: bool, now: datetime) -> tuple[int, bool]:
     """Epoch second and whether it is inclusive. A plain date covers its UTC day; ``7d`` counts back from ``now``."""
-    if m := _AGE.match(value):
-        return int((now - timedelta(hours=int(m[1]) * {"h": 1, "d": 24, "w": 168}[m[2]])).timestamp()), True
+    number, unit = value[:-1], value[-1:]
+    if unit in AGES and number.isascii() and number.isdigit() and number[0] != "0" and int(number) <= MOST_AGE:
+        return int((now - timedelta(hours=int(number) * AGES[unit])).timestamp()), True
     if re.fullmatch(r"\d{4}-\d{2}-\d{2}", value):
         day = datetime.fromisoformat(value).replace(tzinfo=timezone.utc)
         return int((day + timedelta(days=1 if before else 0)).timestamp()), not before
@@ -47,6 +51,7 @@ class Filters:
     updated_after: str | None = None
     updated_before: str | None = None
     field_values: dict[str, str] = field(default_factory=dict)
+    field_options: bool = False  # whether values also come as names of options, as of ``records.normalized_values``
     project: tuple[str, int] | None = None
     exclude: tuple[str, int] | None = None
     now: datetime | None = None
@@ -86,7 +91,7 @@ class Filters:
             out += [(at <= b) if closed else (at < b)] if b is not None else []
         has = lambda name, value: lambda f: (f["name"] == name) & (f["value"] == value)
         for name, value in self.field_values.items():
-            out.append(F.exists("field_values", has(name, value)))
+            out.append(has_value(F.col("field_values"), name, value) if self.field_options else F.exists("field_values", has(name, value)))
         if self.project:
             tails = [f"/{who}/{self.project[0]}/projects/{self.project[1]}" for who in ("orgs", "users")]
             out.append(F.exists("project_urls", lambda u: u.endswith(tails[0]) | u.endswith(tails[1])))

@@ -204,13 +204,21 @@ DECLARED = {"claude code": "claude", "[claude code](https://claude.ai/code)": "c
 _MARKER = re.compile(r"<!-- [\w.-]+:ai-generated:(\w+) -->")
 
 
+def _is_code(lines: list[str]) -> bool:
+    """Whether the last of ``lines`` is indented or within a fence that they open."""
+    fence = Fence()
+    fenced = [fence.line(x.rstrip("\r")) for x in lines if x.strip()]
+    return fenced[-1] or lines[-1].startswith(("    ", "\t"))
+
+
 def declared_ai(body: str) -> str | None:
     """The provider that the last line with text declares; none if that line is fenced or indented code."""
-    fence, last = Fence(), ""
-    for line, _, _ in _lines(body):
-        line = line.rstrip("\n")
-        if line.strip():
-            last = "" if fence.line(line.rstrip("\r")) or line.startswith(("    ", "\t")) else line.strip()
+    lines = [line.rstrip("\n") for line, _, _ in _lines(body)]
+    while lines and not lines[-1].strip():
+        lines.pop()
+    if not lines or _is_code(lines):
+        return None
+    last = lines[-1].strip()
     if m := _MARKER.fullmatch(last):
         return m[1] if m[1] in DECLARED.values() else None
     last = last.strip("*_").strip().removeprefix("\N{ROBOT FACE}").strip().lower()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import candidates, context, evaluate, ingest, lexical, paging, policy, reads, represent, retrieval, semantic
+from ..operators import candidates, context, evaluate, ingest, lexical, paging, policy, reads, records, represent, retrieval, semantic
 from ..operators.filters import Filters
 from ..operators.segments import Segments
 from ..sources.derived import folder_of, state_of
@@ -166,6 +166,17 @@ _list("list_milestone", "milestone_title = 'v2'", milestone="2")
 _list("list_date_day", "created_s >= 1704153600 and created_s < 1704326400", created_after="2024-01-02", created_before="2024-01-03")
 _list("list_date_relative", "updated_s >= 1709251200 - 14 * 86400", updated_after="2w")
 _list("list_field_values", "size_k = 2", field_values={"size": "2"})
+
+
+@query("with " + TICKETS + " select repo, number, title, state, updated_s from tickets where number % 3 = 1")
+def list_field_option(spark, d):
+    """Tickets by the name of a field's option."""
+    m = Mirror(spark, d)
+    values = m.raw.select("repo", "number", records.normalized_values(F.col("teams")).alias("field_values"))
+    rows = m.tickets.drop("field_values").join(values, ["repo", "number"])
+    return rows.where(Filters(now=NOW, field_values={"team": "team1"}, field_options=True).column()).select("repo", "number", "title", "state", "updated_s")
+
+
 _list("list_project", "project = 4", project=("demo", 4))
 _list("list_exclude_seed", "not (repo = 'demo/src1' and number = 2)", exclude=("demo/src1", 2))
 

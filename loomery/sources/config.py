@@ -9,14 +9,19 @@ from datetime import timedelta
 
 #: The switches of a scope, those that need another, and the presets.
 SWITCHES = (
-    "issues pull_requests issue_comments pull_request_comments pull_request_review_comments labels milestones issue_types fields projects relations"
+    "issues pull_requests issue_comments pull_request_comments pull_request_review_comments labels milestones issue_types fields relationships projects"
 ).split()
-NEEDS = {"issue_comments": "issues", "pull_request_comments": "pull_requests", "pull_request_review_comments": "pull_requests", "issue_types": "issues", "relations": "issues"}
+NEEDS = {
+    "issue_comments": "issues", "pull_request_comments": "pull_requests", "pull_request_review_comments": "pull_requests", "fields": "issues",
+    "issue_types": "issues", "relationships": "issues",
+}
 PRESETS = {
-    "full": SWITCHES,
-    "issues": ["issues", "issue_comments", "labels", "milestones", "issue_types"],
-    "minimal": ["issues", "pull_requests"],
+    "all": SWITCHES,
+    "issues": "issues issue_comments labels milestones issue_types fields relationships projects".split(),
+    "pull_requests": "pull_requests pull_request_comments pull_request_review_comments".split(),
 }
+#: What is collected of a repository without options; the last three only where fields or projects are asked for.
+DEFAULT = "issues pull_requests issue_comments pull_request_comments labels milestones relationships".split()
 _NAME = re.compile(r"[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+")
 _TIME = re.compile(r"(\d+(?:\.\d+)?)(h|ms|m|s)")
 _UNITS = {"h": "hours", "m": "minutes", "s": "seconds", "ms": "milliseconds"}
@@ -36,7 +41,13 @@ def duration(text: str) -> timedelta:
     return timedelta(**{k: sum(float(a) for a, b in parts if _UNITS[b] == k) for k in _UNITS.values()})
 
 
-def scope(preset: str = "full", **switches: bool) -> dict[str, bool]:
+def default_scope(fields: bool = False, projects: bool = False) -> dict[str, bool]:
+    """The switches of a repository that has no options of its own."""
+    asked = {"issue_types": fields, "fields": fields, "projects": projects}
+    return {s: s in DEFAULT or asked.get(s, False) for s in SWITCHES}
+
+
+def scope(preset: str = "all", **switches: bool) -> dict[str, bool]:
     """All switches of a repository: a preset's, then those given; what needs a switch that is off is off."""
     if preset not in PRESETS or set(switches) - set(SWITCHES):
         raise ValueError(f"presets are {', '.join(PRESETS)}; switches are {', '.join(SWITCHES)}")
@@ -55,7 +66,7 @@ def kept_by(options: dict[str, bool], kind: str, review: bool | None = None) ->
 class Config:
     repositories: list[str]
     root: str
-    preset: str = "full"
+    preset: str = "all"
     scopes: dict[str, dict[str, bool]] = field(default_factory=dict)
     overlap: timedelta = timedelta(minutes=5)
     reconcile: timedelta = timedelta(hours=24)
@@ -75,9 +86,9 @@ def load(text: str) -> Config:
     own = raw.get("scope", {})
     if unknown := set(own) - set(names):
         raise ValueError(f"scopes of other repositories: {', '.join(sorted(unknown))}")
-    scopes = {r: scope(**({"preset": raw.get("preset", "full")} | own.get(r, {}))) for r in names}
+    scopes = {r: scope(**({"preset": raw.get("preset", "all")} | own.get(r, {}))) for r in names}
     times = {k: duration(raw[k]) for k in ("overlap", "reconcile", "enrich") if k in raw}
     workers = raw.get("workers", 4)
     if not 1 <= workers <= 16:
         raise ValueError("workers are 1 to 16")
-    return Config(names, raw["root"], raw.get("preset", "full"), scopes, workers=workers, **times)
+    return Config(names, raw["root"], raw.get("preset", "all"), scopes, workers=workers, **times)

@@ -259,6 +259,12 @@ def test_configuration():
     for bad in ('repositories = ["a/b"]\nroot = "x"\nnope = 1', 'repositories = ["a/.."]\nroot = "x"', 'repositories = []\nroot = "x"'):
         with pytest.raises(ValueError):
             config.load(bad)
+    everything, issues, pulls = (config.scope(p) for p in ("all", "issues", "pull_requests"))
+    assert all(everything.values()) and not config.default_scope()["pull_request_review_comments"] and config.default_scope(fields=True)["issue_types"]
+    assert {s for s, on in issues.items() if not on} == {"pull_requests", "pull_request_comments", "pull_request_review_comments"}
+    assert {s for s, on in pulls.items() if on} == {"pull_requests", "pull_request_comments", "pull_request_review_comments"}
+    off = config.scope("all", issues=False)
+    assert {s for s, on in off.items() if not on} == {"issues", "issue_comments", "fields", "issue_types", "relationships"}
     meta = {"repositories": ["a/b"], "options": {"a/b": {"issues": True, "fields": True}}, "coverage": {"a/b": {"reconciled_at": "2024-01-01T00:00:00Z"}}}
     codes = [w["code"] for w in status.warnings(meta, repo="a/b", fields=True, scopes=["reviews"], kind="pull_request", now=datetime(2024, 2, 1, tzinfo=timezone.utc))]
     assert codes == ["enrichment_stale", "resource_disabled", "resource_disabled"]
