@@ -12,14 +12,17 @@ from .common import bounded_batches, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of two-word shingle sets of similarity 0.8 or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("th", "set_key")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words that lie in windows of 13 words of ``benchmark``."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=13).drop("th")
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data: base spans, their digest, and all spans with those of disclosing terms."""
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     found = pii.personal_data(table(spark, sf_dir, "documents"))
@@ -27,6 +30,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score; labels of held-out documents are not learned from."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
     model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
@@ -34,10 +38,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record, read back: equal payloads are stored once."""
     return warc.restored(warc.archived(table(spark, sf_dir, "pages"), min_bytes=0))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its nearest language; held-out documents are not learned from."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     profiles = language.learn(docs.where(~held_out))
@@ -45,19 +51,23 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words of it that the mixture takes."""
     out = mixing.mixed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the rule that decides its url, or the list."""
     return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with fingerprints of its text and its edited text, and their likeness."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text."""
     return html.main_texts(table(spark, sf_dir, "pages"))
 
 

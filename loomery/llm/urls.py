@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, near, partitions
+
 #: The given rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Hosts blocked by the method where no rule fits, with all their subdomains.
@@ -133,3 +135,71 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, bl
 
     out = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("judged", judge("host", "path"))
     return out.select("page_id", "host", "path", "judged.rule", "judged.verdict", "judged.listed")
+
+
+# ---- lists of any length
+
+
+#: Keys, and strings looked up, of one part of a distributed array.
+PART = 2_000_000
+_ARRAY = "part int, digests binary, ends binary, text binary"
+
+
+def _part(key: str, parts: int):
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row of a part: its digests, sorted, and its strings in their order."""
+    keys: list[str] = []
+    part = None
+    for f in batches:
+        part = int(f["part"].iloc[0]) if len(f) else part
+        keys += f["key"].tolist()
+    if part is not None:
+        order = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode()) for k in keys)
+        ends = np.cumsum([0, *(len(k) for _, k in order)]).astype(np.int64)
+        yield pd.DataFrame({"part": [part], "digests": [np.array([d for d, _ in order], np.uint64).tobytes()], "ends": [ends.tobytes()], "text": [b"".join(k for _, k in order)]})
+
+
+def _found(asked: pd.DataFrame, array: pd.DataFrame) -> pd.DataFrame:
+    """Those of the strings asked for that a part holds: equal digests are looked through until the strings are equal."""
+    hits: list[str] = []
+    if len(array) and len(asked):
+        digests, ends, text = np.frombuffer(array["digests"][0], np.uint64), np.frombuffer(array["ends"][0], np.int64), memoryview(array["text"][0])
+        strings = [k.encode() for k in asked["key"]]
+        own = np.fromiter(map(xxhash.xxh64_intdigest, strings), np.uint64, len(strings))
+        at = np.searchsorted(digests, own)
+        for i in np.flatnonzero(digests[np.minimum(at, len(digests) - 1)] == own):
+            j = int(at[i])
+            while j < len(digests) and digests[j] == own[i]:
+                if text[ends[j] : ends[j + 1]] == strings[i]:
+                    hits.append(asked["key"].iloc[i])
+                    break
+                j += 1
+    return pd.DataFrame({"key": pd.Series(hits, dtype=object)})
+
+
+def listed(pages: DataFrame, keys: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """As ``judged``, by a table of keys (key: a host, which stands for its subdomains, or a host with a path, which stands for that
+    page alone) of any length: rows of page_id, host, path, rule, verdict, listed (the key that fits; a page's own before hosts, the longest first).
+
+    The sorted array is made and kept by Spark in parts by digest; a page's host, what it is a subdomain of, and its url are looked
+    up in their parts, each distinct one once. Null and empty keys fit nothing, and neither do repeated ones more than once.
+    """
+    spark = pages.sparkSession
+    keys = materialize(keys.select("key").where("key <> ''").distinct(), "keys")
+    out = judged(pages, rules, [], []).drop("listed")
+    labels = F.split("host", "[.]")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = out.select("host", "path").where("host <> ''").distinct().select("host", "path", F.posexplode(F.concat(F.array(F.concat("host", "path")), above)).alias("place", "key"))
+    asked = materialize(asked.where("key <> ''"), "asked")
+    distinct = asked.select("key").distinct()
+    parts = max(partitions(spark), -(-max(keys.count(), distinct.count()) // PART))
+    arrays = keys.withColumn("part", _part("key", parts)).repartitionById(parts, F.col("part")).mapInPandas(_packed, _ARRAY)
+    arrays = materialize(arrays, "array")
+    hits = distinct.withColumn("part", _part("key", parts)).groupBy("part").cogroup(arrays.groupBy("part")).applyInPandas(_found, "key string")
+    hits = materialize(hits, "hits")
+    best = asked.join(near(hits, hits.count()), "key", "left_semi").groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.min_by("key", "place").alias("listed"))
+    out = out.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").drop("h", "p")
+    return out.withColumn("verdict", F.when(F.col("rule").isNull() & F.col("listed").isNotNull(), "block").otherwise(F.col("verdict"))).select("page_id", "host", "path", "rule", "verdict", "listed")

@@ -257,3 +257,36 @@ def test_common_of_long_lists_takes_memory_by_their_sum(monkeypatch):
             got = sorted(html.common(a, b))
             it = iter(b)
             assert len(got) == best[len(a) - 1, len(b) - 1] and all(a[i] in it for i in got)
+
+
+# ---- urls
+
+
+def test_lists_of_hosts_and_urls_as_brute_force(spark, monkeypatch):
+    from loomery.llm import urls
+
+    rng = np.random.default_rng(13)
+    names = ["a", "b", "shop", "example", "spam-farm"]
+    hosts = [".".join([*rng.choice(names, rng.integers(0, 3)), rng.choice(["com", "org", "net"])]) for _ in range(300)]
+    paths = ["", "/", "/x", "/x/y", "/de/1"]
+    pages = [(i, f"http://{h}{rng.choice(paths)}{rng.choice(['', '?q', '#f'])}") for i, h in enumerate(hosts)] + [(900, None), (901, "no scheme"), (902, "https://"), (903, "http://EXAMPLE.com/x"), (903, "http://EXAMPLE.com/x")]
+    keys = [*rng.choice(hosts, 12), *(h + p for h, p in zip(rng.choice(hosts, 12), rng.choice(paths[1:], 12), strict=True)), "example.com/x", "", None, "a", "a"]
+    frame = spark.createDataFrame([(i, u, "x", 1) for i, u in pages], "page_id long, url string, key string, part int")
+    held = {k for k in keys if k}
+    parts = urls.judged(frame, None, [], []).collect()
+    want = []
+    for r in parts:
+        labels = r["host"].split(".") if r["host"] else []
+        tries = ([r["host"] + r["path"]] if labels else []) + [".".join(labels[k:]) for k in range(len(labels))]
+        hit = next((t for t in tries if t in held), None)
+        want.append((r["page_id"], r["rule"], r["verdict"] if r["rule"] else "block" if hit else "allow", hit))
+    assert sum(w[3] is not None for w in want) > 20
+    for size in (urls.PART, 7):
+        monkeypatch.setattr(urls, "PART", size)
+        got = urls.listed(frame, spark.createDataFrame([(k, 5) for k in keys], "key string, place int")).collect()
+        assert sorted(((r["page_id"], r["rule"], r["verdict"], r["listed"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert urls.listed(frame.limit(0), spark.createDataFrame([], "key string")).collect() == []
+    assert {r["verdict"] for r in urls.listed(frame.where("page_id = 901"), spark.createDataFrame([], "key string")).collect()} == {"allow"}
+    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda b, **_: 7)  # every digest is equal: strings decide
+    array = next(iter(urls._packed(iter([__import__("pandas").DataFrame({"part": [0, 0, 0], "key": ["b", "a", "c"]})]))))
+    assert urls._found(__import__("pandas").DataFrame({"key": ["c", "x", "a"]}), array)["key"].tolist() == ["c", "a"]
