@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import wordpiece
 from .ingest import to_encode
 from .represent import chunks, retrieval_spans, sections
 from .retrieval import content_hash, pending
@@ -87,8 +88,10 @@ def encoded(texts: Column, encoder: Vectorizer) -> Column:
     return run(texts)
 
 
-def passages(documents: DataFrame) -> DataFrame:
-    """(id, repo, number, chunk, field, start, end, text): titles, and bodies in pieces; of tickets' bodies only the sections
+def passages(documents: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
+    """With ``vocabulary`` pieces fit 256 WordPiece tokens, else as many words and marks.
+
+    (id, repo, number, chunk, field, start, end, text): titles, and bodies in pieces; of tickets' bodies only the sections
     worth indexing. Bytes count from the field's begin."""
     keep = ["id", "repo", "number"]
     family = F.col("family")
@@ -99,7 +102,7 @@ def passages(documents: DataFrame) -> DataFrame:
     parts = F.when(family == "issue", F.transform("spans", lambda s: F.struct(s["start"].alias("base"), F.substring("raw", s["start"] + 1, s["end"] - s["start"]).cast("string").alias("text"))))
     parts = parts.otherwise(F.array(F.struct(F.lit(0).alias("base"), F.col("body").alias("text"))))
     body = body.select(*keep, field.alias("field"), F.explode_outer(parts).alias("p")).where("p is not null").select(*keep, "field", "p.base", "p.text")
-    rows = title.unionByName(body).withColumn("c", F.explode_outer(chunks("text"))).where("c is not null")
+    rows = title.unionByName(body).withColumn("c", F.explode_outer(chunks("text") if vocabulary is None else wordpiece.chunks(F.col("text"), vocabulary))).where("c is not null")
     rows = rows.select(*keep, "field", (F.col("base") + F.col("c.start")).alias("start"), (F.col("base") + F.col("c.end")).alias("end"), F.col("c.text").alias("text"))
     order = F.struct(F.when(F.col("field").isin("title", "labels"), 0).otherwise(1).alias("o"), "start", "end", "field", "text")
     rows = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(order)).alias("all")).select(*keep, F.posexplode("all").alias("chunk", "x"))

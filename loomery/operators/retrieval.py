@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import candidates, lexical, paging, semantic
+from . import candidates, lexical, paging, semantic, snippets
 from .filters import Filters
 from .represent import LabelRule
 
@@ -39,6 +40,7 @@ class Corpus:
     passages: DataFrame | None = None
     states: DataFrame | None = None  # id, content_hash, complete, model
     encode: Callable[[str], list[float]] | None = None
+    comments: DataFrame | None = None  # id, repo, number, created_s, visible
     rules: list[LabelRule] = field(default_factory=list)
 
 
@@ -200,7 +202,10 @@ def evidence(corpus: Corpus, few: DataFrame, query: str, engine: str, limit: int
         words = lexical.query_words(query, most=HYBRID_WORDS)
         rows = hits.join(texts, "id").withColumn("field", lexical.field_of(words)).withColumn("source", F.col("id"))
         body = F.col("field").isin("title", "labels")
-        rows = rows.withColumn("text", F.substring(lexical.highlighted(F.when(body, F.col("title")).otherwise(F.col("body")), words), 1, SNIPPET))
+        phrases = [re.findall(r"[^\W_]+", w) for w in words]
+        phrases = [[t for p in phrases for t in p]] if options.get("match") == "phrase" else [p for p in phrases if p]
+        text = F.when(body, F.col("title")).otherwise(F.col("body"))
+        rows = rows.withColumn("text", snippets.snippets(text, phrases, prefix=options.get("prefix", False)))
         first = F.when(F.col("field") == "labels", 0).when(F.col("field") == "title", 1).otherwise(2) if engine == "hybrid" else F.lit(0)
         place = F.row_number().over(Window.partitionBy(*key).orderBy(first, F.desc("score"), "family", "id"))
         literal = rows.withColumn("ordinal", place).where(F.col("ordinal") <= limit).select(*columns)
@@ -235,18 +240,42 @@ def fused_seed(corpus: Corpus, lex: DataFrame, scores: DataFrame, vectors: DataF
     return semantic.fused([(semantic.ranked(lex, "score", "lex"), "lex", 1.0), (sem, "sem", 1.0), (mutual, "mutual", 1.0)])
 
 
-def find_candidates(corpus: Corpus, repo: str, number: int, engine: str | None = None, filters: Filters | None = None, model: str = "") -> Result:
+#: Comments of a seed that count, by default and at most.
+SEED_COMMENTS, MOST_COMMENTS = 20, 100
+
+
+def seed_documents(corpus: Corpus, repo: str, number: int, labels: bool = True, comments: int = 0) -> DataFrame:
+    """The units that a seed ticket is known by: its own, its labels', and its newest ``comments`` that are visible."""
+    own = corpus.documents.where((F.col("repo") == repo) & (F.col("number") == number))
+    out = own.where(F.col("family").isin("issue", *(["labels"] if labels else [])))
+    if comments and corpus.comments is not None:
+        said = corpus.comments.where((F.col("repo") == repo) & (F.col("number") == number) & F.coalesce("visible", F.lit(True)))
+        said = said.orderBy(F.desc("created_s"), F.desc("id")).limit(comments).select(F.concat(F.lit("comment:"), F.col("id").cast("string")).alias("id"))
+        out = out.unionByName(own.join(F.broadcast(said), "id", "left_semi"))  # at most MOST_COMMENTS
+    return out
+
+
+def find_candidates(corpus: Corpus, repo: str, number: int, engine: str | None = None, filters: Filters | None = None, model: str = "", labels: bool = True, comments: bool = False, comment_limit: int = SEED_COMMENTS) -> Result:
     """Tickets like a seed ticket, in the seed's repository unless filters name others.
 
     Hybrid by the seed's stored vectors and its first QUERY words; lexical by its SELECTED rarest terms, also where vectors
-    are missing and no engine was asked for. Without a term that others have the page is empty.
+    are missing and no engine was asked for. Without a term that others have the page is empty. A seed is known by its title,
+    body and labels (unless ``labels`` is off), and by its newest visible comments where ``comments`` is on.
     """
+    if not 1 <= comment_limit <= MOST_COMMENTS:
+        raise ValueError(f"comment_limit is 1 to {MOST_COMMENTS}")
     given = filters or Filters(repositories=[repo])
     targets = corpus.tickets.where(given.column() & ~((F.col("repo") == repo) & (F.col("number") == number)))
-    terms = candidates.seed_terms(corpus.documents, repo, number, candidates.STOP)
+    known = seed_documents(corpus, repo, number, labels, comment_limit if comments else 0)
+    terms = candidates.seed_terms(known, repo, number, candidates.STOP)
     warnings: list[dict] = []
     if engine != "lexical":
-        seed = None if corpus.passages is None else seed_vector(corpus.passages, repo, number).first()
+        seed = None
+        if corpus.passages is not None:
+            own = corpus.passages
+            if comments and "source" in own.columns:
+                own = own.join(F.broadcast(known.select(F.col("id").alias("source"))), "source", "left_semi")
+            seed = seed_vector(own, repo, number, labels, None if comments else []).first()
         if seed is not None and covered(corpus, targets, model):
             words = [r["term"] for r in candidates.preliminary(terms, candidates.QUERY).collect()]  # at most QUERY
             main = corpus.passages.where(F.col("field").isin("title", "body")).join(targets.select("repo", "number"), ["repo", "number"], "left_semi")

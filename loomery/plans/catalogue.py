@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import candidates, context, evaluate, ingest, lexical, paging, policy, reads, records, represent, retrieval, semantic
+from ..operators import snippets as snippet_windows
 from ..operators.filters import Filters
 from ..operators.segments import Segments
 from ..sources.derived import folder_of, state_of
@@ -418,7 +419,7 @@ def chunks(spark, d):
 @query(None)
 def snippets(spark, d):
     top = paging.page(_search(spark, d, "thing are"), "relevance").select("id", "score")
-    return Mirror(spark, d).documents.join(F.broadcast(top), "id").select("id", "score", represent.snippet(F.col("body"), ["thing", "are"]).alias("snippet"))  # a page
+    return Mirror(spark, d).documents.join(F.broadcast(top), "id").select("id", "score", snippet_windows.snippets(F.col("body"), [["thing"], ["are"]]).alias("snippet"))  # a page
 
 
 @query(None)

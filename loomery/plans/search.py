@@ -9,7 +9,7 @@ from ..operators.filters import Filters
 from ..sources.derived import folder_of, state_of
 from ..sources.model import Mirror
 from ..sources.store import Store
-from .catalogue import _BEST, _SEED, _VEC, BASE, TICKETS, _hits, _query_vector, corpus_of, index_of, query, repo_of
+from .catalogue import _BEST, _NO_STOP, _SEED, _VEC, BASE, TICKETS, _hits, _query_vector, corpus_of, index_of, query, repo_of
 
 MODEL = "stored"
 
@@ -93,7 +93,7 @@ def mutual_rank(spark, d):
     return semantic.mutual_ranks(vectors, rest, list(seed["vector"]))
 
 
-@query(_SEED + """, n as (select count(*) as total from tickets where repo = (select repo from tickets where number = 2))
+_CANDIDATES = """, n as (select count(*) as total from tickets where repo = (select repo from tickets where number = 2))
 , dfs as (select term, count(distinct number) as df from toks where number <> 2 and repo = (select repo from tickets where number = 2) group by 1)
 , picked as (select term, row_number() over (order by round(weight * ln(1 + (total + 1) / (df + 1)), 6) desc, term) as p from chosen join dfs using (term), n qualify p <= 24)
 , hits as (select id, repo, number, family, col, p from toks join picked using (term))
@@ -101,13 +101,24 @@ def mutual_rank(spark, d):
 , dfp as (select p, count(distinct id) as df from hits group by 1)
 , scored as (select id, repo, number, family, sum((case when ln((tot.total - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((tot.total - df + 0.5) / (df + 0.5)) end)
     * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))) as score from per join dfp using (p) join lens using (id), tot group by all)
-select repo, number, round(max(score), 6) as score from scored where number <> 2 and repo = (select repo from tickets where number = 2) group by 1, 2""")
+select repo, number, round(max(score), 6) as score from scored where number <> 2 and repo = (select repo from tickets where number = 2) group by 1, 2"""
+
+
+@query(_SEED.replace("family <> 'labels'", "family = 'issue'") + _CANDIDATES)
 def candidates_lexical(spark, d):
     """Candidates of a seed where vectors are missing: the lexical fallback."""
     corpus = corpus_of(spark, d)
     return retrieval.find_candidates(corpus, repo_of(Mirror(spark, d), 2), 2).rows
 
 
+@query(_SEED.replace("family <> 'labels'", "(family = 'issue' or id = (select 'comment:' || id from comments where number = 2 and author <> 'assistant' order by created_s desc, id desc limit 1))").replace("union all select term, 1.5 from lt where " + _NO_STOP, "") + _CANDIDATES)
+def candidates_with_comments(spark, d):
+    """Candidates by the seed's own texts and its newest visible comment, without its labels."""
+    corpus, m = corpus_of(spark, d), Mirror(spark, d)
+    corpus.comments = m.comments.select("id", "repo", "number", "created_s", (F.col("author") != "assistant").alias("visible"))
+    return retrieval.find_candidates(corpus, repo_of(m, 2), 2, "lexical", labels=False, comments=True, comment_limit=1).rows
+
+
 # ---- top tickets without looking at all
 
 
