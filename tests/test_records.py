@@ -46,7 +46,6 @@ def test_phrases_and_prefixes(spark):
     assert n([["the", "cat"]], False) == {("a", "title"): 1, ("b", "body"): 1}
     assert n([["cat"]], True) == {("a", "title"): 1, ("a", "body"): 1, ("b", "title"): 2, ("b", "body"): 2}
     assert n([["the", "cat"]], True) == {("a", "title"): 1, ("b", "body"): 1}
-    assert [lexical._bucket(w) for w in ("cat", "zwölf", "")] == [r[0] for r in spark.createDataFrame([("cat",), ("zwölf",), ("",)], "w string").select(lexical.bucket_of(F.col("w"))).collect()]
 
 
 def test_search_falls_back_and_entities_raise_a_ticket(spark):
