@@ -171,8 +171,11 @@ def search_page(corpus: Corpus, query: str, engine: str | None = None, sort: str
     options, engine and generation only. Evidence is looked up for the page's tickets alone."""
     if not 1 <= evidence_limit <= EVIDENCE_MOST:
         raise ValueError(f"evidence is 1 to {EVIDENCE_MOST}")
-    found, limit = search(corpus, query, engine, **options), paging.limit_of(limit)
-    kind, sign = f"search:{found.engine}", paging.signature({"query": query, "sort": sort, "order": order, **options})
+    limit, sign = paging.limit_of(limit), paging.signature({"query": query, "sort": sort, "order": order, **options})
+    if cursor and engine:  # a wrong one costs no search
+        paging.decode(cursor, f"search:{engine}", sign, generation)
+    found = search(corpus, query, engine, **options)
+    kind = f"search:{found.engine}"
     at = paging.decode(cursor, kind, sign, generation) if cursor else None
     shown = corpus.tickets.select("repo", "number", "title", "state", "kind", "updated_s", "created_s")
     rows = found.rows.join(shown, ["repo", "number"])
