@@ -107,8 +107,11 @@ class WordHashes(dict):
 
     LIMIT = 400_000
 
+    def __init__(self, limit: int = LIMIT):
+        self.limit = limit
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
+        if len(self) >= self.limit:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

@@ -92,7 +92,7 @@ def _unpacked(bag: tuple[bytes, str, str, float]) -> tuple[np.ndarray, np.ndarra
 
 def fit(texts: Iterable[bytes | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> Model:
     """Stochastic gradient descent on the log loss, one document at a time, classes weighted alike."""
-    rng, hashes = np.random.default_rng(SEED), WordHashes()
+    rng, hashes = np.random.default_rng(SEED), WordHashes(30_000)  # this runs on the driver
     bags = []
     for t in texts:
         parts = features(t, hashes)
