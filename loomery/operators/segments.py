@@ -20,14 +20,17 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..sources.derived import cut
 from ..sources.store import Conflict, Store
+from . import postings as made
 from .lexical import Index
+from .postings import POSTING
 
-#: Words of units that a file's postings stand for, about 128 MB of it.
-FILE_WORDS = 16_000_000
+#: Words of units that a file's postings stand for, about 40 MB of it: a task holds one file's postings.
+FILE_WORDS = 4_000_000
+#: Units that are gone which are broadcast at most; more are joined by shuffling.
+GONE = 200_000
 #: A segment is merged with what is younger once that has grown to this share of its size.
 RATIO = 0.5
 PARTS = ("postings", "units", "gone", "ranges")
-POSTING = "id string, repo string, number long, family string, length int, col string, term string, positions array<int>"
 
 
 def unit_hash() -> Column:
@@ -69,6 +72,7 @@ class Segments:
             one = self._read("gone", segments[i]["name"]).select(F.col("id").alias("dead_id"), F.lit(i).alias("dead"))
             dead = one if dead is None else dead.unionByName(one)
         dead = dead.groupBy("dead_id").agg(F.max("dead").alias("dead"))
+        dead = F.broadcast(dead) if sum(s["gone"] for s in segments) <= GONE else dead
         return rows.join(dead, F.col("id") == F.col("dead_id"), "left").where(F.col("dead").isNull() | (F.col("dead") <= F.col("seg"))).drop("dead_id", "dead")
 
     def units(self) -> DataFrame:
@@ -99,14 +103,14 @@ class Segments:
             return self.spark.createDataFrame([], POSTING)
         return self._alive(out, segments).drop("seg")
 
-    def _staged(self, name: str, postings: DataFrame, units: DataFrame, gone: DataFrame) -> tuple[dict[str, str], dict]:
-        """Writes a segment; its tables by name and its entry in the list."""
+    def _staged(self, name: str, postings: Callable[[int, int, int], DataFrame], units: DataFrame, gone: DataFrame) -> tuple[dict[str, str], dict]:
+        """Writes a segment, its ``postings`` dealt into so many files, of so many units and words; its tables by name and its entry
+        in the list."""
         tables = {"units": self.store.stage("units", units), "gone": self.store.stage("gone", gone)}
         read = lambda part: self.spark.read.parquet(f"{self.store.root}/{tables[part]}")
         size = read("units").agg(F.count("*").alias("units"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
         files = max(1, -(-size["words"] // FILE_WORDS))
-        dealt = postings.repartitionByRange(files, "term", "id") if files > 1 else postings.repartition(1)
-        tables["postings"] = self.store.stage("postings", dealt.sortWithinPartitions("term", "id"))
+        tables["postings"] = self.store.stage("postings", postings(files, size["units"], size["words"]))
         ranges = read("postings").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high"))
         tables["ranges"] = self.store.stage("ranges", ranges.coalesce(1))  # a row a file
         entry = {"name": name, "units": size["units"], "words": int(size["words"]), "gone": read("gone").count()}
@@ -120,12 +124,11 @@ class Segments:
         id, and without the units of ``removed`` (id). Postings of other units aren't read or written. None if nothing changes."""
         segments = self.listed()
         changed = changed.select("id", "repo", "number", "family", "title", "body")
-        here = Index.build(changed).postings
         length = F.size(tokens(F.col("title"))) + F.size(tokens(F.col("body")))
         units = changed.select("id", unit_hash().alias("hash"), length.alias("length"))
         gone = units.select("id") if removed is None else units.select("id").unionByName(removed.select("id")).distinct()
         gone = gone.join(self.units().select("id"), "id", "left_semi") if segments else gone.limit(0)
-        tables, entry = self._staged(self._next(segments), here, units, gone)
+        tables, entry = self._staged(self._next(segments), lambda *size: made.dealt_of_units(changed, tokens, *size), units, gone)
         if not entry["units"] and not entry["gone"]:
             if metadata:
                 self.store.commit({}, metadata)
@@ -166,7 +169,7 @@ class Segments:
             gone = gone.join(self._each("units", older).select("id").distinct(), "id", "left_semi")
         else:
             gone = gone.limit(0)
-        tables, entry = self._staged(self._next(segments), postings, units, gone)
+        tables, entry = self._staged(self._next(segments), lambda files, _, words: made.dealt(postings, files, words), units, gone)
         self.store.commit(tables, {"segments": [*older, entry]}, drop=[f"{p}-{s['name']}" for s in merged for p in PARTS])
         return entry
 
@@ -190,6 +193,9 @@ class SegmentIndex(Index):
 
     segments: Segments | None = None
 
+    def lengths(self) -> DataFrame:
+        return self.segments.units().where("length > 0").select("id", "length")
+
     def of_terms(self, terms: list[str], prefix: str | None = None) -> DataFrame:
         if prefix == "":
             return self.postings

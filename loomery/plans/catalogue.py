@@ -138,7 +138,7 @@ def lex_evidence_top3(spark, d):
 
 @query("with " + BASE + " select term, count(distinct id) as df from toks group by 1")
 def lex_df(spark, d):
-    return index_of(spark, d).postings.groupBy("term").agg(F.countDistinct("id").alias("df"))
+    return index_of(spark, d).frequencies()
 
 
 # ---- list, filters, pages, facets
