@@ -126,8 +126,9 @@ def candidates_with_comments(spark, d):
 def lex_top_blocks(spark, d):
     """The first page of ``lex_any`` from the blocks that can hold one of its tickets."""
     sources = [f"{d}/{t}.parquet" for t in ("documents", "labels", "conversations")]
-    store = Store(spark, folder_of(spark, "blocks", sources)).at_state(state_of(spark, sources), lambda: topk.Blocks.tables(index_of(spark, d)))
-    return topk.Blocks.of(store).top(Mirror(spark, d).tickets, "thing are")[0].select("repo", "number", "id", "score")
+    index = index_of(spark, d)
+    store = Store(spark, folder_of(spark, "blocks", sources)).at_state(state_of(spark, sources), lambda: topk.Blocks.tables(index, impacts=False))
+    return topk.Blocks.of(store, index).top(Mirror(spark, d).tickets, "thing are")[0].select("repo", "number", "id", "score")
 
 
 @query(_VEC.format(TICKETS) + "select repo, number, score from sem order by score desc, repo, number limit 200")

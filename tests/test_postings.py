@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from loomery.operators import lexical, postings
+from loomery.operators import lexical, postings, segments, topk
+from loomery.sources.store import Store
 
 UNIT = "id string, repo string, number long, family string, title string, body string"
 
@@ -59,3 +61,25 @@ def test_pieces_come_back_in_order(words, monkeypatch):
         got = [shown(r for b in postings._in_order(ranges[part]) for r in b.to_pylist()) for part in sorted(ranges)]
         assert len(got) == 5 and sum(got, []) == plain(rows)
         assert all((g[0][0].encode(), g[0][1].encode()) >= b for g, b in zip(got[1:], bounds, strict=True))
+
+
+def test_frequencies_and_blocks_shuffle_no_posting(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "FILE_WORDS", 2000)
+    rows = some_units()
+    kept = segments.Segments(Store(spark, f"file://{tmp_path}/i"))
+    kept.upsert(spark.createDataFrame(rows, UNIT))
+    index, want = kept.index(), {}
+    for term, id_, *_ in plain(rows):
+        want.setdefault(term, set()).add(id_)
+    df = index.frequencies()
+    assert {r["term"]: r["df"] for r in df.collect()} == {t: len(u) for t, u in want.items()}
+    keys = [line for line in planned(df).splitlines() if "hashpartitioning" in line]
+    assert keys and not any("id#" in line for line in keys)
+    tables = topk.Blocks.tables(index, size=16, impacts=False)
+    assert "impacts" not in tables and "SortMergeJoin" not in planned(tables["blocks"])
+    assert tables["blocks"].agg(F.sum("n")).first()[0] == sum(map(len, want.values()))
+    blocks = topk.Blocks.of(Store(spark, f"file://{tmp_path}/b").at_state("1", lambda: tables), index)
+    tickets = spark.createDataFrame(rows, UNIT).select("repo", "number")
+    got = blocks.top(tickets, "rare hot", k=12)[0]
+    best = lexical.search(index, tickets, "rare hot").orderBy(F.desc("score"), "repo", "number").limit(12)
+    assert [tuple(r) for r in got.select("number", "id", "score").collect()] == [tuple(r) for r in best.select("number", "id", "score").collect()]
