@@ -97,7 +97,7 @@ def _of_units(units: pa.RecordBatch) -> _Postings:
 
 def _of_rows(rows: pa.RecordBatch) -> _Postings:
     ids, terms = rows.column("id").dictionary_encode(), rows.column("term").dictionary_encode()
-    unit = ids.indices.to_numpy()
+    unit = ids.indices.to_numpy() if not rows.column("id").null_count else np.arange(len(rows), dtype=np.int32)  # units without an id may differ
     _, first = np.unique(unit, return_index=True)
     table = pa.table({c: rows.column(c) for c in _UNIT}).take(pa.array(first))
     times = pc.list_value_length(rows.column("positions")).to_numpy()
@@ -161,7 +161,7 @@ def _pieces(block: _Postings, bounds: list[Key]) -> Iterator[pa.RecordBatch]:
     low, high = (np.fromiter((f(cuts, t) for t in named), np.int64, len(named)) for f in (bisect_left, bisect_right))
     part, rank = low[block.term], _rank(block.terms)[block.term]
     split = np.flatnonzero(part < high[block.term])  # of terms that are cut by unit
-    ids = [x.encode() for x in block.units.column("id").to_pylist()] if len(split) else []
+    ids = [(x or "").encode() for x in block.units.column("id").to_pylist()] if len(split) else []
     for at, t, u in zip(split.tolist(), block.term[split].tolist(), block.unit[split].tolist(), strict=True):
         part[at] = bisect_right(bounds, (named[t], ids[u]), low[t], high[t])
     order, ends = np.argsort(part * max(1, len(named)) + rank, kind="stable"), np.cumsum(block.times, dtype=np.int64)
@@ -211,7 +211,7 @@ def _in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     term, unit = terms.indices.to_numpy()[shifted("term", lambda p: len(p.terms))], shifted("unit", lambda p: len(p.units))
     whole = _Postings(units, terms.dictionary, unit, term, joined("body"), joined("other"), joined("times"), joined("places"))
     del pieces
-    key = (_rank(whole.terms)[term] * max(1, len(units)) + _rank(units.column("id"))[unit]) * 2 + whole.body
+    key = (_rank(whole.terms)[term] * max(1, len(units)) + _rank(pc.fill_null(units.column("id"), ""))[unit]) * 2 + whole.body
     yield from whole.rows(np.argsort(key, kind="stable"))
 
 
@@ -219,7 +219,7 @@ def _chosen(keys: DataFrame, words: int, files: int) -> list[Key]:
     """Bounds of ``files`` ranges, from the keys (term, id) of ``words`` words."""
     every = max(1, words // (KEYS * files))
     found = keys.where(F.pmod(F.xxhash64("term", "id"), F.lit(every)) == 0).distinct().collect()  # about KEYS a file
-    found = sorted((r["term"].encode(), r["id"].encode()) for r in found)
+    found = sorted((r["term"].encode(), (r["id"] or "").encode()) for r in found)
     return sorted({found[len(found) * i // files] for i in range(1, files)}) if found else []
 
 

@@ -83,3 +83,17 @@ def test_frequencies_and_blocks_shuffle_no_posting(spark, tmp_path, monkeypatch)
     got = blocks.top(tickets, "rare hot", k=12)[0]
     best = lexical.search(index, tickets, "rare hot").orderBy(F.desc("score"), "repo", "number").limit(12)
     assert [tuple(r) for r in got.select("number", "id", "score").collect()] == [tuple(r) for r in best.select("number", "id", "score").collect()]
+
+
+def test_units_without_an_id(spark, tmp_path, monkeypatch):
+    """A ticket without a repository has none: its postings are kept, and no document frequency counts it."""
+    monkeypatch.setattr(segments, "FILE_WORDS", 100)
+    rows = [(None if i % 3 == 0 else f"issue:r:{i}", None if i % 3 == 0 else "r", i, "issue", "hot", f"hot w{i % 9} w{i % 9}") for i in range(60)]
+    units = spark.createDataFrame(rows, UNIT)
+    kept = segments.Segments(Store(spark, f"file://{tmp_path}/i"))
+    kept.upsert(units)
+    index = kept.index()
+    dealt = postings.dealt(index.postings, 3, 240)
+    for got in (index.postings, dealt):
+        assert sorted((r["number"], r["col"], r["term"], tuple(r["positions"])) for r in got.collect()) == sorted(x for *_, i, _, _, _ in rows for x in ((i, "title", "hot", (0,)), (i, "body", "hot", (0,)), (i, "body", f"w{i % 9}", (1, 2))))
+    assert {r["term"]: r["df"] for r in index.frequencies().collect()} == {r["term"]: r["df"] for r in index.postings.groupBy("term").agg(F.countDistinct("id").alias("df")).collect()}
