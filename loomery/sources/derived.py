@@ -41,7 +41,7 @@ def state_of(spark: SparkSession, paths: list[str]) -> str:
 
 
 #: Changes when derived tables are made otherwise or get other columns.
-FORMAT = 3
+FORMAT = 4
 
 
 def folder_of(spark: SparkSession, name: str, paths: list[str]) -> str:

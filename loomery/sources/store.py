@@ -88,13 +88,14 @@ class Store:
             raise ValueError(f"schema version {found['schema_version']}; this reads {SCHEMA_VERSION}")
         return found
 
-    def stage(self, name: str, rows: DataFrame, by: str | None = None) -> str:
-        """Writes a table that no manifest names yet (``by``: in folders by that column); its path within the root."""
+    def stage(self, name: str, rows: DataFrame, by: str | None = None, codec: str | None = None) -> str:
+        """Writes a table that no manifest names yet (``by``: in folders by that column; ``codec``: other than the session's); its
+        path within the root."""
         if self.read_only:
             raise PermissionError("the store is open for reading only")
         path = f"gen={secrets.token_hex(16)}/{name}"
         writer = rows.write.partitionBy(by) if by else rows.write
-        writer.parquet(f"{self.root}/{path}")
+        writer.parquet(f"{self.root}/{path}", compression=codec)
         return path
 
     def commit(self, tables: dict[str, DataFrame | str], metadata: dict | None = None, drop: Iterable[str] = ()) -> dict:

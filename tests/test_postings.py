@@ -1,6 +1,7 @@
 """Postings are made and dealt without a shuffled row a word."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,55 @@ def test_units_without_an_id(spark, tmp_path, monkeypatch):
     for got in (index.postings, dealt):
         assert sorted((r["number"], r["col"], r["term"], tuple(r["positions"])) for r in got.collect()) == sorted(x for *_, i, _, _, _ in rows for x in ((i, "title", "hot", (0,)), (i, "body", "hot", (0,)), (i, "body", f"w{i % 9}", (1, 2))))
     assert {r["term"]: r["df"] for r in index.frequencies().collect()} == {r["term"]: r["df"] for r in index.postings.groupBy("term").agg(F.countDistinct("id").alias("df")).collect()}
+
+
+def shuffled(spark):
+    """Bytes that all stages until now have written for shuffles."""
+    time.sleep(1)  # listeners lag behind
+    jvm, sc = spark._jvm, spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_updates_shuffle_no_unchanged_text(spark, tmp_path, monkeypatch, most):
+    """Neither units that don't differ nor postings of segments that lose nothing are shuffled, however many ids are gone."""
+    monkeypatch.setattr(segments, "GONE", most)
+    rng = random.Random(3)
+    text = lambda k: " ".join(f"{rng.getrandbits(48):x}" for _ in range(k))
+    rows = {n: (f"issue:r:{n}", "r", n, "issue", "hot", text(400)) for n in range(300)}
+    units = lambda: spark.createDataFrame(list(rows.values()), UNIT)
+    kept = segments.Segments(Store(spark, f"file://{tmp_path}/i"))
+    kept.upsert(units())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for turn in range(2):
+            for n in range(turn, 300, 50):
+                rows[n] = (*rows[n][:5], f"changed in turn {turn}")
+            del rows[10 + turn]
+            was = shuffled(spark)
+            entry = kept.sync(units())
+            assert (entry["units"], entry["gone"], entry["of"]) == (6, 7, {"00000001": 7})
+            assert shuffled(spark) - was < 150_000  # texts are 1.5 MB
+        was = shuffled(spark)
+        merged = kept.compact(2)
+        assert (merged["units"], merged["of"]) == (12, {"00000001": 14})
+        assert shuffled(spark) - was < 50_000
+        was, whole = shuffled(spark), lexical.Index.build(units())
+        got = kept.index().postings
+        got.write.format("noop").mode("overwrite").save()
+        assert shuffled(spark) - was < 300_000  # postings of units that are gone, at most
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(shown(got.collect())) == sorted(shown(whole.postings.collect()))
+
+
+def test_a_sync_compares_units_without_an_id_and_repeated_ones(spark, tmp_path):
+    kept = segments.Segments(Store(spark, f"file://{tmp_path}/i"))
+    rows = [(None, None, 1, "issue", "a", "b"), ("x", "r", 2, "issue", "c", "d"), ("x", "r", 2, "issue", "e", "f")]
+    kept.upsert(spark.createDataFrame(rows, UNIT))
+    assert kept.sync(spark.createDataFrame(rows, UNIT)) is None
+    rows[2] = ("x", "r", 2, "issue", "e", "g")
+    assert kept.sync(spark.createDataFrame(rows, UNIT))["units"] == 2
+    assert sorted(r["term"] for r in kept.index().postings.collect()) == list("abcdeg")
