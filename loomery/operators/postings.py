@@ -232,6 +232,21 @@ def _dealt(rows: DataFrame, blocks: Callable[[Iterable[pa.RecordBatch]], Iterato
     return rows.mapInArrow(packed, _PIECE).repartitionById(parts, F.col("part")).mapInArrow(_in_order, POSTING)
 
 
+def _ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        file = batch.column("file").dictionary_encode().indices.to_numpy()
+        firsts = np.flatnonzero(np.diff(file, prepend=-1))
+        lasts = np.r_[firsts[1:], len(file)][: len(firsts)] - 1
+        parts = {"file": batch.column("file").take(pa.array(firsts)), "low": batch.column("term").take(pa.array(firsts)), "high": batch.column("term").take(pa.array(lasts))}
+        yield pa.RecordBatch.from_pydict(parts)
+
+
+def ends(postings: DataFrame) -> DataFrame:
+    """(file, low, high): the lowest and highest term of each file of ``postings`` (file, term), which are in order within it. Batches
+    are narrowed first, since Spark finds the least string by sorting."""
+    return postings.mapInArrow(_ends, "file string, low string, high string").groupBy("file").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def dealt_of_units(units: DataFrame, tokens: Callable, files: int, size: int, words: int) -> DataFrame:
     """The postings of ``size`` units of ``words`` words in about ``files`` partitions, ranges of (term, id), in order within each."""
     bounds: list[Key] = []

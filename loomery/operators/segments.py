@@ -141,8 +141,9 @@ class Segments:
         read = lambda part: self.spark.read.parquet(f"{self.store.root}/{tables[part]}")
         size = read("units").agg(F.count("*").alias("units"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
         files = max(1, -(-size["words"] // FILE_WORDS))
-        tables["postings"] = self.store.stage("postings", postings(files, size["units"], size["words"]), codec="zstd")
-        ranges = read("postings").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high"))
+        codec = "zstd" if files > 1 else None  # a small segment is mostly footer
+        tables["postings"] = self.store.stage("postings", postings(files, size["units"], size["words"]), codec=codec)
+        ranges = made.ends(read("postings").select(F.col("_metadata.file_name").alias("file"), "term"))
         tables["ranges"] = self.store.stage("ranges", ranges.coalesce(1))  # a row a file
         of = {r["of"]: r["count"] for r in read("gone").groupBy("of").count().collect()}  # a row a segment
         entry = {"name": name, "units": size["units"], "words": int(size["words"]), "gone": sum(of.values()), "of": of}

@@ -150,3 +150,17 @@ def test_a_sync_compares_units_without_an_id_and_repeated_ones(spark, tmp_path):
     rows[2] = ("x", "r", 2, "issue", "e", "g")
     assert kept.sync(spark.createDataFrame(rows, UNIT))["units"] == 2
     assert sorted(r["term"] for r in kept.index().postings.collect()) == list("abcdeg")
+
+
+def test_ranges_of_files_sort_no_postings(spark, tmp_path, monkeypatch):
+    """What lies in a file is told by its batches' first and last rows; the least of all its terms would be found by sorting them."""
+    monkeypatch.setattr(segments, "FILE_WORDS", 1500)
+    kept = segments.Segments(Store(spark, f"file://{tmp_path}/i"))
+    name = kept.upsert(spark.createDataFrame(some_units(), UNIT))["name"]
+    rows = kept._read("postings", name).select(F.col("_metadata.file_name").alias("file"), "term")
+    want = rows.groupBy("file").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    got = postings.ends(rows)
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, kept._read("ranges", name).collect())) == sorted(map(tuple, got.collect()))
+    below = planned(postings.ends(rows)).splitlines()
+    assert not any("Sort " in line for line in below[[i for i, x in enumerate(below) if "MapInArrow" in x][0] :])
+    assert all(f.endswith("zstd.parquet") for f in kept._read("postings", name).inputFiles())
